@@ -15,11 +15,18 @@ from shelfcast.operators.features import seasonal_residuals
 from shelfcast.operators.quantiles import exact_percentiles
 
 
-def seasonal_scale(panel: DataFrame, cuts: DataFrame, m: int) -> DataFrame:
-    """A8 per rolling origin: mean |y[t] − y[t−m]| over the history before the cut."""
+def seasonal_scale(panel: DataFrame, cuts, m: int) -> DataFrame:
+    """A8 per rolling origin: mean |y[t] − y[t−m]| over the history before the cut.
+
+    Origins are columns of one grouped aggregate (conditional averages), then unpivoted.
+    ``cuts`` is a list of (fold, cut).
+    """
     res = seasonal_residuals(panel, m)
-    return (res.join(F.broadcast(cuts), F.col("wk") < F.col("cut"))
-               .groupBy("fold", "cut", "sid").agg(F.avg(F.abs("residual")).alias("scale")))
+    g = res.groupBy("sid").agg(*[F.avg(F.when(F.col("wk") < c, F.abs("residual"))).alias(f"_s{f}")
+                                 for f, c in cuts])
+    rows = F.array(*[F.struct(F.lit(f).alias("fold"), F.lit(c).alias("cut"), F.col(f"_s{f}").alias("scale"))
+                     for f, c in cuts])
+    return g.select("sid", F.inline(rows)).select("fold", "cut", "sid", "scale")
 
 
 def score_series(forecasts: DataFrame, panel: DataFrame, scale: DataFrame, keys: list[str],

@@ -101,3 +101,66 @@ def pinball(q: float | Column, demand, forecast) -> Column:
     qq = q if isinstance(q, Column) else F.lit(float(q))
     d = (F.col(demand) if isinstance(demand, str) else demand) - (F.col(forecast) if isinstance(forecast, str) else forecast)
     return F.greatest(qq * d, (qq - F.lit(1.0)) * d)
+
+
+def global_rank(df: DataFrame, keys: list[str], order: str, partitions: int | None = None) -> DataFrame:
+    """0-based position of each row within its group by ``order`` (ties broken arbitrarily but
+    deterministically), computed without gathering a group in one task: the same range
+    partition + local rank + prefix-offset scheme as ``exact_percentiles``. Adds ``pos`` and
+    the group size ``n``.
+    """
+    spark = df.sparkSession
+    p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(p, *[F.col(k) for k in keys], F.col(order)) \
+               .withColumn("_pid", F.spark_partition_id())
+    slice_w = Window.partitionBy("_pid", *keys)
+    local = (ranged.withColumn("_c", F.row_number().over(slice_w.orderBy(order)) - F.lit(1))
+                   .withColumn("_t", F.count(F.lit(1)).over(slice_w)))
+    totals = local.groupBy("_pid", *keys).agg(F.first("_t").alias("_t"))
+    grp = Window.partitionBy(*keys)
+    offsets = totals.select(
+        "_pid", *keys,
+        F.coalesce(F.sum("_t").over(grp.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0).cast("long")).alias("_off"),
+        F.sum("_t").over(grp).alias("n"))
+    out = local.join(offsets, ["_pid", *keys])
+    return out.withColumn("pos", (F.col("_off") + F.col("_c")).cast("long")).drop("_pid", "_c", "_t", "_off")
+
+
+def nested_percentiles(df: DataFrame, keys: list[str], value: str, position, cuts, levels,
+                       names: list[str]) -> DataFrame:
+    """Exact percentiles of ``value`` per group for several nested row sets at once.
+
+    Row set ``f`` holds the rows with ``position < cut_f`` (rolling origins: every earlier origin
+    sees a prefix of the later one's history). Each group is sorted once by value; a running
+    count of in-set rows gives every row its rank inside each set, so no row is replicated per
+    origin. Groups must be bounded (here: by the calendar). ``cuts`` is a list of (fold, cut).
+    Returns (fold, cut, keys, names...) with NULLs for empty sets.
+    """
+    pos_col = F.col(position) if isinstance(position, str) else position
+    base = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), pos_col.alias("_p"))
+    w_sorted = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w_all = Window.partitionBy(*keys)
+    cols = []
+    for f, c in cuts:
+        ind = (F.col("_p") < F.lit(c)).cast("long")
+        cols += [ind.alias(f"_i{f}"), F.sum(ind).over(w_sorted).alias(f"_k{f}"), F.sum(ind).over(w_all).alias(f"_n{f}")]
+    ranked = base.select(*keys, "_v", *cols)
+    aggs = []
+    for f, _ in cuts:
+        n = F.col(f"_n{f}")
+        rank = F.col(f"_k{f}") - F.lit(1)
+        inset = F.col(f"_i{f}") == 1
+        aggs.append(F.first(n).alias(f"_n{f}"))
+        for i, q in enumerate(levels):
+            pos = F.lit(float(q)) * (n - F.lit(1)).cast("double")
+            aggs += [F.max(F.when(inset & (rank == F.floor(pos)), F.col("_v"))).alias(f"_lo{f}_{i}"),
+                     F.max(F.when(inset & (rank == F.ceil(pos)), F.col("_v"))).alias(f"_hi{f}_{i}"),
+                     F.first(pos - F.floor(pos)).alias(f"_fr{f}_{i}")]
+    g = ranked.groupBy(*keys).agg(*aggs)
+    per_cut = []
+    for f, c in cuts:
+        vals = [(F.col(f"_lo{f}_{i}") + F.col(f"_fr{f}_{i}") * (F.col(f"_hi{f}_{i}") - F.col(f"_lo{f}_{i}"))).alias(n)
+                for i, n in enumerate(names)]
+        per_cut.append(F.struct(F.lit(f).alias("fold"), F.lit(c).alias("cut"), *vals))
+    return g.select(*keys, F.inline(F.array(*per_cut))).select("fold", "cut", *keys, *names)

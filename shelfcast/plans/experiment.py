@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from shelfcast.config import MA_WINDOWS, TESTDATA_SPEC, Costs, PanelSpec
 from shelfcast.operators import panel as P
 from shelfcast.operators.metrics import pooled, score_series, seasonal_scale, summarize
+from shelfcast.session import materialize
 from shelfcast.plans.forecasters import GRIDS, PARAM_COLUMNS, get_forecaster
 from shelfcast.sources.testdata import TableSource, sales_view
 
@@ -70,11 +71,14 @@ class Study:
 
     @cached_property
     def panel(self) -> DataFrame:
-        """Model panel: listed values of the eligible series."""
-        return P.restrict(self.listed, self.eligible)
+        """Model panel: listed values of the eligible series, materialised once (every model,
+        fold and metric reads it; it is series × weeks, far smaller than the sales)."""
+        return materialize(P.restrict(self.listed, self.eligible))
 
-    def cuts(self, include_test: bool = True) -> DataFrame:
-        return P.cuts_frame(self.spark, self.spec, include_test)
+    def cuts(self, include_test: bool = True) -> list[tuple[int, int]]:
+        """Rolling origins (fold, cut): folds 1..F, and fold 0 = the test window."""
+        out = [(f, self.spec.fold_cut(f)) for f in range(1, self.spec.folds + 1)]
+        return out + [(0, self.spec.test_cut)] if include_test else out
 
     @cached_property
     def scale(self) -> DataFrame:
@@ -86,8 +90,13 @@ class Study:
 
     def per_series(self, model: str, **params) -> DataFrame:
         """Per (fold, cut, params, sid) scores of every trial and the test window."""
-        keys = ["fold", "cut", *PARAM_COLUMNS[model]]
-        return score_series(self.forecasts(model, **params), self.panel, self.scale, keys, self.cost)
+        memo_key = (model, tuple(sorted(params.items())))
+        if memo_key not in self._memo:
+            keys = ["fold", "cut", *PARAM_COLUMNS[model]]
+            scored = score_series(self.forecasts(model, **params), self.panel, self.scale, keys, self.cost)
+            # Small (origins × params × series) and read by tuning, selection and test scoring.
+            self._memo[memo_key] = materialize(scored)
+        return self._memo[memo_key]
 
 
 def grid_frame(spark: SparkSession, model: str) -> DataFrame:
@@ -144,6 +153,7 @@ def cells(study: Study) -> tuple[DataFrame, DataFrame]:
            .unionByName(tuned.select(*cols).withColumn("model", F.lit("moving_average"))
                         .withColumn("regime", F.lit(TUNED)))
            .withColumn("dataset", F.lit(study.name)))
+    per = materialize(per)
     summary = summarize(per, ["dataset", "model", "regime"])
     params = per.groupBy("dataset", "model", "regime").agg(F.max("window").alias("window"))
     return summary.join(params, ["dataset", "model", "regime"]), per

@@ -1,12 +1,14 @@
 """Forecasters (M1–M6) as DataFrame plans over a long, listed panel (sid, wk, y).
 
-Contract (M4): ``forecaster(panel, cuts, spec, levels, **params)`` returns
+Contract (M4): ``forecaster(panel, cuts, spec, levels, **params)`` with ``cuts`` a list of
+(fold, cut) origins returns
 ``(fold, cut, [param columns], sid, step, wk, q50, q_cr)`` for every rolling origin in the
 ``cuts`` table at once. History for a cut is ``wk < cut``; folds and parameters are columns,
 so one plan scores every trial (T1).
 
-The cuts table has one row per origin (folds + 1, a protocol constant) and is broadcast; the
-range conditions ``wk < cut`` become broadcast nested-loop joins that stream the panel.
+Origins are few (folds + 1, a protocol constant). Residual quantiles for all origins come from
+one sort per bounded group (``nested_percentiles``), so residual rows are never replicated per
+origin; the few point rows per origin come from a broadcast join with the origins table.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.config import MA_WINDOWS, PanelSpec
 from shelfcast.operators.features import series_w, full_mean, seasonal_residuals
-from shelfcast.operators.quantiles import group_percentiles, quantile_forecast
+from shelfcast.operators.quantiles import nested_percentiles, quantile_forecast
 
 LEVEL_NAMES = ("q50", "q_cr")
 R_NAMES = [f"r_{n}" for n in LEVEL_NAMES]
@@ -28,16 +30,22 @@ def _steps(h: int):
     return F.explode(F.sequence(F.lit(1), F.lit(h))).alias("step")
 
 
-def seasonal_naive(panel: DataFrame, cuts: DataFrame, spec: PanelSpec, levels) -> DataFrame:
+def _cuts_df(spark, cuts) -> DataFrame:
+    return F.broadcast(spark.createDataFrame(list(cuts), "fold int, cut int"))
+
+
+def seasonal_naive(panel: DataFrame, cuts, spec: PanelSpec, levels) -> DataFrame:
     """M1: point = value one season before each target week (W4); residual quantiles of the
-    seasonal differences in the history (W1, A1), shared by all steps (G7); clipped (A2)."""
+    seasonal differences in the history (W1, A1), shared by all steps (G7); clipped (A2).
+
+    ``cuts`` is a list of (fold, cut) origins.
+    """
     m, h = spec.seasonality, spec.horizon
     assert h < m, "seasonal naive needs horizon < seasonality (G9)"
-    cuts = F.broadcast(cuts)
     res = seasonal_residuals(panel, m)
-    rc = res.join(cuts, F.col("wk") < F.col("cut"))
-    rq = group_percentiles(rc, ["fold", "cut", "sid"], "residual", levels, R_NAMES)
-    pts = (panel.join(cuts, (F.col("wk") >= F.col("cut") - m) & (F.col("wk") < F.col("cut") - m + h))
+    rq = nested_percentiles(res, ["sid"], "residual", "wk", cuts, levels, R_NAMES)
+    cdf = _cuts_df(panel.sparkSession, cuts)
+    pts = (panel.join(cdf, (F.col("wk") >= F.col("cut") - m) & (F.col("wk") < F.col("cut") - m + h))
                 .select("fold", "cut", "sid", (F.col("wk") - (F.col("cut") - m) + 1).alias("step"),
                         F.col("y").alias("point")))
     fc = quantile_forecast(pts, rq, ["fold", "cut", "sid"], LEVEL_NAMES)
@@ -54,19 +62,24 @@ def _ma_long(panel: DataFrame, windows, h: int) -> DataFrame:
                 .filter(F.col("mean").isNotNull()))
 
 
-def moving_average(panel: DataFrame, cuts: DataFrame, spec: PanelSpec, levels,
+def moving_average(panel: DataFrame, cuts, spec: PanelSpec, levels,
                    windows=MA_WINDOWS) -> DataFrame:
     """M2: point = last full-window mean repeated over the horizon (W5); per-step residual
-    quantiles of every earlier origin whose horizon lies in the history (W3, A1, G7, G8)."""
+    quantiles of every earlier origin whose horizon lies in the history (W3, A1, G7, G8).
+
+    All windows and origins come from one sort per series and one sort per
+    (window, series, step) residual group.
+    """
     h = spec.horizon
-    cuts = F.broadcast(cuts)
     long = _ma_long(panel, windows, h)
     steps = F.array(*[F.struct(F.lit(s).alias("step"), (F.col(f"_l{s}") - F.col("mean")).alias("residual"))
                       for s in range(1, h + 1)])
     res = long.select("sid", "wk", "window", F.inline(steps)).filter(F.col("residual").isNotNull())
-    rc = res.join(cuts, F.col("wk") + h < F.col("cut"))
-    rq = group_percentiles(rc, ["fold", "cut", "window", "sid", "step"], "residual", levels, R_NAMES)
-    pts = (long.join(cuts, F.col("wk") == F.col("cut") - 1)
+    # An origin at week wk is usable for a cut when its whole horizon precedes it: wk + h < cut.
+    rq = nested_percentiles(res, ["window", "sid", "step"], "residual", F.col("wk") + F.lit(h), cuts, levels,
+                            R_NAMES)
+    cdf = _cuts_df(panel.sparkSession, cuts)
+    pts = (long.join(cdf, F.col("wk") == F.col("cut") - 1)
                .select("fold", "cut", "window", "sid", _steps(h), F.col("mean").alias("point")))
     fc = quantile_forecast(pts, rq, ["fold", "cut", "window", "sid", "step"], LEVEL_NAMES)
     return fc.select("fold", "cut", "window", "sid", "step", (F.col("cut") + F.col("step") - 1).alias("wk"),
