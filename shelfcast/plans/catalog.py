@@ -143,7 +143,7 @@ def company_upsert(spark, root):
 def _stores_with_geo(src: TableSource) -> DataFrame:
     """Stores (suppliers) with a stored 'lat,lon' text; unset for negative balances."""
     sup = src.supplier.select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
-    lat = F.round(F.col("s_acctbal") / 200.0, 4)
+    lat = F.col("s_acctbal") / 250.0
     lon = (F.col("s_nationkey") * 7 - 80).cast("double")
     geo = F.when(F.col("s_acctbal") >= 0, compose_geolocation(lat, lon))
     return sup.select(F.col("s_nationkey").cast("long").alias("company_id"), F.col("s_name").alias("name"),
