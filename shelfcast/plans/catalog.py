@@ -520,9 +520,10 @@ def cell_summary(spark, root):
     """Test summary of every configuration (8 rows per dataset)."""
     st = _study(spark, root)
     sn = test_summary(st, "seasonal_naive").withColumn("model", F.lit("seasonal_naive")) \
-                                            .withColumn("window", F.lit(None).cast("int"))
-    ma = test_summary(st, "moving_average").withColumn("model", F.lit("moving_average"))
-    cols = ["model", "window", "MASE", "MASE_median", "cost_per_unit", "fill_rate", "n_series"]
+                                            .withColumn("params", F.lit("{}"))
+    ma = (test_summary(st, "moving_average").withColumn("model", F.lit("moving_average"))
+          .withColumn("params", F.concat(F.lit('{"window": '), F.col("window").cast("string"), F.lit("}"))))
+    cols = ["model", "params", "MASE", "MASE_median", "cost_per_unit", "fill_rate", "n_series"]
     return rounded(sn.select(*cols).unionByName(ma.select(*cols)))
 
 

@@ -404,9 +404,9 @@ s AS (SELECT sid, avg(abs(r)) AS scale FROM sres WHERE r IS NOT NULL AND wk < {T
     summ = """avg(mase) AS MASE, quantile_cont(mase, 0.5) AS MASE_median, sum(cost) / sum(demand) AS cost_per_unit,
     sum(served) / sum(demand) AS fill_rate, count(*) AS n_series"""
     q["cell_summary"] = _w(f"""{ER},
-cs AS (SELECT 'seasonal_naive' AS model, CAST(NULL AS INTEGER) AS window, {summ} FROM snps WHERE fold = 0
-  UNION ALL SELECT 'moving_average', CAST(k AS INTEGER), {summ} FROM mps WHERE fold = 0 GROUP BY k)""",
-        """SELECT model, window, round(MASE, 6) AS MASE, round(MASE_median, 6) AS MASE_median,
+cs AS (SELECT 'seasonal_naive' AS model, '{{}}' AS params, {summ} FROM snps WHERE fold = 0
+  UNION ALL SELECT 'moving_average', '{{"window": ' || CAST(k AS VARCHAR) || '}}', {summ} FROM mps WHERE fold = 0 GROUP BY k)""",
+        """SELECT model, params, round(MASE, 6) AS MASE, round(MASE_median, 6) AS MASE_median,
     round(cost_per_unit, 6) AS cost_per_unit, round(fill_rate, 6) AS fill_rate, n_series FROM cs""")
     gidx = "CASE k " + " ".join(f"WHEN {k} THEN {i}" for i, k in enumerate(WINDOWS)) + " END"
     q["tuning_trials"] = _w(ER, f"""SELECT CAST({gidx} AS INTEGER) AS grid_idx, CAST(k AS INTEGER) AS window,
