@@ -319,24 +319,22 @@ def cost_parameters(spark, root):
 
 @query
 def wide_to_weekly(spark, root):
-    """P3 (+ S2, K5): daily wide CSV written to the shared scratch area, read back, unpivoted
-    and summed to weeks; equals ``weekly_panel`` on the weeks it covers."""
+    """P3 (+ S2): the daily panel written as a wide CSV (id, d_1..d_N; d_1 = the panel epoch) to
+    the shared scratch area, read back, unpivoted and summed to weeks: equals ``weekly_panel``."""
     from shelfcast.session import scratch_path
     from shelfcast.sources.files import read_wide_csv
     st = _study(spark, root)
     daily = P.daily_panel(st.sales)
-    d0 = daily.agg(F.min("date")).first()[0]
-    n_days = (SPEC.epoch + _dt.timedelta(days=7 * SPEC.weeks) - d0).days
-    day = (F.datediff("date", F.lit(d0)) + 1)
+    n_days = 7 * SPEC.weeks
+    day = F.datediff("date", F.lit(SPEC.epoch)) + 1
     sid = F.concat_ws("_", "store_id", "item_id")
-    long = daily.select(sid.alias("id"), day.alias("day"), "sold").filter(F.col("day") <= n_days)
+    long = daily.select(sid.alias("id"), day.alias("day"), "sold").filter(F.col("day").between(1, n_days))
     wide = long.groupBy("id").pivot("day", list(range(1, n_days + 1))).agg(F.first("sold"))
-    wide = wide.select("id", *[F.col(str(d)).alias(f"d_{d}") for d in range(1, n_days + 1)])
+    wide = wide.select("id", *[F.coalesce(F.col(str(d)), F.lit(0.0)).alias(f"d_{d}") for d in range(1, n_days + 1)])
     path = scratch_path(spark, f"wide_daily_{abs(hash(root))}")
     wide.write.mode("overwrite").option("header", True).csv(path)
     back = read_wide_csv(spark, path)
-    epoch = d0
-    return rounded(P.weekly_from_days(P.unpivot_days(back), n_days, epoch))
+    return rounded(P.weekly_from_days(P.unpivot_days(back), n_days, SPEC.epoch))
 
 
 # ------------------------------------------------------------------ features ------------
@@ -621,6 +619,31 @@ def grid_edge(spark, root):
     return rounded(out.select("model", "window", "is_edge"))
 
 
+@query
+def global_quantile_forest(spark, root):
+    """M3 (+ A3, A4, F23): pooled quantile forest on the test window; rows-only check."""
+    from shelfcast.plans.forest import fit_predict
+    st = _study(spark, root)
+    return rounded(fit_predict(st.panel, SPEC.test_cut, SPEC, st.levels).select("sid", "step", *LEVEL_NAMES))
+
+
+@query
+def seed_robustness(spark, root):
+    """Forest test cost per unit for three seeds, and their mean; rows-only check."""
+    from shelfcast.operators.metrics import score_series
+    from shelfcast.plans.forest import fit_predict
+    st = _study(spark, root)
+    outs = []
+    for seed in (SEED, 7, 2024):
+        fc = fit_predict(st.panel, SPEC.test_cut, SPEC, st.levels, depth=6, trees=10, seed=seed)
+        fc = fc.withColumn("fold", F.lit(0)).withColumn("cut", F.lit(SPEC.test_cut))
+        per = score_series(fc, st.panel, st.scale, ["fold", "cut"], st.cost)
+        outs.append(per.agg((F.sum("cost") / F.sum("demand")).alias("cost_per_unit")).withColumn("seed", F.lit(seed)))
+    res = outs[0].unionByName(outs[1]).unionByName(outs[2]).withColumn("model", F.lit("quantile_forest"))
+    res = res.withColumn("mean_cost_per_unit", F.avg("cost_per_unit").over(Window.partitionBy("model")))
+    return rounded(res.select("model", "seed", "cost_per_unit", "mean_cost_per_unit"))
+
+
 # Keys without the helper suffix used above to avoid clashing with imported operator names.
 for _k in list(QUERIES):
     if _k.endswith("_q"):

@@ -98,6 +98,16 @@ GRIDS: dict[str, list[dict]] = {
 }
 
 
+def _forest(*args, **kwargs):
+    from shelfcast.plans.forest import quantile_forest
+    return quantile_forest(*args, **kwargs)
+
+
+FORECASTERS["quantile_forest"] = _forest
+PARAM_COLUMNS["quantile_forest"] = ["depth", "trees"]
+GRIDS["quantile_forest"] = [{"depth": d, "trees": t} for d in (4, 8) for t in (10, 20)]
+
+
 def get_forecaster(name: str) -> Callable[..., DataFrame]:
     """M5 registry lookup."""
     try:

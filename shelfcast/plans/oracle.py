@@ -274,6 +274,7 @@ upd AS (SELECT CAST(r_regionkey + 1000 AS BIGINT) AS user_id, CAST(r_regionkey A
     q["daily_panel"] = _w(f"{sales('region')},\n{daily()}", """SELECT item_id, store_id, count(*) AS days,
     round(sum(sold), 6) AS total, count(CASE WHEN sold = 0 THEN 1 END) AS zero_days FROM dp GROUP BY item_id, store_id""")
     q["weekly_panel"] = _w(f"{sales('region')},\n{weekly()}", "SELECT sid, wk, week_start, round(y, 6) AS y FROM weekly")
+    q["wide_to_weekly"] = q["weekly_panel"]
     q["weekly_panel_returns"] = _w(f"{sales('region', signed=True)},\n{weekly(clip=True)}",
                                    "SELECT sid, wk, week_start, round(y, 6) AS y FROM weekly")
     q["listed_panel"] = _w(N, "SELECT sid, wk, round(y, 6) AS y FROM listed")
