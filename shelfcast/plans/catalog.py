@@ -23,7 +23,7 @@ from shelfcast.operators.features import (design_matrix, latest_context, moving_
 from shelfcast.operators.metrics import newsvendor_totals
 from shelfcast.operators.quantiles import exact_percentiles, group_percentiles, pinball, quantile_forecast, uncross
 from shelfcast.plans import report as R
-from shelfcast.plans.experiment import (Study, best_params, cells, grid_frame, test_summary, tuning_trials)
+from shelfcast.plans.experiment import (Study, best_params, cells, grid_frame, holdout_summary, tuning_trials)
 from shelfcast.plans.forecasters import LEVEL_NAMES, moving_average, seasonal_naive
 from shelfcast.plans.orders import aggregate_plan
 from shelfcast.plans.orders import next_month_forecast as plan_next_month
@@ -517,9 +517,9 @@ def per_series_scores(spark, root):
 def cell_summary(spark, root):
     """Test summary of every configuration (8 rows per dataset)."""
     st = _study(spark, root)
-    sn = test_summary(st, "seasonal_naive").withColumn("model", F.lit("seasonal_naive")) \
+    sn = holdout_summary(st, "seasonal_naive").withColumn("model", F.lit("seasonal_naive")) \
                                             .withColumn("params", F.lit("{}"))
-    ma = (test_summary(st, "moving_average").withColumn("model", F.lit("moving_average"))
+    ma = (holdout_summary(st, "moving_average").withColumn("model", F.lit("moving_average"))
           .withColumn("params", F.concat(F.lit('{"window": '), F.col("window").cast("string"), F.lit("}"))))
     cols = ["model", "params", "MASE", "MASE_median", "cost_per_unit", "fill_rate", "n_series"]
     return rounded(sn.select(*cols).unionByName(ma.select(*cols)))

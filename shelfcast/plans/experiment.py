@@ -125,7 +125,7 @@ def best_params(trials: DataFrame, model: str) -> DataFrame:
     return trials.agg(*picks, F.min("cost_per_unit").alias("cost_per_unit"))
 
 
-def test_summary(study: Study, model: str, per_series: DataFrame | None = None) -> DataFrame:
+def holdout_summary(study: Study, model: str, per_series: DataFrame | None = None) -> DataFrame:
     """Test-window summary of every grid configuration (fold 0)."""
     per = per_series if per_series is not None else study.per_series(model)
     cols = PARAM_COLUMNS[model]
