@@ -32,11 +32,12 @@ def daily_panel(sales: DataFrame) -> DataFrame:
     """P1+P2: dense (item_id, store_id, date, sold) from the first to the last sale date of the
     whole table, zero-filled — including the days before a series' first sale (G1).
 
-    The calendar bounds are a one-row aggregate (broadcast); the spine is observed series ×
+    One pass over the raw sales: the calendar bounds (a one-row aggregate, broadcast) and the
+    series list both come from the pre-aggregated daily sums. The spine is observed series ×
     calendar (R14), never all items × all stores.
     """
     sums = daily_sums(sales)
-    bounds = sales.agg(F.min("date").alias("d0"), F.max("date").alias("d1"))
+    bounds = sums.agg(F.min("date").alias("d0"), F.max("date").alias("d1"))
     series = sums.select("item_id", "store_id").distinct()
     spine = (series.crossJoin(F.broadcast(bounds))
                    .select("item_id", "store_id",
@@ -49,22 +50,24 @@ def daily_panel(sales: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- weekly panel ----------
 
 def weekly_sums(sales: DataFrame, spec: PanelSpec, clip_returns: bool = False) -> DataFrame:
-    """(sid, wk, y) summed per series-week, partial weeks dropped.
+    """(sid, wk, y) summed per series-week over every week with a sale.
 
     ``clip_returns`` clips each row at zero *before* summing (F11), as the long-CSV loader does.
+    Weeks outside [0, weeks) are kept here and dropped by the spine in ``densify_weeks`` (P5), so
+    the series list and the sums come from this one aggregate (one pass over the raw sales).
     """
     y = clip_zero("sold") if clip_returns else F.col("sold").cast("double")
     rows = sales.select(series_id("store_id", "item_id").alias("sid"),
                         week_index("date", spec.epoch).alias("wk"), y.alias("y"))
-    return (rows.filter((F.col("wk") >= 0) & (F.col("wk") < spec.weeks))
-                .groupBy("sid", "wk").agg(F.sum("y").alias("y")))
+    return rows.groupBy("sid", "wk").agg(F.sum("y").alias("y"))
 
 
 def densify_weeks(sums: DataFrame, spec: PanelSpec, series: DataFrame | None = None) -> DataFrame:
-    """P7 (internal form): observed series × all weeks, missing weeks → 0.
+    """P5 + P7 (internal form): observed series × weeks [0, weeks), missing weeks → 0.
 
-    The aggregated side stays hash-partitioned on (sid, wk) from its aggregate, so the join
-    only shuffles the spine.
+    The spine only holds kept weeks, so partial or out-of-range weeks of ``sums`` simply do not
+    match. The aggregated side stays hash-partitioned on (sid, wk) from its aggregate, so the
+    join only shuffles the spine.
     """
     if series is None:
         series = sums.select("sid").distinct()
@@ -75,14 +78,9 @@ def densify_weeks(sums: DataFrame, spec: PanelSpec, series: DataFrame | None = N
 
 
 def weekly_panel(sales: DataFrame, spec: PanelSpec, clip_returns: bool = False) -> DataFrame:
-    """Dense weekly panel (sid, wk, week_start, y), zero-filled, over every series that has a sale.
-
-    Series come from all sales rows (also those outside the kept weeks), like an unstack
-    of all (series, week) totals followed by a column cut.
-    """
-    sums = weekly_sums(sales, spec, clip_returns)
-    series = sales.select(series_id("store_id", "item_id").alias("sid")).distinct()
-    return densify_weeks(sums, spec, series)
+    """Dense weekly panel (sid, wk, week_start, y), zero-filled, over every series that has a sale
+    (also a sale outside the kept weeks, like an unstack of all totals followed by a column cut)."""
+    return densify_weeks(weekly_sums(sales, spec, clip_returns), spec)
 
 
 def listed_panel(panel: DataFrame) -> DataFrame:
