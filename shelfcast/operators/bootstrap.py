@@ -62,6 +62,23 @@ def draw_weights(pos: DataFrame, resamples: int, seed: int = SEED) -> DataFrame:
     return d.groupBy("dataset", "b", "pos").agg(F.count(F.lit(1)).alias("weight"))
 
 
+def _mean_mase(w):
+    return F.sum(w * F.col("mase")) / F.sum(F.when(F.col("mase").isNotNull(), w))
+
+
+def _pooled_cost(w):
+    return F.sum(w * F.col("cost")) / F.sum(w * F.col("demand"))
+
+
+# M8: metric name → (per-series fields, weighted aggregate builder). The median is not a plain
+# aggregate: it is computed with the skew-safe weighted exact percentile in ``replicate_stats``.
+METRIC_REGISTRY = {
+    "MASE": (("mase",), _mean_mase),
+    "MASE_median": (("mase",), None),
+    "cost_per_unit": (("cost", "demand"), _pooled_cost),
+}
+
+
 def replicate_stats(per_series: DataFrame, pos: DataFrame, weights: DataFrame) -> DataFrame:
     """T13 per (cell, b): weighted mean MASE, weighted median MASE, pooled cost/unit.
 
@@ -71,9 +88,9 @@ def replicate_stats(per_series: DataFrame, pos: DataFrame, weights: DataFrame) -
     observed = pos.select("dataset", "pos").withColumn("b", F.lit(-1)).withColumn("weight", F.lit(1).cast("long"))
     w = weights.unionByName(observed)
     x = rows.join(w, ["dataset", "pos"])
-    main = x.groupBy(*CELL, "b").agg(
-        (F.sum(F.col("weight") * F.col("mase")) / F.sum(F.when(F.col("mase").isNotNull(), F.col("weight")))).alias("MASE"),
-        (F.sum(F.col("weight") * F.col("cost")) / F.sum(F.col("weight") * F.col("demand"))).alias("cost_per_unit"))
+    weight = F.col("weight")
+    main = x.groupBy(*CELL, "b").agg(*[fn(weight).alias(name) for name, (_, fn) in METRIC_REGISTRY.items()
+                                       if fn is not None])
     med = exact_percentiles(x, [*CELL, "b"], "mase", [0.5], ["MASE_median"], weight="weight").drop("n")
     return main.join(med, [*CELL, "b"], "left")
 

@@ -99,6 +99,17 @@ class Study:
         return self._memo[memo_key]
 
 
+# M9: dataset name → loader returning the study (sales view, panels, calendar and costs).
+DATASETS = {
+    "brand_region": lambda spark, root: Study(spark, root, "region"),
+    "brand_nation": lambda spark, root: Study(spark, root, "nation"),
+}
+
+
+def load_dataset(name: str, spark: SparkSession, root: str) -> Study:
+    return DATASETS[name](spark, root)
+
+
 def grid_frame(spark: SparkSession, model: str) -> DataFrame:
     """The parameter grid as rows with its grid index (for first-in-grid tie breaks)."""
     cols = PARAM_COLUMNS[model]
