@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from shelfcast.config import DAILY_HORIZON, DEFAULT_COSTS
 from shelfcast.functions.columns import half_even
 from shelfcast.operators.panel import daily_panel
+from shelfcast.operators.quantiles import group_percentiles
 
 KEYS = ["store_id", "item_id"]
 
@@ -36,7 +37,7 @@ def daily_order_forecast(sales: DataFrame, window: int = DAILY_HORIZON, horizon:
     steps = F.array(*[F.struct(F.lit(s).alias("step"), (F.col(f"_l{s}") - F.col("_m")).alias("r"))
                       for s in range(1, horizon + 1)])
     res = valid.select(*KEYS, F.inline(steps))
-    rq = res.groupBy(*KEYS, "step").agg(F.percentile("r", float(level)).alias("rq"))
+    rq = group_percentiles(res, [*KEYS, "step"], "r", [level], ["rq"])
     fc = point.join(rq, KEYS)
     order = F.greatest(F.col("point") + F.col("rq"), F.lit(0.0))
     return fc.select(*KEYS, "step", F.date_add("_end", F.col("step")).alias("forecasted_date"),
