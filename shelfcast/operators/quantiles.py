@@ -144,35 +144,26 @@ def nested_percentiles(df: DataFrame, keys: list[str], value: str, position, cut
     """Exact percentiles of ``value`` per group for several nested row sets at once.
 
     Row set ``f`` holds the rows with ``position < cut_f`` (rolling origins: every earlier origin
-    sees a prefix of the later one's history). Each group is sorted once by value; a running
-    count of in-set rows gives every row its rank inside each set, so no row is replicated per
-    origin. Groups must be bounded (here: by the calendar). ``cuts`` is a list of (fold, cut).
-    Returns (fold, cut, keys, names...) with NULLs for empty sets.
+    sees a prefix of the later one's history). Each group is gathered and sorted by value once
+    (JVM ``array_sort``); each origin filters that sorted array to its prefix and interpolates the
+    two order statistics around q·(n−1). No row is replicated per origin. Groups must be bounded
+    (here: by the calendar). ``cuts`` is a list of (fold, cut). Returns (fold, cut, keys,
+    names...) with NULLs for empty sets.
     """
     pos_col = F.col(position) if isinstance(position, str) else position
-    base = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), pos_col.alias("_p"))
-    w_sorted = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_all = Window.partitionBy(*keys)
-    cols = []
-    for f, c in cuts:
-        ind = (F.col("_p") < F.lit(c)).cast("long")
-        cols += [ind.alias(f"_i{f}"), F.sum(ind).over(w_sorted).alias(f"_k{f}"), F.sum(ind).over(w_all).alias(f"_n{f}")]
-    ranked = base.select(*keys, "_v", *cols)
-    aggs = []
-    for f, _ in cuts:
-        n = F.col(f"_n{f}")
-        rank = F.col(f"_k{f}") - F.lit(1)
-        inset = F.col(f"_i{f}") == 1
-        aggs.append(F.first(n).alias(f"_n{f}"))
-        for i, q in enumerate(levels):
-            pos = F.lit(float(q)) * (n - F.lit(1)).cast("double")
-            aggs += [F.max(F.when(inset & (rank == F.floor(pos)), F.col("_v"))).alias(f"_lo{f}_{i}"),
-                     F.max(F.when(inset & (rank == F.ceil(pos)), F.col("_v"))).alias(f"_hi{f}_{i}"),
-                     F.first(pos - F.floor(pos)).alias(f"_fr{f}_{i}")]
-    g = ranked.groupBy(*keys).agg(*aggs)
+    g = (df.filter(F.col(value).isNotNull())
+           .groupBy(*keys)
+           .agg(F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), pos_col.alias("p")))).alias("_a")))
     per_cut = []
     for f, c in cuts:
-        vals = [(F.col(f"_lo{f}_{i}") + F.col(f"_fr{f}_{i}") * (F.col(f"_hi{f}_{i}") - F.col(f"_lo{f}_{i}"))).alias(n)
-                for i, n in enumerate(names)]
-        per_cut.append(F.struct(F.lit(f).alias("fold"), F.lit(c).alias("cut"), *vals))
-    return g.select(*keys, F.inline(F.array(*per_cut))).select("fold", "cut", *keys, *names)
+        prefix = F.transform(F.filter("_a", lambda x: x["p"] < F.lit(c)), lambda x: x["v"])
+        per_cut.append(F.struct(F.lit(f).alias("fold"), F.lit(c).alias("cut"), prefix.alias("_v")))
+    x = g.select(*keys, F.inline(F.array(*per_cut)))
+    n = F.size("_v")
+    outs = []
+    for q, name in zip(levels, names):
+        pos = F.lit(float(q)) * (n - F.lit(1)).cast("double")
+        lo = F.element_at("_v", (F.floor(pos) + 1).cast("int"))
+        hi = F.element_at("_v", (F.ceil(pos) + 1).cast("int"))
+        outs.append(F.when(n > 0, lo + (pos - F.floor(pos)) * (hi - lo)).alias(name))
+    return x.select("fold", "cut", *keys, *outs)
