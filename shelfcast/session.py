@@ -65,4 +65,11 @@ def materialize(df):
     """Cut lineage of a reused intermediate with a reliable checkpoint in the shared
     ``spark.checkpoint.dir`` (survives executor loss; never a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    from pyspark import StorageLevel
+    # Persist first so the eager checkpoint computes the plan once (count + file write), then
+    # drop the cache: later reads come from the checkpoint files.
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist(blocking=False)
