@@ -32,16 +32,17 @@ def daily_panel(sales: DataFrame) -> DataFrame:
     """P1+P2: dense (item_id, store_id, date, sold) from the first to the last sale date of the
     whole table, zero-filled — including the days before a series' first sale (G1).
 
-    One pass over the raw sales: the calendar bounds (a one-row aggregate, broadcast) and the
+    One pass over the raw sales: the calendar bounds (scalar subqueries) and the
     series list both come from the pre-aggregated daily sums. The spine is observed series ×
     calendar (R14), never all items × all stores.
     """
     sums = daily_sums(sales)
-    bounds = sums.agg(F.min("date").alias("d0"), F.max("date").alias("d1"))
+    # Calendar bounds are uncorrelated scalar subqueries (Spark merges them into one aggregate).
+    d0 = sums.select(F.min("date")).scalar()
+    d1 = sums.select(F.max("date")).scalar()
     series = sums.select("item_id", "store_id").distinct()
-    spine = (series.crossJoin(F.broadcast(bounds))
-                   .select("item_id", "store_id",
-                           F.explode(F.sequence("d0", "d1", F.expr("INTERVAL 1 DAY"))).alias("date")))
+    spine = series.select("item_id", "store_id",
+                          F.explode(F.sequence(d0, d1, F.expr("INTERVAL 1 DAY"))).alias("date"))
     return (spine.join(sums, ["item_id", "store_id", "date"], "left")
                  .select("item_id", "store_id", "date",
                          F.coalesce(F.col("sold"), F.lit(0.0)).alias("sold")))

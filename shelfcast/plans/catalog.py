@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from shelfcast.config import COSTS, DEFAULT_GEOLOCATION, MA_WINDOWS, N_SERIES, SEED, TESTDATA_SPEC
-from shelfcast.functions.columns import compose_geolocation, md5_int
+from shelfcast.functions.columns import compose_geolocation, critical_ratio, md5_int, quantile_levels
 from shelfcast.operators import dims as D
 from shelfcast.operators import panel as P
 from shelfcast.operators.bootstrap import significance
@@ -288,33 +288,38 @@ def panel_profile(spark, root):
                   F.min("wk").alias("first_wk"))
              .withColumn("weeks_since_first", (F.lit(SPEC.weeks) - F.col("first_wk")).cast("double"))
              .withColumn("_all", F.lit(1)))
-    meds = [exact_percentiles(per, ["_all"], c, [0.5], [f"median_{c}"]).drop("n") for c in
-            ("weeks_since_first", "mean_demand", "zero_share")]
-    counts = (st.weekly.select("sid").distinct().agg(F.count(F.lit(1)).alias("series"))
-                .crossJoin(elig.agg(F.count(F.lit(1)).alias("eligible"))))
-    out = counts.withColumn("_all", F.lit(1))
-    for m in meds:
-        out = out.join(m, "_all")
-    return rounded(out.select("series", "eligible", (F.col("eligible") / F.col("series")).alias("eligible_share"),
-                              F.lit(SPEC.weeks).alias("weeks"), "median_weeks_since_first",
-                              "median_mean_demand", "median_zero_share"))
+    # Every figure is one value: uncorrelated scalar subqueries over distributed aggregates.
+    meds = {c: exact_percentiles(per, ["_all"], c, [0.5], ["m"]).select("m").scalar()
+            for c in ("weeks_since_first", "mean_demand", "zero_share")}
+    series = st.weekly.select(F.countDistinct("sid")).scalar()
+    eligible = elig.select(F.count(F.lit(1))).scalar()
+    one = spark.range(1)
+    return rounded(one.select(series.alias("series"), eligible.alias("eligible"),
+                              (eligible / series).alias("eligible_share"), F.lit(SPEC.weeks).alias("weeks"),
+                              meds["weeks_since_first"].alias("median_weeks_since_first"),
+                              meds["mean_demand"].alias("median_mean_demand"),
+                              meds["zero_share"].alias("median_zero_share")))
 
 
 @query
 def cost_parameters(spark, root):
     """per panel view and cost set: series count, costs, critical ratio, levels."""
-    costs = spark.createDataFrame([(k, c.holding, c.stockout) for k, c in COSTS.items()],
-                                  "cost_set string, holding double, stockout double")
     views = []
     for level in ("region", "nation"):
         st = _study(spark, root, level)
         views.append(st.weekly.select("sid").distinct().agg(F.count(F.lit(1)).alias("n_series"))
                        .withColumn("dataset", F.lit(st.name)))
     v = views[0].unionByName(views[1])
-    cr = F.col("stockout") / (F.col("stockout") + F.col("holding"))
-    return rounded(v.crossJoin(F.broadcast(costs)).select(
-        "dataset", "cost_set", "n_series", "holding", "stockout", cr.alias("critical_ratio"),
-        F.array(F.lit(0.5), cr)[0].alias("q_lo"), F.array(F.lit(0.5), cr)[1].alias("q_hi")))
+    out = None
+    for name, c in COSTS.items():  # cost sets are a driver-side parameter table
+        h, s = F.lit(c.holding), F.lit(c.stockout)
+        cr = critical_ratio(h, s)
+        levels = quantile_levels(cr)
+        part = v.select("dataset", F.lit(name).alias("cost_set"), "n_series", h.alias("holding"),
+                        s.alias("stockout"), cr.alias("critical_ratio"), levels[0].alias("q_lo"),
+                        levels[1].alias("q_hi"))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out)
 
 
 @query
@@ -615,7 +620,7 @@ def grid_edge(spark, root):
     """Winning window and whether it sits on the grid edge."""
     st = _study(spark, root)
     best = best_params(tuning_trials(st, "moving_average"), "moving_average")
-    out = R.grid_edge(best.withColumn("model", F.lit("moving_average")), grid_frame(spark, "moving_average"), "window")
+    out = R.grid_edge(best.withColumn("model", F.lit("moving_average")), list(MA_WINDOWS), "window")
     return rounded(out.select("model", "window", "is_edge"))
 
 

@@ -125,7 +125,9 @@ def tuning_trials(study: Study, model: str, per_series: DataFrame | None = None)
     val = per.filter(F.col("fold") >= 1).groupBy(*cols).agg(*pooled(cols)[:1]) if cols else \
         per.filter(F.col("fold") >= 1).agg(*pooled(cols)[:1])
     grid = grid_frame(study.spark, model)
-    return (grid.join(val, cols) if cols else grid.crossJoin(val)).select("grid_idx", *cols, "cost_per_unit")
+    if not cols:  # a parameter-free model has a one-entry grid
+        return val.select(F.lit(0).alias("grid_idx"), "cost_per_unit")
+    return grid.join(val, cols).select("grid_idx", *cols, "cost_per_unit")
 
 
 def best_params(trials: DataFrame, model: str) -> DataFrame:

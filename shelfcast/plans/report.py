@@ -83,9 +83,7 @@ def rank_disagreement(cells: DataFrame) -> DataFrame:
     return r.filter(F.col("mase_rank") != F.col("cost_rank"))
 
 
-def grid_edge(best: DataFrame, grid: DataFrame, param: str) -> DataFrame:
-    """Is the winning value the smallest or largest of its grid?"""
-    bounds = grid.agg(F.min(param).alias("_lo"), F.max(param).alias("_hi"))
-    return (best.crossJoin(F.broadcast(bounds))
-                .select("*", ((F.col(param) == F.col("_lo")) | (F.col(param) == F.col("_hi"))).alias("is_edge"))
-                .drop("_lo", "_hi"))
+def grid_edge(best: DataFrame, grid_values: list, param: str) -> DataFrame:
+    """Is the winning value the smallest or largest of its grid (a driver-side parameter list)?"""
+    lo, hi = min(grid_values), max(grid_values)
+    return best.select("*", ((F.col(param) == F.lit(lo)) | (F.col(param) == F.lit(hi))).alias("is_edge"))
