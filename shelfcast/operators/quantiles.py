@@ -55,10 +55,11 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, levels, names:
     ranged = base.repartitionByRange(p, *[F.col(k) for k in keys], F.col("_v")) \
                  .withColumn("_pid", F.spark_partition_id())
     slice_w = Window.partitionBy("_pid", *keys)
-    local = (ranged.withColumn("_c", F.sum("_w").over(
-                        slice_w.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_w"))
-                   .withColumn("_t", F.sum("_w").over(slice_w)))
-    totals = local.groupBy("_pid", *keys).agg(F.first("_t").alias("_t"))
+    # Rank inside each (range partition, group) slice; slice totals come from a plain aggregate
+    # over the same (reused) range exchange, so the ranking window runs once.
+    local = ranged.withColumn("_c", F.sum("_w").over(
+        slice_w.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_w"))
+    totals = ranged.groupBy("_pid", *keys).agg(F.sum("_w").alias("_t"))
     grp = Window.partitionBy(*keys)
     offsets = totals.select(
         "_pid", *keys, "_t",
