@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from shelfcast.config import COSTS, DEFAULT_GEOLOCATION, MA_WINDOWS, N_SERIES, SEED, TESTDATA_SPEC
+from shelfcast.config import COSTS, DEFAULT_GEOLOCATION, MA_WINDOWS, SEED, TESTDATA_SPEC
 from shelfcast.functions.columns import compose_geolocation, critical_ratio, md5_int, quantile_levels
 from shelfcast.operators import dims as D
 from shelfcast.operators import panel as P
@@ -21,9 +21,9 @@ from shelfcast.operators.bootstrap import significance
 from shelfcast.operators.features import (design_matrix, latest_context, moving_average_residuals,
                                           scaled_windows, seasonal_residuals, trailing_mean)
 from shelfcast.operators.metrics import newsvendor_totals
-from shelfcast.operators.quantiles import exact_percentiles, group_percentiles, pinball, quantile_forecast, uncross
+from shelfcast.operators.quantiles import exact_percentiles, group_percentiles, pinball, uncross
 from shelfcast.plans import report as R
-from shelfcast.plans.experiment import (Study, best_params, cells, grid_frame, holdout_summary, tuning_trials)
+from shelfcast.plans.experiment import Study, best_params, cells, holdout_summary, tuning_trials
 from shelfcast.plans.forecasters import LEVEL_NAMES, moving_average, seasonal_naive
 from shelfcast.plans.orders import aggregate_plan
 from shelfcast.plans.orders import next_month_forecast as plan_next_month

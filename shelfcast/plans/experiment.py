@@ -15,7 +15,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.config import MA_WINDOWS, TESTDATA_SPEC, Costs, PanelSpec
+from shelfcast.config import TESTDATA_SPEC, Costs, PanelSpec
 from shelfcast.operators import panel as P
 from shelfcast.operators.metrics import pooled, score_series, seasonal_scale, summarize
 from shelfcast.session import materialize
