@@ -51,7 +51,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     t = sizes.withColumn("weight", w).withColumn("__r", most * F.col("source_size") / F.col("weight"))
     t = t.withColumn("__level", (F.sum("source_size").over(every) - F.coalesce(F.sum(most * F.col("source_size")).over(up), F.lit(0.0)))
                      / F.sum("weight").over(down))
-    t = t.withColumn("__level", F.min(F.when(F.col("__r") >= F.col("__level"), F.col("__level"))).over(every))
+    t = t.withColumn("__level", F.max(F.when(F.col("__r") >= F.col("__level"), F.col("__level"))).over(every))
     return t.withColumn("target", F.least(most * F.col("source_size"), F.col("__level") * F.col("weight")).cast("double")).drop("__r", "__level")
 
 

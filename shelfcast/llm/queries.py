@@ -97,16 +97,16 @@ _TRIM = "rtrim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 _QUALITY_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
-    list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 g AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 h AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM g) WHERE c > 1),
 p AS (SELECT rid, count(DISTINCT i + k) AS n FROM h, (SELECT unnest([0, 1, 2]) AS k) GROUP BY rid),
-l AS (SELECT rid, list_sum(list_transform(ls, x -> length({_TRIM}))) AS all_chars,
-    list_sum(list_transform(list_filter(list_transform(list_distinct(ls), x -> {_TRIM}), x -> list_contains({_ENDS}, right(x, 1))
+l AS (SELECT rid, list_sum(list_transform(ls, lambda x: length({_TRIM}))) AS all_chars,
+    list_sum(list_transform(list_filter(list_transform(list_distinct(ls), lambda x: {_TRIM}), lambda x: list_contains({_ENDS}, right(x, 1))
         AND length(x) - length(replace(x, ' | ', '')) < 9
         AND NOT (upper(left(x, 4)) = left(x, 4) AND lower(x) <> x AND upper(x) = x AND length(x) - length(replace(x, ' ', '')) >= 4)
         AND {_PHRASES}
-        AND len(regexp_extract_all(x, '[#*$%&|<>]')) * 2 <= length(x) - length(replace(x, ' ', '')) + 1), x -> length(x))) AS good_chars FROM w),
+        AND len(regexp_extract_all(x, '[#*$%&|<>]')) * 2 <= length(x) - length(replace(x, ' ', '')) + 1), lambda x: length(x))) AS good_chars FROM w),
 b AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
     CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words, coalesce(all_chars, 0) AS a, coalesce(good_chars, 0) AS good
