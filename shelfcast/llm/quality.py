@@ -78,6 +78,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", min_words: int = 50,
     d = d.withColumns({
         "base_failed": (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words")),
         "n_lost_chars": F.col("n_line_chars") - F.aggregate("__good", nothing, lambda a, x: a + F.length(x)),
-        "clean_text": F.array_join("__good", "\n")})
-    d = d.withColumn("kept", ~F.col("base_failed") & (F.col("n_lost_chars") <= max_lost * F.col("n_line_chars")))
-    return d.drop("__t", "__w", "__l", "__h", "__s", "__u", "__p", "__good")
+        "clean_text": F.array_join("__good", "\n"),
+        # a filter on the verdict stays above this point, else the optimizer would copy all of the above into it
+        "__n": F.monotonically_increasing_id()})
+    d = d.withColumn("kept", ~F.col("base_failed") & (F.col("n_lost_chars") <= max_lost * F.col("n_line_chars")) & (F.col("__n") >= 0))
+    return d.drop("__t", "__w", "__l", "__h", "__s", "__u", "__p", "__good", "__n")
