@@ -26,6 +26,7 @@ LENGTH, GRAM = 100, 32
 _CODE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 PAD = 0xFF  # no byte of UTF-8
+BUCKET_BYTES = 6 << 20  # of text whose suffixes a bucket merges, about
 
 
 def sliding(v: np.ndarray, width: int, step) -> np.ndarray:
@@ -199,7 +200,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     largest; rows that repeat an id are told apart by text length and order. No rows give no rows; other
     columns are not read."""
     runs = Runs(docs, id_col, text_col)
-    buckets = max(1, runs.bytes // (24 << 20) + 1)
+    buckets = runs.bytes // BUCKET_BYTES + 1
 
     def keys_of(t: pa.Table):
         data, offs = text_bytes(t.column("text"))
