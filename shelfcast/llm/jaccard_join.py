@@ -72,9 +72,9 @@ def least_common(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
-def rarity(runs_: np.ndarray, docs: np.ndarray) -> np.ndarray:
+def rarity(docs: np.ndarray) -> np.ndarray:
     """0 for a shingle of one document, else 1 + half powers of two of the number of documents."""
-    return np.where(docs < 2, 0, 1 + np.minimum(np.floor(2 * np.log2(np.maximum(docs, 2))), 250)).astype(np.uint8)
+    return np.where(docs < 2, 0, 1 + np.minimum(np.floor(2 * np.log2(np.maximum(docs, 2))), 250)).astype(np.int64)
 
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, orders: int) -> DataFrame:
@@ -90,10 +90,7 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
             out[i] = u, {"docs": n}
         return out
 
-    def merge(kind, index, sums, n):
-        return {"rarity": rarity(sums["runs"], sums["docs"])}
-
-    answers = ask(runs, keys_of, ("docs",), merge, {"rarity": np.uint8}, runs.buckets(0.17 / SLICES), "shingle_rarity")
+    answers = ask(runs, keys_of, ("docs",), lambda sums: {"rarity": rarity(sums["docs"])}, ("rarity",), runs.buckets(0.17 / SLICES), "shingle_rarity")
 
     def choose(t: pa.Table, a: pa.Table) -> pa.Table:
         h, at = all_shingles(t, width)
@@ -114,7 +111,7 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
             cls = np.full(len(h), 255, np.int64)
             own = which == i
             u, index = np.unique(slice_keys(h[own], i), return_inverse=True)
-            cls[own] = answers_of(a, i, "rarity", np.uint8)[index]
+            cls[own] = answers_of(a, i, "rarity")[index]
             order = np.lexsort((mix64(h + mix64(np.array([i + 1], np.uint64))), cls, doc))
             rank = np.arange(len(h)) - at[doc]
             take = (rank < keep[doc]) & (cls[order] > 0)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, scratch_table, text_bytes, text_chunks, word_hashes
-from .runs import Runs, answers_of, ask, packed
+from .runs import Runs, answers_of, ask, packed, unpacked_counts
 
 _BEGIN, _END = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x5851F42D4C957F2D)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -101,17 +101,16 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
             out[k] = u, {"counted": np.bincount(index[parts == 1], minlength=len(u)), "held": np.bincount(index[parts == 2], minlength=len(u))}
         return out
 
-    def merge(kind, index, sums, n):
+    def merge(sums):
         return {"counted": sums["counted"], "all": sums["counted"] + sums["held"]}
 
-    answers = ask(runs, keys_of, ("counted", "held"), merge, {"counted": np.uint32, "all": np.uint32},
+    answers = ask(runs, keys_of, ("counted", "held"), merge, ("counted", "all"),
                   runs.buckets(0.17 * order), "lm_counts")
 
     def totals(batches):
         for b in batches:
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                c, a = np.frombuffer(x, np.uint32).astype(np.int64), np.frombuffer(y, np.uint32).astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"nc": [int(c.sum())], "vc": [int((c > 0).sum())], "na": [int(a.sum())], "va": [int((a > 0).sum())]})
+            for c, x in zip(unpacked_counts(b.column(0)), unpacked_counts(b.column(1))):
+                yield pa.RecordBatch.from_pydict({"nc": c[:1], "vc": c[1:], "na": x[:1], "va": x[1:]})
     sums = (answers.filter("run = -1 and kind = 1").select("counted", "all").mapInArrow(totals, "nc long, vc long, na long, va long")
             .agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("nc", "vc", "na", "va")])).first()
     sizes = runs.docs.agg(F.count_if(F.col("part") == 1).alias("c"), F.count_if(F.col("part") > 0).alias("a")).first()
@@ -127,7 +126,7 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
         for k in range(1, order + 1):
             own = np.concatenate([keys[k - 1], begin_key(k)]) if k < order else keys[k - 1]
             u, index = np.unique(own, return_inverse=True)
-            values = answers_of(a, k, column, np.uint32).astype(np.int64)
+            values = answers_of(a, k, column)
             tables.append((u, values))
             counts.append(values[index[:len(toks)]])
         starts = at[:-1]

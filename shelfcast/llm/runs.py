@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,37 +75,56 @@ def unpacked(column: pa.ChunkedArray, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype) for x in column.to_pylist()]
 
 
+def packed_counts(a: np.ndarray) -> bytes:
+    """Counts in the least width that holds them, after a byte that names it."""
+    top = int(a.max()) if len(a) else 0
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return bytes([width]) + packed(a.astype(f"u{width}"))
+
+
+def unpacked_counts(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x, f"u{x[0]}", offset=1).astype(np.int64) for x in column.to_pylist()]
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as the planes of their differences' bytes: high planes are nearly all zero and compress."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    return packed(gaps.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+
+
+def unpacked_keys(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.cumsum(np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+            for x in column.to_pylist()]
+
+
 def ask(runs: Runs, keys_of: Callable[[pa.Table], dict[int, tuple[np.ndarray, dict[str, np.ndarray]]]], columns: tuple[str, ...],
-        merge: Callable[[int, np.ndarray, dict[str, np.ndarray], int], dict[str, np.ndarray]], answer: dict[str, object],
-        buckets: int, name: str) -> DataFrame:
-    """The round trip: ``keys_of`` gives a run's sorted distinct keys (and uint32 ``columns`` on them) by kind;
-    ``merge(kind, index, sums, n)`` gets, for one bucket, the index of each sent key among its n distinct ones
-    and the columns summed over runs per distinct key, and gives one value per distinct key for each
-    column of ``answer`` (name: dtype). Returns a table (run, kind, bucket, answers as bytes); run -1 holds one
-    row per bucket with the answers of all its distinct keys."""
+        merge: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], answer: tuple[str, ...], buckets: int, name: str) -> DataFrame:
+    """The round trip: ``keys_of`` gives a run's sorted distinct keys (and counts ``columns`` on them) by kind;
+    ``merge`` gets, for one bucket, the counts summed over runs per distinct key and gives the counts
+    ``answer`` per distinct key. Returns a table (run, kind, bucket, <answer> as packed counts); run -1 holds one
+    row per bucket with (sum, number of keys above 0) of each answer."""
     def send(t: pa.Table) -> pa.Table:
         out = {"kind": [], "bucket": [], "run": [], "keys": [], **{c: [] for c in columns}}
         for kind, (keys, cols) in keys_of(t).items():
             cut = split_points(keys, buckets)
             for b in np.flatnonzero(np.diff(cut)):
                 part = slice(cut[b], cut[b + 1])
-                for k, v in (("kind", kind), ("bucket", int(b)), ("run", run_of(t)), ("keys", packed(keys[part]))):
+                for k, v in (("kind", kind), ("bucket", int(b)), ("run", run_of(t)), ("keys", packed_keys(keys[part]))):
                     out[k].append(v)
                 for c in columns:
-                    out[c].append(packed(cols[c][part].astype(np.uint32)))
+                    out[c].append(packed_counts(cols[c][part]))
         types = {"kind": pa.int32(), "bucket": pa.int32(), "run": pa.int32()}
         return pa.table({k: pa.array(v, types.get(k, pa.binary())) for k, v in out.items()})
 
     def meet(t: pa.Table) -> pa.Table:
-        sent = unpacked(t.column("keys"), np.uint64)
+        sent = unpacked_keys(t.column("keys"))
         distinct, index = np.unique(np.concatenate(sent), return_inverse=True)
-        sums = {c: np.bincount(index, np.concatenate(unpacked(t.column(c), np.uint32)), len(distinct)).astype(np.int64) for c in columns}
-        sums["runs"] = np.bincount(index, minlength=len(distinct))
-        kind, n = t.column("kind")[0].as_py(), len(sent)
-        found = merge(kind, index, sums, len(distinct))
-        ends = np.cumsum([len(s) for s in sent])[:-1]
-        back = {a: [packed(x) for x in np.split(found[a].astype(d)[index], ends)] + [packed(found[a].astype(d))] for a, d in answer.items()}
-        return pa.table({"run": pa.array([*t.column("run").to_pylist(), -1], pa.int32()), "kind": pa.array([kind] * (n + 1), pa.int32()),
+        found = merge({c: np.bincount(index, np.concatenate(unpacked_counts(t.column(c))), len(distinct)).astype(np.int64) for c in columns})
+        ends, n = np.cumsum([len(s) for s in sent])[:-1], len(sent)
+        back = {a: [packed_counts(x) for x in np.split(found[a].astype(np.int64)[index], ends)]
+                + [packed_counts(np.array([found[a].sum(), (found[a] > 0).sum()], np.int64))] for a in answer}
+        return pa.table({"run": pa.array([*t.column("run").to_pylist(), -1], pa.int32()),
+                         "kind": pa.array([t.column("kind")[0].as_py()] * (n + 1), pa.int32()),
                          "bucket": pa.array([t.column("bucket")[0].as_py()] * (n + 1), pa.int32()),
                          **{a: pa.array(v, pa.binary()) for a, v in back.items()}})
 
@@ -113,7 +133,7 @@ def ask(runs: Runs, keys_of: Callable[[pa.Table], dict[int, tuple[np.ndarray, di
     return scratch_table(met, name)
 
 
-def answers_of(a: pa.Table, kind: int, column: str, dtype) -> np.ndarray:
+def answers_of(a: pa.Table, kind: int, column: str) -> np.ndarray:
     """A run's answers of one kind in the order of its sorted keys."""
     rows = a.filter(pa.compute.equal(a.column("kind"), kind))
-    return np.concatenate([np.zeros(0, dtype), *unpacked(rows.column(column), dtype)])
+    return np.concatenate([np.zeros(0, np.int64), *unpacked_counts(rows.column(column))])

@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, powers, scratch_table, text_bytes
+from .common import mix64, powers, scratch_table, text_bytes, text_chunks
 from .runs import Runs, answers_of, ask, bucket_of, packed, run_of, unpacked
 
 LENGTH, GRAM = 100, 32
 _CODE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 PAD = 0xFF  # no byte of UTF-8
+SLICE = 8192  # anchors whose contexts or windows are spread out at a time
 BUCKET_BYTES = 6 << 20  # of text whose suffixes a bucket merges, about
 
 
@@ -46,6 +47,14 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
 
 def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int):
     """(anchor, first and last window that it stands for, its gram's hash), in order of place."""
+    found = []
+    for i, j in text_chunks(data, offs):
+        at, lo, hi, h = chunk_anchors(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i], length, gram)
+        found.append((at + offs[i], lo + offs[i], hi + offs[i], h))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else chunk_anchors(data, offs, length, gram)
+
+
+def chunk_anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int):
     if len(data) < length:
         z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, np.uint64)
@@ -68,13 +77,15 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int):
 def contexts(data: np.ndarray, offs: np.ndarray, at: np.ndarray, length: int, gram: int) -> np.ndarray:
     """For each anchor, a row of its suffix (``length`` bytes) and the length - gram bytes before it, nearest
     first; PAD beyond the text."""
-    if not len(at):
-        return np.zeros((0, 2 * length - gram), np.uint8)
-    doc = np.searchsorted(offs, at, "right") - 1
     step = np.concatenate([np.arange(length), -np.arange(1, length - gram + 1)])
-    where = at[:, None] + step
-    out = data[np.clip(where, 0, len(data) - 1)]
-    out[(where < offs[doc][:, None]) | (where >= offs[doc + 1][:, None])] = PAD
+    out = np.empty((len(at), len(step)), np.uint8)
+    for i in range(0, len(at), SLICE):
+        part = at[i:i + SLICE]
+        doc = np.searchsorted(offs, part, "right") - 1
+        where = part[:, None] + step
+        rows = data[np.clip(where, 0, len(data) - 1)]
+        rows[(where < offs[doc][:, None]) | (where >= offs[doc + 1][:, None])] = PAD
+        out[i:i + SLICE] = rows
     return out
 
 
@@ -86,7 +97,7 @@ class Suffixes:
         self.data, self.offs = text_bytes(t.column("text"))
         at, lo, hi, h = anchors(self.data, self.offs, length, gram)
         u, index = np.unique(h, return_inverse=True)
-        often = answers_of(a, 0, "often", np.uint8)[index] > 0
+        often = answers_of(a, 0, "often")[index] > 0
         self.at, self.lo, self.hi = at[often], lo[often], hi[often]
         rows = contexts(self.data, self.offs, self.at, length, gram)
         width = rows.shape[1]
@@ -207,7 +218,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         u, n = np.unique(anchors(data, offs, length, gram)[3], return_counts=True)
         return {0: (u, {"n": n})}
 
-    often = ask(runs, keys_of, ("n",), lambda kind, index, sums, n: {"often": sums["n"] > 1}, {"often": np.uint8},
+    often = ask(runs, keys_of, ("n",), lambda sums: {"often": sums["n"] > 1}, ("often",),
                 runs.buckets(0.03), "anchor_grams")
     asked = often.filter("run >= 0")
 
@@ -262,18 +273,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(t: pa.Table, a: pa.Table) -> pa.Table:
         s = Suffixes(t, a, length, gram, buckets)
         width = length - gram + 1
-        bits = np.unpackbits(answers_of(a, 1, "bits", np.uint8).reshape(len(s.lead), -1), axis=1)[:, :width].astype(bool)
-        mine = bits[s.copy_of]
-        is_lead = np.zeros(len(s.at), bool)
-        is_lead[s.lead] = True
-        mine[~is_lead] = True
+        flags = unpacked(a.filter(pa.compute.equal(a.column("kind"), 1)).column("bits"), np.uint8)
+        bits = np.unpackbits(np.concatenate([np.zeros(0, np.uint8), *flags]).reshape(len(s.lead), -1), axis=1)[:, :width].astype(bool)
+        copy = np.ones(len(s.at), bool)
+        copy[s.lead] = False
         d = np.arange(width)
-        mine &= (d >= (s.at - s.hi)[:, None]) & (d <= (s.at - s.lo)[:, None])
-        i, back = np.nonzero(mine)
-        starts = s.at[i] - back
-        edge = np.zeros(len(s.data) + 1, np.int32)
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + length, -1)
+        start = np.zeros(len(s.data) + 1, np.int32)  # windows to remove, each of which starts at one place only
+        for x in range(0, len(s.at), SLICE):
+            part = slice(x, x + SLICE)
+            mine = bits[s.copy_of[part]] | copy[part, None]
+            mine &= (d >= (s.at - s.hi)[part, None]) & (d <= (s.at - s.lo)[part, None])
+            i, back = np.nonzero(mine)
+            start[s.at[part][i] - back] = 1
+        edge = start
+        edge[length:] -= start[:-length].copy() if len(start) > length else 0
         gone = np.cumsum(edge)[:-1] > 0
         out: dict[str, list] = {k: [] for k in ("n", "removed", "spans", "sha", "kept")}
         for x, y in zip(s.offs[:-1].tolist(), s.offs[1:].tolist()):
