@@ -124,16 +124,16 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     return scratch_table(runs.apply_with(answers, choose, schema), "prefixes")
 
 
-def set_rows(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """id, set: the sorted distinct shingle hashes as bytes."""
+def set_rows(docs: DataFrame, width: int) -> DataFrame:
+    """id, set: the sorted distinct shingle hashes of each (id, text) as bytes."""
     def run(batches):
         for b in batches:
-            t = pa.table({"text": b.column(1)})
-            h, at = all_shingles(t, width)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([packed(x) for x in np.split(h, at[1:-1])][:len(at) - 1], pa.binary())], ["id", "set"])
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, set binary")
+            for start in range(0, b.num_rows, 256):
+                part = b.slice(start, 256)
+                h, at = all_shingles(pa.table({"text": part.column(1)}), width)
+                sets = [packed(h[i:j]) for i, j in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, set binary")
 
 
 def possible(percent: int):
@@ -152,8 +152,8 @@ def possible(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets link, on the full sets."""
+def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, name: str) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sets link, on the full sets of the documents that are in a pair."""
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
@@ -163,7 +163,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> Data
             out.append(100 * common >= percent * (len(p) + len(q) - common))
         return pd.Series(out, dtype=bool)
     need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    own = sets.join(need, "id", "left_semi")
+    own = scratch_table(set_rows(texts.join(need, "id", "left_semi").dropDuplicates(["id"]), width), "pair_sets")
     both = (pairs.join(own.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
             .join(own.select(F.col("id").alias("b"), F.col("set").alias("y")), "b"))
     return scratch_table(both.filter(linked("x", "y")).select("a", "b"), name)
@@ -206,7 +206,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = known.groupBy("digest").agg(F.min("id").alias("rep"))
     reps = scratch_table(known.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi")
                          .dropDuplicates(["id"]).drop("digest"), "set_classes")
-    sets = set_rows(docs, id_col, text_col, width).dropDuplicates(["id"])
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     # step 1: each class and the pivot of the bucket of its first shared shingle, under each order
     stars = None
@@ -215,14 +215,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         pivot = bucket.groupBy("s").agg(F.min("id").alias("a"), F.count("*").alias("k")).filter("k > 1").drop("k")
         pairs = bucket.join(pivot, "s").filter("id > a").select("a", F.col("id").alias("b"))
         stars = pairs if stars is None else stars.union(pairs)
-    links = verified(scratch_table(filtered(stars.distinct(), reps, percent, orders), "star_pairs"), sets, percent, "star_links")
+    links = verified(scratch_table(filtered(stars.distinct(), reps, percent, orders), "star_pairs"), texts, width, percent, "star_links")
     first = components(links, "star_components")
 
     # step 2: pairs from different components that meet under every order
     comp = reps.select("id", "n", *[f"p{i}" for i in range(orders)]).join(first, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     comp = scratch_table(comp, "class_components")
     left = across(comp, orders, percent)
-    more = verified(scratch_table(filtered(left, reps, percent, orders), "cross_pairs"), sets, percent, "cross_links")
+    more = verified(scratch_table(filtered(left, reps, percent, orders), "cross_pairs"), texts, width, percent, "cross_links")
     joined = components(links.union(more), "class_links") if more.take(1) else first
 
     rep_comp = classes.join(joined.select(F.col("id").alias("rep"), "comp"), "rep", "left").select(

@@ -27,6 +27,7 @@ _CODE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 PAD = 0xFF  # no byte of UTF-8
 SLICE = 8192  # anchors whose contexts or windows are spread out at a time
+RUN_BYTES = 2 << 20     # of text in a run, whose contexts are spread out in memory
 BUCKET_BYTES = 6 << 20  # of text whose suffixes a bucket merges, about
 
 
@@ -210,7 +211,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A null text is empty; texts below ``length`` bytes lose nothing. Ids are integers; a null id counts as the
     largest; rows that repeat an id are told apart by text length and order. No rows give no rows; other
     columns are not read."""
-    runs = Runs(docs, id_col, text_col)
+    runs = Runs(docs, id_col, text_col, run_bytes=RUN_BYTES)
     buckets = runs.bytes // BUCKET_BYTES + 1
 
     def keys_of(t: pa.Table):
