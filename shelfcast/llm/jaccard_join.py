@@ -104,8 +104,8 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
                 for x in (mix64(h ^ _STEP), mix64(h + _STEP))]
         cols["digest"] = pa.array([packed(np.array([x, y, k], np.uint64)) for x, y, k in zip(*sums, n.astype(np.uint64))], pa.binary())
         cell = (doc * HISTOGRAM + (mix64(h) >> np.uint64(58)).astype(np.int64)) if len(h) else np.zeros(0, np.int64)
-        hist = np.bincount(cell, minlength=len(n) * HISTOGRAM).reshape(len(n), HISTOGRAM).astype(np.uint32)
-        cols["hist"] = pa.array([packed(x) for x in hist], pa.binary())
+        hist = np.bincount(cell, minlength=len(n) * HISTOGRAM).reshape(len(n), HISTOGRAM)
+        cols["hist"] = pa.array([packed(x) for x in np.minimum(hist, 65535).astype(np.uint16)], pa.binary())
         for i in range(orders):
             # rank: shingles of the slice by rarity, then the others; ties by a salted hash
             cls = np.full(len(h), 255, np.int64)
@@ -143,8 +143,8 @@ def possible(percent: int):
     def run(n: pd.Series, m: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
         if not len(n):
             return pd.Series([], dtype=bool)
-        x = np.frombuffer(b"".join(a), np.uint32).reshape(len(n), -1).astype(np.int64)
-        y = np.frombuffer(b"".join(b), np.uint32).reshape(len(n), -1)
+        x = np.frombuffer(b"".join(a), np.uint16).reshape(len(n), -1).astype(np.int64)
+        y = np.frombuffer(b"".join(b), np.uint16).reshape(len(n), -1)
         n, m = n.to_numpy(), m.to_numpy()
         # 100 I >= percent U and U + I = n + m give the largest difference U - I that still links
         most = (n + m) * (100 - percent) / (100 + percent)
@@ -205,7 +205,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = rows.filter("n > 0 and id is not null")
     classes = known.groupBy("digest").agg(F.min("id").alias("rep"))
     reps = scratch_table(known.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi")
-                         .dropDuplicates(["id"]).drop("digest"), "set_classes")
+                         .dropDuplicates(["digest", "id"]).drop("digest"), "set_classes")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     # step 1: each class and the pivot of the bucket of its first shared shingle, under each order
@@ -258,13 +258,17 @@ def across(comp: DataFrame, orders: int, percent: int, small: int = 32) -> DataF
 
 
 def filtered(pairs: DataFrame, reps: DataFrame, percent: int, orders: int) -> DataFrame:
-    """The pairs that meet under every order and pass the size and histogram filters."""
-    cols = ["id", "n", "hist", *[f"p{i}" for i in range(orders)]]
-    side = lambda x: reps.select(*[F.col(c).alias(f"{c}_{x}") for c in cols])
-    both = pairs.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b"))
+    """The pairs that pass the size and histogram filters and meet under every order."""
+    side = lambda d, x, cols: d.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", *cols)])
+
+    def with_columns(d: DataFrame, cols: list[str]) -> DataFrame:
+        return (d.join(side(reps, "a", cols), F.col("a") == F.col("id_a")).drop("id_a")
+                .join(side(reps, "b", cols), F.col("b") == F.col("id_b")).drop("id_b"))
+    near = with_columns(pairs, ["n", "hist"]).filter(possible(percent)("n_a", "n_b", "hist_a", "hist_b")).select("a", "b")
+    both = with_columns(scratch_table(near, "near_pairs"), [f"p{i}" for i in range(orders)])
     for i in range(orders):
         both = both.filter(F.arrays_overlap(f"p{i}_a", f"p{i}_b"))
-    return both.filter(possible(percent)("n_a", "n_b", "hist_a", "hist_b")).select("a", "b")
+    return both.select("a", "b")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -72,7 +72,8 @@ def chunk_anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int):
     new[1:] = (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
-    return at[first], starts[first], starts[last], h[at[first]]
+    # anchors have the least hashes of their windows: spread them again, for even buckets
+    return at[first], starts[first], starts[last], mix64(h[at[first]] + _CODE[:1])
 
 
 def contexts(data: np.ndarray, offs: np.ndarray, at: np.ndarray, length: int, gram: int) -> np.ndarray:
