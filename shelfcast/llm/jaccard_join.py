@@ -2,8 +2,9 @@
 
 Documents are sets of word shingles. Under any one order of all shingles, two sets of Jaccard similarity t
 share a shingle among the first n - ceil(t n) + 1 of each. ``orders`` orders are used: order i ranks
-the i-th slice of the hash space first, rarest shingles first (their document frequencies are exact
-and counted for that slice only), then all other shingles by a salted hash. A pair is a candidate only
+the i-th slice of the hash space first, then the other orders' slices, then the rest, rarest shingles first
+in each. Document frequencies are counted in the orders' slices, and elsewhere among the documents whose
+prefixes may reach that far, so every document ranks what it ranks by the same numbers. A pair is a candidate only
 if its prefixes meet under every order; a histogram of the sets bounds their difference from below and
 sorts out more; the rest is verified on the full sets.
 
@@ -25,6 +26,7 @@ from .runs import Runs, answers_of, ask, packed
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 SLICES = 5      # an order's slice is this part of the hash space
+SHORT = 200     # shingles; the frequencies of all shingles of shorter documents are counted
 HISTOGRAM = 64  # cells of the histogram filter
 
 
@@ -82,11 +84,21 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     that only this document has; the first is the rarest)."""
     runs = Runs(docs, id_col, text_col)
 
+    def asked(h: np.ndarray, at: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Shingles whose frequency is counted: those of the orders' slices, and all of a document that is
+        short or may need others for its prefix. A prefix never reaches a shingle that was not asked for."""
+        n = np.diff(at)
+        doc = np.repeat(np.arange(len(n)), n)
+        inside = np.bincount(doc[which < orders], minlength=len(n))
+        every = (n < SHORT) | (inside < n - least_common(n, percent) + 1)
+        return (which < orders) | every[doc]
+
     def keys_of(t: pa.Table):
-        h, _ = all_shingles(t, width)
-        which, out = slice_of(h), {}
-        for i in range(orders):
-            u, n = np.unique(slice_keys(h[which == i], i), return_counts=True)
+        h, at = all_shingles(t, width)
+        which = slice_of(h)
+        on, out = asked(h, at, which), {}
+        for i in range(SLICES):
+            u, n = np.unique(slice_keys(h[on & (which == i)], i), return_counts=True)
             out[i] = u, {"docs": n}
         return out
 
@@ -106,15 +118,18 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
         cell = (doc * HISTOGRAM + (mix64(h) >> np.uint64(58)).astype(np.int64)) if len(h) else np.zeros(0, np.int64)
         hist = np.bincount(cell, minlength=len(n) * HISTOGRAM).reshape(len(n), HISTOGRAM)
         cols["hist"] = pa.array([packed(x) for x in np.minimum(hist, 65535).astype(np.uint16)], pa.binary())
-        for i in range(orders):
-            # rank: shingles of the slice by rarity, then the others; ties by a salted hash
-            cls = np.full(len(h), 255, np.int64)
-            own = which == i
+        on = asked(h, at, which)
+        common = np.zeros(len(h), np.int64)
+        for i in range(SLICES):
+            own = on & (which == i)
             u, index = np.unique(slice_keys(h[own], i), return_inverse=True)
-            cls[own] = answers_of(a, i, "rarity")[index]
+            common[own] = answers_of(a, i, "rarity")[index]
+        for i in range(orders):
+            # the order's slice, the other orders' slices, the rest; by rarity in each, ties by a salted hash
+            cls = np.where(which == i, 0, np.where(which < orders, 1000, np.where(on, 2000, 3000))) + common
             order = np.lexsort((mix64(h + mix64(np.array([i + 1], np.uint64))), cls, doc))
             rank = np.arange(len(h)) - at[doc]
-            take = (rank < keep[doc]) & (cls[order] > 0)
+            take = (rank < keep[doc]) & (common[order] > 0)
             chosen = h[order][take]
             ends = np.searchsorted(doc[take], np.arange(len(n) + 1))
             cols[f"p{i}"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(chosen.view(np.int64)))
@@ -233,27 +248,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                       F.when(linked, F.col("__c")).otherwise(F.col("id")).alias("component_id"))
 
 
-def across(comp: DataFrame, orders: int, percent: int, small: int = 32) -> DataFrame:
-    """Distinct (a, b), a < b, of different components whose prefixes share a shingle under order 0. A bucket
-    (shingle) of one component has no such pair and goes; a bucket of more than ``small`` classes is cut by
-    the shingles of the next order, which a pair must share as well, and so on through all orders; what is
-    left is joined by the bucket's key."""
-    rows = comp.select("id", "comp", "n", F.explode("p0").alias("s"), *[f"p{i}" for i in range(1, orders)])
-    rows = rows.withColumn("s", F.xxhash64("s"))
-    done = None
+def across(comp: DataFrame, orders: int, percent: int, most: int = 512) -> DataFrame:
+    """Distinct (a, b), a < b, of different components whose prefixes share a shingle. A link shares one under
+    every order, so a bucket (shingle) that would give more than ``most`` pairs is left to the next order,
+    which looks only at classes from such buckets; the last order takes all that is left. In a bucket the
+    largest component meets the others and those meet each other, so a group of copies gives no pairs within."""
+    names = [f"p{i}" for i in range(orders)]
+    done, now = None, comp
     for i in range(orders):
-        seen = rows.groupBy("s").agg(F.count("*").alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-        rows = rows.join(seen.select("s", "k"), "s")
-        ready = rows if i == orders - 1 else rows.filter(F.col("k") <= small)
-        part = ready.select("s", "id", "comp", "n")
-        other = part.select("s", F.col("id").alias("id2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"))
-        pairs = part.join(other, "s").filter(
-            (F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2"))
-            & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+        rows = now.select("id", "comp", "n", F.explode(names[i]).alias("s"))
+        sizes = rows.groupBy("s", "comp").agg(F.count("*").alias("k"))
+        top = (sizes.groupBy("s").agg(F.sum("k").alias("k"), F.max(F.struct("k", "comp")).alias("top"))
+               .filter(F.col("k") > F.col("top.k")))
+        top = top.select("s", F.col("top.comp").alias("top"), (F.col("k") - F.col("top.k")).alias("rest"), F.col("top.k").alias("own"))
+        hot = F.col("own") * F.col("rest") + F.col("rest") * F.col("rest") / 2 > most
+        rows = rows.join(top.select("s", "top", hot.alias("hot")), "s")
+        ready = rows if i == orders - 1 else rows.filter(~F.col("hot"))
+        other = ready.filter(F.col("comp") != F.col("top")).select(
+            "s", F.col("id").alias("id2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"))
+        pairs = ready.join(other, "s").filter(
+            ((F.col("comp") == F.col("top")) | (F.col("id") < F.col("id2"))) & (F.col("comp") != F.col("comp2"))
+            & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))).select(
+                F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
         done = pairs if done is None else done.union(pairs)
         if i < orders - 1:
-            rows = rows.filter(F.col("k") > small).drop("k").withColumn("t", F.explode(f"p{i + 1}")).withColumn(
-                "s", F.xxhash64("s", "t")).drop("t")
+            now = now.join(rows.filter("hot").select("id").distinct(), "id", "left_semi")
     return done.distinct()
 
 
