@@ -33,9 +33,12 @@ def prefix_sums(df: DataFrame, part: list[str], order: str, value: str, out: str
     inner = Window.partitionBy(*part, "__g").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     sums = g.groupBy(*part, "__g").agg(F.sum(value).alias("__s"))
     before = Window.partitionBy(*part).orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*part, "__g", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__b"))
-    return (g.withColumn("__i", F.coalesce(F.sum(value).over(inner), F.lit(0))).join(sums, [*part, "__g"])
-            .withColumn(out, F.col("__i") + F.col("__b")).drop("__g", "__i", "__b"))
+    # a struct around each part column lets null parts meet in the join
+    keys = [F.struct(F.col(c).alias("v")).alias(f"__{c}") for c in part]
+    sums = sums.select(*keys, "__g", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__b"))
+    names = [f"__{c}" for c in part]
+    return (g.select("*", *keys).withColumn("__i", F.coalesce(F.sum(value).over(inner), F.lit(0))).join(sums, [*names, "__g"])
+            .withColumn(out, F.col("__i") + F.col("__b")).drop("__g", "__i", "__b", *names))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0) -> DataFrame:
