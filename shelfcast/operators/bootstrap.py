@@ -35,7 +35,9 @@ def positions(per_series: DataFrame) -> DataFrame:
                      .select(*CELL, F.when(F.col("_k") != F.col("n"),
                                            F.raise_error(F.lit("cells score different series")))
                                       .otherwise(F.lit(True)).alias("_ok")))
-    return ranked.join(check.groupBy("dataset").agg(F.min("_ok").alias("_ok")), "dataset").drop("_ok")
+    checked = ranked.join(check.groupBy("dataset").agg(F.min("_ok").alias("_ok")), "dataset")
+    # the position hangs on the check, so that the optimizer cannot prune it
+    return checked.withColumn("pos", F.when(F.col("_ok"), F.col("pos"))).drop("_ok")
 
 
 def draw_weights(pos: DataFrame, resamples: int, seed: int = SEED) -> DataFrame:

@@ -20,6 +20,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfcast.session import materialize
+
 
 def group_percentiles(df: DataFrame, keys: list[str], value: str, levels, names: list[str]) -> DataFrame:
     """Exact linear-interpolated percentiles of ``value`` per group, NULLs ignored (A1).
@@ -52,8 +54,11 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, levels, names:
     w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     base = (df.select(*[F.col(k) for k in keys], F.col(value).cast("double").alias("_v"), w.alias("_w"))
               .filter(F.col("_v").isNotNull() & (F.col("_w") > 0)))
-    ranged = base.repartitionByRange(p, *[F.col(k) for k in keys], F.col("_v")) \
-                 .withColumn("_pid", F.spark_partition_id())
+    # Equal values become one weighted row (a hot value cannot fill a task), and the ranged rows are
+    # written once: range bounds are sampled, so two plans over them need not agree.
+    base = base.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w"))
+    ranged = materialize(base.repartitionByRange(p, *[F.col(k) for k in keys], F.col("_v"))
+                         .withColumn("_pid", F.spark_partition_id()))
     slice_w = Window.partitionBy("_pid", *keys)
     # Rank inside each (range partition, group) slice; slice totals come from a plain aggregate
     # over the same (reused) range exchange, so the ranking window runs once.
@@ -124,8 +129,8 @@ def global_rank(df: DataFrame, keys: list[str], order: str, partitions: int | No
     """
     spark = df.sparkSession
     p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(p, *[F.col(k) for k in keys], F.col(order)) \
-               .withColumn("_pid", F.spark_partition_id())
+    ranged = materialize(df.repartitionByRange(p, *[F.col(k) for k in keys], F.col(order))
+                         .withColumn("_pid", F.spark_partition_id()))
     slice_w = Window.partitionBy("_pid", *keys)
     local = (ranged.withColumn("_c", F.row_number().over(slice_w.orderBy(order)) - F.lit(1))
                    .withColumn("_t", F.count(F.lit(1)).over(slice_w)))

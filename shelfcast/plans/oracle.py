@@ -443,8 +443,8 @@ tr AS (SELECT 'seasonal_naive' AS model, 'statistical' AS regime, cpu FROM snval
 cs AS (SELECT dataset, model, regime, avg(mase) AS MASE, sum(cost) / sum(demand) AS cpu FROM cfgps
   GROUP BY dataset, model, regime),
 rk AS (SELECT dataset, model, regime,
-    CAST(rank() OVER (PARTITION BY dataset ORDER BY MASE, model, regime) AS INTEGER) AS mase_rank,
-    CAST(rank() OVER (PARTITION BY dataset ORDER BY cpu, model, regime) AS INTEGER) AS cost_rank FROM cs)""",
+    CAST(rank() OVER (PARTITION BY dataset ORDER BY MASE) AS INTEGER) AS mase_rank,
+    CAST(rank() OVER (PARTITION BY dataset ORDER BY cpu) AS INTEGER) AS cost_rank FROM cs)""",
         "SELECT dataset, model, regime, mase_rank, cost_rank FROM rk WHERE mase_rank <> cost_rank")
     q["grid_edge"] = _w(ER, f"""SELECT 'moving_average' AS model, CAST(k AS INTEGER) AS window,
     (k = {min(WINDOWS)} OR k = {max(WINDOWS)}) AS is_edge FROM best""")
