@@ -5,8 +5,9 @@ share a shingle among the first n - ceil(t n) + 1 of each. ``orders`` orders are
 the i-th slice of the hash space first, then the other orders' slices, then the rest, rarest shingles first
 in each. Document frequencies are counted in the orders' slices, and elsewhere among the documents whose
 prefixes may reach that far, so every document ranks what it ranks by the same numbers. A pair is a candidate only
-if its prefixes meet under every order; a histogram of the sets bounds their difference from below and
-sorts out more; the rest is verified on the full sets.
+if its prefixes meet under every order; shingles that no other document has and histograms of the sets bound
+their difference from below and sort out more, the cheaper bound while prefixes meet; the rest is verified on
+the full sets.
 
 Equal sets are one class and are represented by their least id. Links are found in two steps so that
 a group of near copies never emits all its pairs: first each class is verified against the pivot of
@@ -15,10 +16,13 @@ from different components that meet under all orders are verified, which loses n
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, scratch_table, text_bytes, text_chunks, word_hashes
@@ -28,6 +32,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 SLICES = 5      # an order's slice is this part of the hash space
 SHORT = 200     # shingles; the frequencies of all shingles of shorter documents are counted
 HISTOGRAM = 64  # cells of the histogram filter
+CELLS = 8       # cells of the small histograms, of 8 bits each, that travel with the prefixes
+BOUND = ["own", "own_rest", "n_rest", "counted", "cells", "cells_rest"]
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,22 +87,26 @@ def rarity(docs: np.ndarray) -> np.ndarray:
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, orders: int) -> DataFrame:
     """id, n, digest (of the set), hist (histogram of the set), p0.. (each order's prefix, without shingles
-    that only this document has; the first is the rarest)."""
+    that only this document has; the first is the rarest), and what bounds the difference of two sets
+    (``least_difference``): counted (whether all shingles' frequencies are known), own and own_rest (shingles that no
+    other counted document has, in the orders' slices and elsewhere), n_rest (all shingles elsewhere), cells
+    and cells_rest (small histograms of the other shingles of either kind)."""
     runs = Runs(docs, id_col, text_col)
 
-    def asked(h: np.ndarray, at: np.ndarray, which: np.ndarray) -> np.ndarray:
-        """Shingles whose frequency is counted: those of the orders' slices, and all of a document that is
-        short or may need others for its prefix. A prefix never reaches a shingle that was not asked for."""
+    def asked(h: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(shingles whose frequency is counted, documents of which all are): those of the orders' slices, and all of
+        a document that is short or may need others for its prefix. A prefix never reaches a shingle that was
+        not asked for."""
         n = np.diff(at)
         doc = np.repeat(np.arange(len(n)), n)
         inside = np.bincount(doc[which < orders], minlength=len(n))
         every = (n < SHORT) | (inside < n - least_common(n, percent) + 1)
-        return (which < orders) | every[doc]
+        return (which < orders) | every[doc], every
 
     def keys_of(t: pa.Table):
         h, at = all_shingles(t, width)
         which = slice_of(h)
-        on, out = asked(h, at, which), {}
+        (on, _), out = asked(h, at, which), {}
         for i in range(SLICES):
             u, n = np.unique(slice_keys(h[on & (which == i)], i), return_counts=True)
             out[i] = u, {"docs": n}
@@ -118,12 +128,21 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
         cell = (doc * HISTOGRAM + (mix64(h) >> np.uint64(58)).astype(np.int64)) if len(h) else np.zeros(0, np.int64)
         hist = np.bincount(cell, minlength=len(n) * HISTOGRAM).reshape(len(n), HISTOGRAM)
         cols["hist"] = pa.array([packed(x) for x in np.minimum(hist, 65535).astype(np.uint16)], pa.binary())
-        on = asked(h, at, which)
+        on, every = asked(h, at, which)
         common = np.zeros(len(h), np.int64)
         for i in range(SLICES):
             own = on & (which == i)
             u, index = np.unique(slice_keys(h[own], i), return_inverse=True)
             common[own] = answers_of(a, i, "rarity")[index]
+        inner, single = which < orders, on & (common == 0)
+        count = lambda sel: np.bincount(doc[sel], minlength=len(n))
+        small = (mix64(h) >> np.uint64(61)).astype(np.int64)
+
+        def cells(sel: np.ndarray) -> pa.Array:
+            c = np.bincount(doc[sel] * CELLS + small[sel], minlength=len(n) * CELLS).reshape(len(n), CELLS)
+            return pa.array(np.minimum(c, 255).astype(np.uint8).reshape(-1).view(np.int64))
+        cols |= {"own": pa.array(count(inner & single)), "own_rest": pa.array(count(~inner & single)), "n_rest": pa.array(count(~inner)),
+                 "counted": pa.array(every), "cells": cells(inner & ~single), "cells_rest": cells(~inner & ~single)}
         for i in range(orders):
             # the order's slice, the other orders' slices, the rest; by rarity in each, ties by a salted hash
             cls = np.where(which == i, 0, np.where(which < orders, 1000, np.where(on, 2000, 3000))) + common
@@ -135,7 +154,8 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
             cols[f"p{i}"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(chosen.view(np.int64)))
         return pa.table(cols)
 
-    schema = f"id {runs.id_type}, n long, digest binary, hist binary" + "".join(f", p{i} array<long>" for i in range(orders))
+    schema = (f"id {runs.id_type}, n long, digest binary, hist binary, own long, own_rest long, n_rest long, counted boolean, "
+              "cells long, cells_rest long") + "".join(f", p{i} array<long>" for i in range(orders))
     return scratch_table(runs.apply_with(answers, choose, schema), "prefixes")
 
 
@@ -151,6 +171,20 @@ def set_rows(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, set binary")
 
 
+def least_difference(x: str = "", y: str = "2") -> Column:
+    """A lower bound of the size of the symmetric difference of two sets by the columns of ``BOUND`` with the two
+    suffixes. Shingles that no other document has count in full, the others by the L1 distance of histograms,
+    whose cells are cut at 255, which never lengthens a distance. Outside the orders' slices this holds between
+    documents of one kind, else only the numbers of shingles are compared."""
+    def apart(name: str) -> Column:
+        cell = lambda suffix, k: F.shiftrightunsigned(F.col(name + suffix), 8 * k).bitwiseAND(F.lit(255))
+        return reduce(operator.add, [F.abs(cell(x, k) - cell(y, k)) for k in range(CELLS)])
+    both = lambda name: F.col(name + x) + F.col(name + y)
+    rest = F.when(F.col("counted" + x) == F.col("counted" + y), both("own_rest") + apart("cells_rest")).otherwise(
+        F.abs(F.col("n_rest" + x) - F.col("n_rest" + y)))
+    return both("own") + apart("cells") + rest
+
+
 def possible(percent: int):
     """pandas UDF: whether two sets may link by size and by the L1 distance of their histograms, which is at
     most the size of their symmetric difference."""
@@ -234,7 +268,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = components(links, "star_components")
 
     # step 2: pairs from different components that meet under every order
-    comp = reps.select("id", "n", *[f"p{i}" for i in range(orders)]).join(first, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    comp = reps.select("id", "n", *BOUND, *[f"p{i}" for i in range(orders)]).join(first, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     comp = scratch_table(comp, "class_components")
     left = across(comp, orders, percent)
     more = verified(scratch_table(filtered(left, reps, percent, orders), "cross_pairs"), texts, width, percent, "cross_links")
@@ -252,11 +286,13 @@ def across(comp: DataFrame, orders: int, percent: int, most: int = 512) -> DataF
     """Distinct (a, b), a < b, of different components whose prefixes share a shingle. A link shares one under
     every order, so a bucket (shingle) that would give more than ``most`` pairs is left to the next order,
     which looks only at classes from such buckets; the last order takes all that is left. In a bucket the
-    largest component meets the others and those meet each other, so a group of copies gives no pairs within."""
+    largest component meets the others and those meet each other, so a group of copies gives no pairs within, and a
+    group whose members differ by shingles of their own gives none that those alone keep apart."""
     names = [f"p{i}" for i in range(orders)]
-    done, now = None, comp
+    # a class with too many shingles of its own links with nothing
+    done, now = None, comp.filter(100 * F.col("own") <= (100 - percent) * F.col("n"))
     for i in range(orders):
-        rows = now.select("id", "comp", "n", F.explode(names[i]).alias("s"))
+        rows = now.select("id", "comp", "n", *BOUND, F.explode(names[i]).alias("s"))
         sizes = rows.groupBy("s", "comp").agg(F.count("*").alias("k"))
         top = (sizes.groupBy("s").agg(F.sum("k").alias("k"), F.max(F.struct("k", "comp")).alias("top"))
                .filter(F.col("k") > F.col("top.k")))
@@ -265,10 +301,12 @@ def across(comp: DataFrame, orders: int, percent: int, most: int = 512) -> DataF
         rows = rows.join(top.select("s", "top", hot.alias("hot")), "s")
         ready = rows if i == orders - 1 else rows.filter(~F.col("hot"))
         other = ready.filter(F.col("comp") != F.col("top")).select(
-            "s", F.col("id").alias("id2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"))
+            "s", F.col("id").alias("id2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"),
+            *[F.col(c).alias(c + "2") for c in BOUND])
         pairs = ready.join(other, "s").filter(
             ((F.col("comp") == F.col("top")) | (F.col("id") < F.col("id2"))) & (F.col("comp") != F.col("comp2"))
-            & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))).select(
+            & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+            & ((100 + percent) * least_difference() <= (100 - percent) * (F.col("n") + F.col("n2")))).select(
                 F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
         done = pairs if done is None else done.union(pairs)
         if i < orders - 1:
