@@ -33,6 +33,7 @@ SLICES = 5      # an order's slice is this part of the hash space
 SHORT = 200     # shingles; the frequencies of all shingles of shorter documents are counted
 HISTOGRAM = 64  # cells of the histogram filter
 CELLS = 8       # cells of the small histograms, of 8 bits each, that travel with the prefixes
+BACK = 4        # shingles before a bucket's that are looked at for a meeting of the same pair
 BOUND = ["own", "own_rest", "n_rest", "counted", "cells", "cells_rest"]
 
 
@@ -287,12 +288,15 @@ def across(comp: DataFrame, orders: int, percent: int, most: int = 512) -> DataF
     every order, so a bucket (shingle) that would give more than ``most`` pairs is left to the next order,
     which looks only at classes from such buckets; the last order takes all that is left. In a bucket the
     largest component meets the others and those meet each other, so a group of copies gives no pairs within, and a
-    group whose members differ by shingles of their own gives none that those alone keep apart."""
+    group whose members differ by shingles of their own gives none that those alone keep apart. A pair
+    that shares one of the ``BACK`` shingles before a bucket's in both prefixes is left to that one's bucket; where it
+    first meets in either prefix there is none, so it is never left out."""
     names = [f"p{i}" for i in range(orders)]
     # a class with too many shingles of its own links with nothing
     done, now = None, comp.filter(100 * F.col("own") <= (100 - percent) * F.col("n"))
     for i in range(orders):
-        rows = now.select("id", "comp", "n", *BOUND, F.explode(names[i]).alias("s"))
+        rows = now.select("id", "comp", "n", *BOUND, F.inline(F.transform(names[i], lambda s, k: F.struct(
+            s.alias("s"), F.slice(names[i], F.greatest(k - (BACK - 1), F.lit(1)), F.least(k, F.lit(BACK))).alias("back")))))
         sizes = rows.groupBy("s", "comp").agg(F.count("*").alias("k"))
         top = (sizes.groupBy("s").agg(F.sum("k").alias("k"), F.max(F.struct("k", "comp")).alias("top"))
                .filter(F.col("k") > F.col("top.k")))
@@ -302,10 +306,10 @@ def across(comp: DataFrame, orders: int, percent: int, most: int = 512) -> DataF
         ready = rows if i == orders - 1 else rows.filter(~F.col("hot"))
         other = ready.filter(F.col("comp") != F.col("top")).select(
             "s", F.col("id").alias("id2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"),
-            *[F.col(c).alias(c + "2") for c in BOUND])
+            *[F.col(c).alias(c + "2") for c in ("back", *BOUND)])
         pairs = ready.join(other, "s").filter(
             ((F.col("comp") == F.col("top")) | (F.col("id") < F.col("id2"))) & (F.col("comp") != F.col("comp2"))
-            & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+            & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & ~F.arrays_overlap("back", "back2")
             & ((100 + percent) * least_difference() <= (100 - percent) * (F.col("n") + F.col("n2")))).select(
                 F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
         done = pairs if done is None else done.union(pairs)
