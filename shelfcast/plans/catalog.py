@@ -7,6 +7,7 @@ outputs are rounded to 6 decimals so engine-level last-bit differences do not ma
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -336,8 +337,8 @@ def wide_to_weekly(spark, root):
     long = daily.select(sid.alias("id"), day.alias("day"), "sold").filter(F.col("day").between(1, n_days))
     wide = long.groupBy("id").pivot("day", list(range(1, n_days + 1))).agg(F.first("sold"))
     wide = wide.select("id", *[F.coalesce(F.col(str(d)), F.lit(0.0)).alias(f"d_{d}") for d in range(1, n_days + 1)])
-    path = scratch_path(spark, f"wide_daily_{abs(hash(root))}")
-    wide.write.mode("overwrite").option("header", True).csv(path)
+    path = scratch_path(spark, f"wide_daily_{uuid.uuid4().hex}")
+    wide.write.option("header", True).csv(path)
     back = read_wide_csv(spark, path)
     return rounded(P.weekly_from_days(P.unpivot_days(back), n_days, SPEC.epoch))
 

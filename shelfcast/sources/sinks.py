@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfcast.session import path_exists
+
 
 def append_sales(sales: DataFrame, path: str) -> None:
     """K1: bulk append, no de-duplication: loading the same file twice doubles its sales."""
@@ -21,11 +23,9 @@ def append_forecasts(forecasts: DataFrame, path: str, run_date=None) -> None:
 def cached_table(spark: SparkSession, path: str, build) -> DataFrame:
     """K3: build-once cache. ``build()`` runs only when nothing is stored at ``path`` yet;
     ``mode=ignore`` keeps a concurrent first writer's copy."""
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 — missing path
+    if not path_exists(spark, path):
         build().write.mode("ignore").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def write_cells(cells: DataFrame, path: str, partition_cols=("dataset", "model", "regime")) -> None:

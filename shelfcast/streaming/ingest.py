@@ -1,47 +1,64 @@
 """Repeated uploads as a stream (S7): every new CSV file in a landing folder is one upload.
 
 ``readStream`` (file source, explicit schema) → ``foreachBatch`` that, per micro-batch,
-inserts unseen stores and products (R1, R2), keys the rows (R3) and appends them to the
-sales table (K1 — no de-duplication, like the batch upload). ``trigger(availableNow=True)``
-drains everything present and stops, so a scheduled job is exactly-once per file thanks to the
-checkpoint (kept in the shared checkpoint folder). Appending needs no watermark: there is no
-state across batches other than the dimension tables themselves.
+inserts unseen stores and products (R1, R2) and adds the rows to the sales table (K1 — no
+de-duplication of uploads, like the batch upload); rows without a quantity or with a negative one
+go to a table of rejects (F9). ``trigger(availableNow=True)`` drains everything present and stops.
+``foreachBatch`` runs a batch again after a failure, so a stream's rows lie in one partition per
+batch of the query (``upload``), which a second run replaces: its sales count once. Appending needs no watermark: there
+is no state across batches other than the dimension tables themselves.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.operators import dims as D
+from shelfcast.session import path_exists
 from shelfcast.sources.files import SALES_CSV_SCHEMA
 
 
 def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001 — table not created yet
-        return spark.createDataFrame([], schema)
+    """The table at ``path``, or no rows while it is not there; any other error is the caller's."""
+    return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def apply_upload(batch: DataFrame, company_id: int, tables: str) -> None:
-    """One upload: dimension insert-if-absent, key lookup, append. Works for batch and stream."""
+def apply_upload(batch: DataFrame, company_id: int, tables: str, upload: str | None = None) -> None:
+    """One upload, of a batch or a stream: dimension insert-if-absent, then good rows to ``sales`` and the others to
+    ``rejects``. Uploads with the same name replace each other; without a name each is an upload of its own."""
     spark = batch.sparkSession
     dim_schema = "company_id long, name string"
-    batch = batch.withColumn("company_id", F.lit(company_id).cast("long"))
+    whole = batch.withColumn("company_id", F.lit(company_id).cast("long")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        good, bad = D.split_quality(whole)
+        _write_upload(spark, good, bad, dim_schema, tables, upload or uuid.uuid4().hex)
+    finally:
+        whole.unpersist()
+
+
+def _write_upload(spark: SparkSession, batch: DataFrame, bad: DataFrame, dim_schema: str, tables: str, upload: str) -> None:
     for kind, key in (("products", "item_id"), ("stores", "store_id")):
         dim = _read_or_empty(spark, f"{tables}/{kind}", dim_schema)
         keys = D.distinct_keys(batch, key, ["company_id"]).withColumnRenamed(key, "name")
         new = keys.join(dim, ["company_id", "name"], "left_anti")
         new.write.mode("append").parquet(f"{tables}/{kind}")
-    rows = batch.select("company_id", "store_id", "item_id", "sold", "date")
-    rows.write.mode("append").parquet(f"{tables}/sales")
+    for rows, name in ((batch, "sales"), (bad, "rejects")):
+        (rows.select("company_id", "store_id", "item_id", "sold", "date", F.lit(upload).alias("upload"))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("upload").parquet(f"{tables}/{name}"))
 
 
 def ingest_stream(spark: SparkSession, landing: str, tables: str, checkpoint: str, company_id: int):
-    """Start the availableNow stream over ``landing``; returns the StreamingQuery."""
+    """Start the availableNow stream over ``landing``; returns the StreamingQuery. An upload is named by the id
+    that the checkpoint gives the query and by the batch, so a new checkpoint never replaces older sales."""
+    def upload(df: DataFrame, epoch: int) -> None:
+        query = df.sparkSession.read.json(f"{checkpoint}/metadata").first()["id"]
+        apply_upload(df, company_id, tables, f"{query}-{epoch}")
     src = (spark.readStream.schema(SALES_CSV_SCHEMA).option("header", True)
                 .option("maxFilesPerTrigger", 1).csv(landing))
     return (src.writeStream.option("checkpointLocation", checkpoint)
-               .foreachBatch(lambda df, _epoch: apply_upload(df, company_id, tables))
+               .foreachBatch(upload)
                .trigger(availableNow=True).start())

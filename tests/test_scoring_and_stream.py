@@ -37,7 +37,7 @@ def test_stream_equals_batch(spark, tmp_path):
     from shelfcast.sources.files import read_sales_csv
     from shelfcast.streaming.ingest import apply_upload, ingest_stream
     up1 = [(1, "s1", 3, "2024-01-01"), (2, "s1", 1, "2024-01-02")]
-    up2 = [(1, "s2", 5, "2024-01-03"), (3, "s1", 2, "2024-01-03"), (1, "s1", 3, "2024-01-01")]
+    up2 = [(1, "s2", 5, "2024-01-03"), (3, "s1", 2, "2024-01-03"), (1, "s1", 3, "2024-01-01"), (9, "s9", -5, "2024-01-03")]
     land = str(tmp_path / "landing")
     _write_upload(land, "a.csv", up1)
     _write_upload(land, "b.csv", up2)
@@ -46,14 +46,35 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     for name in ("a.csv", "b.csv"):
         apply_upload(read_sales_csv(spark, os.path.join(land, name)), 1, batch_tables)
-    for t in ("sales", "products", "stores"):
-        s = sorted(map(tuple, spark.read.parquet(f"{stream_tables}/{t}").collect()))
-        b = sorted(map(tuple, spark.read.parquet(f"{batch_tables}/{t}").collect()))
+    for t in ("sales", "rejects", "products", "stores"):
+        s = sorted(map(tuple, spark.read.parquet(f"{stream_tables}/{t}").drop("upload").collect()))
+        b = sorted(map(tuple, spark.read.parquet(f"{batch_tables}/{t}").drop("upload").collect()))
         assert s == b, t
     # No de-duplication: the repeated row is there twice (G17); ids are text (item "1").
     sales = spark.read.parquet(f"{batch_tables}/sales")
     assert sales.filter("item_id = '1' AND store_id = 's1'").count() == 2
     assert spark.read.parquet(f"{batch_tables}/products").count() == 3
+    # A row with a negative quantity is rejected and adds no product or store.
+    assert [r.sold for r in spark.read.parquet(f"{batch_tables}/rejects").collect()] == [-5]
+
+
+def test_upload_run_again_counts_once(spark, tmp_path):
+    from shelfcast.sources.files import read_sales_csv
+    from shelfcast.streaming.ingest import apply_upload
+    land, tables = str(tmp_path / "landing"), str(tmp_path / "t")
+    _write_upload(land, "a.csv", [(1, "s1", 3, "2024-01-01"), (1, "s1", 3, "2024-01-01")])
+    for name in ("q-0", "q-0", "q-1"):  # a batch that runs twice, then another upload of the same file
+        apply_upload(read_sales_csv(spark, os.path.join(land, "a.csv")), 1, tables, name)
+    assert spark.read.parquet(f"{tables}/sales").count() == 4
+    assert spark.read.parquet(f"{tables}/products").count() == 1
+
+
+def test_table_that_cannot_be_read_is_no_missing_table(spark, tmp_path):
+    from shelfcast.sources.sinks import cached_table
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        cached_table(spark, str(tmp_path / "broken"), lambda: pytest.fail("built anew")).collect()
 
 
 def test_wide_csv_and_results_json(spark, tmp_path):
