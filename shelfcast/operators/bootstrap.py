@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.config import SEED
+from shelfcast.config import N_RESAMPLES, SEED
 from shelfcast.functions.columns import md5_int
 from shelfcast.operators.quantiles import exact_percentiles, global_rank
 
@@ -81,8 +81,9 @@ METRIC_REGISTRY = {
 }
 
 
-def replicate_stats(per_series: DataFrame, pos: DataFrame, weights: DataFrame) -> DataFrame:
-    """T13 per (cell, b): weighted mean MASE, weighted median MASE, pooled cost/unit.
+def replicate_stats(per_series: DataFrame, pos: DataFrame, weights: DataFrame, metrics=METRICS) -> DataFrame:
+    """T13 per (cell, b): weighted mean MASE, weighted median MASE, pooled cost/unit, as far as named
+    in ``metrics``.
 
     b = -1 is the observed sample (every weight 1).
     """
@@ -91,8 +92,11 @@ def replicate_stats(per_series: DataFrame, pos: DataFrame, weights: DataFrame) -
     w = weights.unionByName(observed)
     x = rows.join(w, ["dataset", "pos"])
     weight = F.col("weight")
-    main = x.groupBy(*CELL, "b").agg(*[fn(weight).alias(name) for name, (_, fn) in METRIC_REGISTRY.items()
-                                       if fn is not None])
+    main = x.groupBy(*CELL, "b").agg(F.count(F.lit(1)).alias("_rows"),
+                                     *[fn(weight).alias(name) for name, (_, fn) in METRIC_REGISTRY.items()
+                                       if fn is not None and name in metrics]).drop("_rows")
+    if "MASE_median" not in metrics:
+        return main
     med = exact_percentiles(x, [*CELL, "b"], "mase", [0.5], ["MASE_median"], weight="weight").drop("n")
     return main.join(med, [*CELL, "b"], "left")
 
@@ -102,40 +106,42 @@ def paired_tests(stats: DataFrame, pairs: DataFrame | None = None, metrics=METRI
     a, b, diff = a − b on the observed sample, and the two-sided bootstrap p-value
     min(1, 2·min(P(diff* ≤ 0), P(diff* ≥ 0))) with ties counted on both sides (G14).
     """
-    long = stats.select(*CELL, "b", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v"))
-                                                          for m in metrics])).alias("_m")) \
-                .select(*CELL, "b", "_m.metric", "_m.v")
-    a = long.select(*[F.col(c).alias(f"{c}_a") if c in ("model", "regime") else F.col(c) for c in long.columns]) \
-            .withColumnRenamed("v", "va")
-    b = long.select(*[F.col(c).alias(f"{c}_b") if c in ("model", "regime") else F.col(c) for c in long.columns]) \
-            .withColumnRenamed("v", "vb")
-    j = a.join(b, ["dataset", "b", "metric"])
+    def side(df: DataFrame, x: str) -> DataFrame:
+        return df.select("dataset", F.col("model").alias(f"model_{x}"), F.col("regime").alias(f"regime_{x}"),
+                         "b", *[F.col(m).alias(f"{m}_{x}") for m in metrics])
+
     if pairs is None:
-        j = j.filter(F.struct("model_a", "regime_a") < F.struct("model_b", "regime_b"))
-    else:
-        j = j.join(F.broadcast(pairs), ["dataset", "model_a", "regime_a", "model_b", "regime_b"], "left_semi")
-    key = ["dataset", "model_a", "regime_a", "model_b", "regime_b", "metric"]
-    diff = F.col("va") - F.col("vb")
+        cells = stats.filter(F.col("b") == -1)
+        pairs = (side(cells, "a").select("dataset", "model_a", "regime_a")
+                 .join(side(cells, "b").select("dataset", "model_b", "regime_b"), "dataset")
+                 .filter(F.struct("model_a", "regime_a") < F.struct("model_b", "regime_b")))
+    # The pairs of cells meet first, the replicates then: no row is made for a pair that is not wanted.
+    key = ["dataset", "model_a", "regime_a", "model_b", "regime_b"]
+    j = (side(stats, "a").join(F.broadcast(pairs.select(*key)), ["dataset", "model_a", "regime_a"])
+         .join(side(stats, "b"), ["dataset", "model_b", "regime_b", "b"]))
     boot = F.col("b") >= 0
-    g = j.groupBy(*key).agg(
-        F.max(F.when(~boot, F.col("va"))).alias("a"),
-        F.max(F.when(~boot, F.col("vb"))).alias("b"),
-        F.avg(F.when(boot, (diff <= 0).cast("double"))).alias("_below"),
-        F.avg(F.when(boot, (diff >= 0).cast("double"))).alias("_above"))
-    out = g.select(*key, "a", "b", (F.col("a") - F.col("b")).alias("diff"),
+    aggs = []
+    for m in metrics:
+        va, vb = F.col(f"{m}_a"), F.col(f"{m}_b")
+        aggs.append(F.struct(F.lit(m).alias("metric"),
+                             F.max(F.when(~boot, va)).alias("a"), F.max(F.when(~boot, vb)).alias("b"),
+                             F.avg(F.when(boot, (va - vb <= 0).cast("double"))).alias("_below"),
+                             F.avg(F.when(boot, (va - vb >= 0).cast("double"))).alias("_above")))
+    g = j.groupBy(*key).agg(F.array(*aggs).alias("_m")).select(*key, F.inline("_m"))
+    out = g.select(*key, "metric", "a", "b", (F.col("a") - F.col("b")).alias("diff"),
                    F.least(F.lit(1.0), F.lit(2.0) * F.least("_below", "_above")).alias("p_value"))
     if n is not None:
         out = out.join(n, "dataset")
     return out
 
 
-def significance(per_series: DataFrame, resamples: int, seed: int = SEED, pairs: DataFrame | None = None,
+def significance(per_series: DataFrame, resamples: int = N_RESAMPLES, seed: int = SEED, pairs: DataFrame | None = None,
                  metrics=METRICS) -> DataFrame:
     """All pairs of cells × metrics (or the given pairs), with series count ``n``."""
     from shelfcast.session import materialize
     per_series = materialize(per_series.select(*CELL, "sid", "cost", "demand", "mase"))
     pos = materialize(positions(per_series))
     weights = draw_weights(pos, resamples, seed)
-    stats = replicate_stats(per_series, pos, weights)
+    stats = materialize(replicate_stats(per_series, pos, weights, metrics))  # cells × (replicates + 1), read per side
     n = pos.groupBy("dataset").agg(F.max("n").alias("n"))
     return paired_tests(stats, pairs, metrics, n)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from shelfcast.config import COSTS, DEFAULT_GEOLOCATION, MA_WINDOWS, SEED, TESTDATA_SPEC
+from shelfcast.config import COSTS, DEFAULT_GEOLOCATION, MA_WINDOWS, N_RESAMPLES, SEED, TESTDATA_SPEC
 from shelfcast.functions.columns import compose_geolocation, critical_ratio, md5_int, quantile_levels
 from shelfcast.operators import dims as D
 from shelfcast.operators import panel as P
@@ -32,7 +32,6 @@ from shelfcast.sources.testdata import TableSource, sales_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SPEC = TESTDATA_SPEC
-CONTRAST_RESAMPLES = 200
 UPLOAD_CUTOFF = _dt.date(1998, 1, 1)
 COMPANY = 7
 
@@ -589,21 +588,21 @@ def planned_contrasts(spark, root):
     """Moving average untuned/tuned against the best seasonal baseline, with p text."""
     c, p = cells(_study(spark, root))
     return rounded(R.planned_contrasts(c, p, ["moving_average"], "zero_shot", "fine_tune",
-                                       CONTRAST_RESAMPLES, make_models=("seasonal_naive",)))
+                                       N_RESAMPLES, make_models=("seasonal_naive",)))
 
 
 @query
 def bootstrap_pairs(spark, root):
-    """All configuration pairs × 3 metrics, 200 resamples."""
+    """All configuration pairs × 3 metrics, 10,000 resamples."""
     per = _config_cells(_study(spark, root))
-    return rounded(significance(per, CONTRAST_RESAMPLES))
+    return rounded(significance(per, N_RESAMPLES))
 
 
 @query
 def significance_q(spark, root):
     """All cell pairs × 3 metrics for both datasets."""
     _, p = _both_cells(spark, root)
-    return rounded(significance(p, CONTRAST_RESAMPLES))
+    return rounded(significance(p, N_RESAMPLES))
 
 
 @query
