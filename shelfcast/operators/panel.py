@@ -9,6 +9,9 @@ on the map side instead of landing in one task.
 
 from __future__ import annotations
 
+import datetime as _dt
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +81,22 @@ def densify_weeks(sums: DataFrame, spec: PanelSpec, series: DataFrame | None = N
                          F.coalesce(F.col("y"), F.lit(0.0)).alias("y")))
 
 
+def sale_calendar(sales: DataFrame, spec: PanelSpec) -> PanelSpec:
+    """``spec`` with the calendar of the sales: its weeks (counted from its epoch, back or forth) from
+    that of the first sale date to the last one that the sales fill; only a partial last week is left out.
+
+    One aggregate with one row on the driver. No sales: ``spec`` as it is. A table without a whole week raises.
+    """
+    lo, hi = sales.agg(F.min(F.col("date").cast("date")), F.max(F.col("date").cast("date"))).first()
+    if lo is None:
+        return spec
+    epoch = spec.epoch + _dt.timedelta(days=(lo - spec.epoch).days // 7 * 7)
+    weeks = ((hi - epoch).days + 1) // 7
+    if weeks < 1:
+        raise ValueError(f"no whole week of sales between {lo} and {hi}")
+    return replace(spec, epoch=epoch, weeks=weeks)
+
+
 def weekly_panel(sales: DataFrame, spec: PanelSpec, clip_returns: bool = False) -> DataFrame:
     """Dense weekly panel (sid, wk, week_start, y), zero-filled, over every series that has a sale
     (also a sale outside the kept weeks, like an unstack of all totals followed by a column cut)."""

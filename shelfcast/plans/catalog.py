@@ -31,7 +31,6 @@ from shelfcast.plans.orders import next_month_forecast as plan_next_month
 from shelfcast.sources.testdata import TableSource, sales_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SPEC = TESTDATA_SPEC
 UPLOAD_CUTOFF = _dt.date(1998, 1, 1)
 COMPANY = 7
 
@@ -47,8 +46,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
                        for f in df.schema.fields])
 
 
-def _test_cut(spark: SparkSession) -> list[tuple[int, int]]:
-    return [(0, SPEC.test_cut)]
+def _test_cut(st: Study) -> list[tuple[int, int]]:
+    return [(0, st.spec.test_cut)]
 
 
 # ------------------------------------------------------------------ app data model --------
@@ -221,7 +220,7 @@ def weekly_panel(spark, root):
 def weekly_panel_returns(spark, root):
     """returns negative, clipped per row before the weekly sum."""
     sales = sales_view(TableSource(spark, root), "region", signed=True)
-    return rounded(P.weekly_panel(sales, SPEC, clip_returns=True))
+    return rounded(P.weekly_panel(sales, P.sale_calendar(sales, TESTDATA_SPEC), clip_returns=True))
 
 
 @query
@@ -268,14 +267,16 @@ def series_arrays(spark, root):
 @query
 def fold_splits(spark, root):
     """Rolling-origin folds of the model panel (brand × region)."""
-    return rounded(P.fold_splits(_study(spark, root).panel, SPEC))
+    st = _study(spark, root)
+    return rounded(P.fold_splits(st.panel, st.spec))
 
 
 @query
 def weekly_panel_wide(spark, root):
     """The last 8 weeks pivoted to columns."""
-    weeks = list(range(SPEC.weeks - 8, SPEC.weeks))
-    return rounded(P.pivot_weeks(_study(spark, root).weekly, weeks))
+    st = _study(spark, root)
+    weeks = list(range(st.spec.weeks - 8, st.spec.weeks))
+    return rounded(P.pivot_weeks(st.weekly, weeks))
 
 
 @query
@@ -286,7 +287,7 @@ def panel_profile(spark, root):
     per = (P.restrict(st.listed, elig).filter(F.col("y").isNotNull()).groupBy("sid")
              .agg(F.avg("y").alias("mean_demand"), F.avg((F.col("y") == 0).cast("double")).alias("zero_share"),
                   F.min("wk").alias("first_wk"))
-             .withColumn("weeks_since_first", (F.lit(SPEC.weeks) - F.col("first_wk")).cast("double"))
+             .withColumn("weeks_since_first", (F.lit(st.spec.weeks) - F.col("first_wk")).cast("double"))
              .withColumn("_all", F.lit(1)))
     # Every figure is one value: uncorrelated scalar subqueries over distributed aggregates.
     meds = {c: exact_percentiles(per, ["_all"], c, [0.5], ["m"]).select("m").scalar()
@@ -295,7 +296,7 @@ def panel_profile(spark, root):
     eligible = elig.select(F.count(F.lit(1))).scalar()
     one = spark.range(1)
     return rounded(one.select(series.alias("series"), eligible.alias("eligible"),
-                              (eligible / series).alias("eligible_share"), F.lit(SPEC.weeks).alias("weeks"),
+                              (eligible / series).alias("eligible_share"), F.lit(st.spec.weeks).alias("weeks"),
                               meds["weeks_since_first"].alias("median_weeks_since_first"),
                               meds["mean_demand"].alias("median_mean_demand"),
                               meds["zero_share"].alias("median_zero_share")))
@@ -330,8 +331,8 @@ def wide_to_weekly(spark, root):
     from shelfcast.sources.files import read_wide_csv
     st = _study(spark, root)
     daily = P.daily_panel(st.sales)
-    n_days = 7 * SPEC.weeks
-    day = F.datediff("date", F.lit(SPEC.epoch)) + 1
+    n_days = 7 * st.spec.weeks
+    day = F.datediff("date", F.lit(st.spec.epoch)) + 1
     sid = F.concat_ws("_", "store_id", "item_id")
     long = daily.select(sid.alias("id"), day.alias("day"), "sold").filter(F.col("day").between(1, n_days))
     wide = long.groupBy("id").pivot("day", list(range(1, n_days + 1))).agg(F.first("sold"))
@@ -339,18 +340,19 @@ def wide_to_weekly(spark, root):
     path = scratch_path(spark, f"wide_daily_{uuid.uuid4().hex}")
     wide.write.option("header", True).csv(path)
     back = read_wide_csv(spark, path)
-    return rounded(P.weekly_from_days(P.unpivot_days(back), n_days, SPEC.epoch))
+    return rounded(P.weekly_from_days(P.unpivot_days(back), n_days, st.spec.epoch))
 
 
 # ------------------------------------------------------------------ features ------------
 
 def _history(st: Study) -> DataFrame:
-    return st.panel.filter(F.col("wk") < SPEC.test_cut)
+    return st.panel.filter(F.col("wk") < st.spec.test_cut)
 
 
 @query
 def seasonal_residuals_q(spark, root):
-    return rounded(seasonal_residuals(_study(spark, root).panel, SPEC.seasonality))
+    st = _study(spark, root)
+    return rounded(seasonal_residuals(st.panel, st.spec.seasonality))
 
 
 @query
@@ -360,14 +362,16 @@ def trailing_mean_q(spark, root):
 
 @query
 def moving_average_residuals_q(spark, root):
-    r = moving_average_residuals(_history(_study(spark, root)), 4, SPEC.horizon)
+    st = _study(spark, root)
+    r = moving_average_residuals(_history(st), 4, st.spec.horizon)
     return rounded(r.groupBy("sid", "step").agg(F.count(F.lit(1)).alias("n"), F.avg("residual").alias("avg"),
                                                 F.min("residual").alias("min"), F.max("residual").alias("max")))
 
 
 @query
 def scaled_windows_q(spark, root):
-    w = scaled_windows(_history(_study(spark, root)), 52, SPEC.horizon)
+    st = _study(spark, root)
+    w = scaled_windows(_history(st), 52, st.spec.horizon)
     s = F.aggregate
     return rounded(w.groupBy("sid").agg(F.count(F.lit(1)).alias("n_windows"),
                                         F.sum(s("x", F.lit(0.0), lambda a, v: a + v)).alias("sum_x"),
@@ -376,26 +380,30 @@ def scaled_windows_q(spark, root):
 
 @query
 def design_matrix_q(spark, root):
-    dm = design_matrix(scaled_windows(_history(_study(spark, root)), 52, SPEC.horizon))
+    st = _study(spark, root)
+    dm = design_matrix(scaled_windows(_history(st), 52, st.spec.horizon))
     return rounded(dm.groupBy("step").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("target").alias("sum_target"),
                                           F.sum(F.element_at("x", -1)).alias("sum_last_lag")))
 
 
 @query
 def latest_context_q(spark, root):
-    c = latest_context(_study(spark, root).panel, SPEC.test_cut, 52)
+    st = _study(spark, root)
+    c = latest_context(st.panel, st.spec.test_cut, 52)
     return rounded(c.select("sid", "n", "scale"))
 
 
 @query
 def residual_quantiles(spark, root):
-    r = seasonal_residuals(_history(_study(spark, root)), SPEC.seasonality)
+    st = _study(spark, root)
+    r = seasonal_residuals(_history(st), st.spec.seasonality)
     return rounded(group_percentiles(r, ["sid"], "residual", [0.5, 0.8], ["r50", "r80"]))
 
 
 @query
 def seasonal_scale_q(spark, root):
-    r = seasonal_residuals(_history(_study(spark, root)), SPEC.seasonality)
+    st = _study(spark, root)
+    r = seasonal_residuals(_history(st), st.spec.seasonality)
     return rounded(r.groupBy("sid").agg(F.avg(F.abs("residual")).alias("scale")))
 
 
@@ -403,7 +411,7 @@ def seasonal_scale_q(spark, root):
 
 def _sn_test(spark, root, levels=None) -> DataFrame:
     st = _study(spark, root)
-    return seasonal_naive(st.panel, _test_cut(spark), SPEC, levels or st.levels)
+    return seasonal_naive(st.panel, _test_cut(st), st.spec, levels or st.levels)
 
 
 @query
@@ -416,7 +424,7 @@ def seasonal_naive_forecast(spark, root):
 def moving_average_forecast(spark, root):
     """W5, M2 with window 4."""
     st = _study(spark, root)
-    fc = moving_average(st.panel, _test_cut(spark), SPEC, st.levels, windows=(4,))
+    fc = moving_average(st.panel, _test_cut(st), st.spec, st.levels, windows=(4,))
     return rounded(fc.select("sid", "step", *LEVEL_NAMES))
 
 
@@ -425,7 +433,7 @@ def udf_forecast(spark, root):
     """M6: external scorer contract fed by per-series arrays (numpy seasonal naive)."""
     from shelfcast.plans.scoring import score_with, seasonal_naive_scorer
     st = _study(spark, root)
-    fc = score_with(st.panel, SPEC.test_cut, seasonal_naive_scorer(SPEC.seasonality, SPEC.horizon, st.levels))
+    fc = score_with(st.panel, st.spec.test_cut, seasonal_naive_scorer(st.spec.seasonality, st.spec.horizon, st.levels))
     return rounded(fc.select("sid", "step", *LEVEL_NAMES))
 
 
@@ -434,7 +442,7 @@ def uncross_quantiles(spark, root):
     """A3: levels deliberately swapped so the quantiles cross, then sorted back."""
     st = _study(spark, root)
     lv = st.levels
-    fc = seasonal_naive(st.panel, _test_cut(spark), SPEC, (lv[1], lv[0]))
+    fc = seasonal_naive(st.panel, _test_cut(st), st.spec, (lv[1], lv[0]))
     return rounded(fc.select("sid", "step", *uncross("q50", "q_cr")))
 
 
@@ -443,11 +451,11 @@ def sample_path_quantiles(spark, root):
     """A5: 100 sample paths per (series, step) = point + md5-drawn history residual."""
     st = _study(spark, root)
     hist = _history(st)
-    res = seasonal_residuals(hist, SPEC.seasonality)
+    res = seasonal_residuals(hist, st.spec.seasonality)
     ranked = res.select("sid", "residual", (F.row_number().over(Window.partitionBy("sid").orderBy("wk")) - 1)
                         .alias("pos"), F.count(F.lit(1)).over(Window.partitionBy("sid")).alias("n"))
-    m, h = SPEC.seasonality, SPEC.horizon
-    cut = SPEC.test_cut
+    m, h = st.spec.seasonality, st.spec.horizon
+    cut = st.spec.test_cut
     pts = (st.panel.filter((F.col("wk") >= cut - m) & (F.col("wk") < cut - m + h))
                    .select("sid", (F.col("wk") - (cut - m) + 1).alias("step"), F.col("y").alias("point")))
     sizes = ranked.select("sid", "n").distinct()
@@ -467,7 +475,7 @@ def pinball_loss(spark, root):
     lv = st.levels
     truth = st.panel.select("sid", "wk", "y")
     sn = _sn_test(spark, root).withColumn("model", F.lit("seasonal_naive"))
-    ma = (moving_average(st.panel, _test_cut(spark), SPEC, lv, windows=(4,)).drop("window")
+    ma = (moving_average(st.panel, _test_cut(st), st.spec, lv, windows=(4,)).drop("window")
           .withColumn("model", F.lit("moving_average")))
     fc = sn.unionByName(ma).join(truth, ["sid", "wk"])
     rows = fc.select("model", F.explode(F.array(
@@ -483,7 +491,7 @@ def newsvendor_cost(spark, root):
     truth = st.panel.select("sid", "wk", F.col("y").alias("demand"))
     outs = []
     for name, c in COSTS.items():
-        fc = seasonal_naive(st.panel, _test_cut(spark), SPEC, c.quantile_levels).join(truth, ["sid", "wk"])
+        fc = seasonal_naive(st.panel, _test_cut(st), st.spec, c.quantile_levels).join(truth, ["sid", "wk"])
         outs.append(newsvendor_totals(fc.withColumnRenamed("q_cr", "order"), c).withColumn("cost_set", F.lit(name)))
     return rounded(outs[0].unionByName(outs[1]).select("cost_set", "total_cost", "cost_per_unit", "fill_rate"))
 
@@ -629,7 +637,7 @@ def global_quantile_forest(spark, root):
     """M3 (+ A3, A4, F23): pooled quantile forest on the test window; rows-only check."""
     from shelfcast.plans.forest import fit_predict
     st = _study(spark, root)
-    return rounded(fit_predict(st.panel, SPEC.test_cut, SPEC, st.levels).select("sid", "step", *LEVEL_NAMES))
+    return rounded(fit_predict(st.panel, st.spec.test_cut, st.spec, st.levels).select("sid", "step", *LEVEL_NAMES))
 
 
 @query
@@ -640,8 +648,8 @@ def seed_robustness(spark, root):
     st = _study(spark, root)
     outs = []
     for seed in (SEED, 7, 2024):
-        fc = fit_predict(st.panel, SPEC.test_cut, SPEC, st.levels, depth=6, trees=10, seed=seed)
-        fc = fc.withColumn("fold", F.lit(0)).withColumn("cut", F.lit(SPEC.test_cut))
+        fc = fit_predict(st.panel, st.spec.test_cut, st.spec, st.levels, depth=6, trees=10, seed=seed)
+        fc = fc.withColumn("fold", F.lit(0)).withColumn("cut", F.lit(st.spec.test_cut))
         per = score_series(fc, st.panel, st.scale, ["fold", "cut"], st.cost)
         outs.append(per.agg((F.sum("cost") / F.sum("demand")).alias("cost_per_unit")).withColumn("seed", F.lit(seed)))
     res = outs[0].unionByName(outs[1]).unionByName(outs[2]).withColumn("model", F.lit("quantile_forest"))

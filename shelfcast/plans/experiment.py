@@ -28,15 +28,21 @@ DEFAULT_WINDOW = 4
 
 @dataclass
 class Study:
-    """One dataset: a sales view, its calendar and costs, and the panels derived from it."""
+    """One dataset: a sales view, its calendar and costs, and the panels derived from it.
+
+    Without ``spec`` the calendar spans the sales of the table (``sale_calendar``)."""
 
     spark: SparkSession
     root: str
     level: str = "region"
-    spec: PanelSpec = TESTDATA_SPEC
+    spec: PanelSpec | None = None
     costs: Costs | None = None
     _memo: dict = field(default_factory=dict)
 
+    def __post_init__(self):
+        if self.spec is None:
+            self.spec = P.sale_calendar(self.sales, TESTDATA_SPEC)
+
     @property
     def name(self) -> str:
         return f"brand_{self.level}"
