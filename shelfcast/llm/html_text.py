@@ -4,7 +4,8 @@ Markup is stripped into lines, one per block element; text in menus, headers, fo
 notices, adverts, forms, scripts and comments leaves an empty line of the page's skeleton instead. Text
 lengths (without link text) are summed over sliding windows of lines; a run of text begins where the
 sums surge from nothing and ends where they dive back; runs whose peak reaches a share of the highest
-peak are the article, and all text from their first surge to their last dive is kept."""
+peak are the article, and all text from their first surge to their last dive is kept, with the short runs
+before and after it that lie in a container of the article's lines."""
 
 from __future__ import annotations
 
@@ -33,6 +34,9 @@ ATTR = re.compile(r"\b(class|id|role|aria-hidden|hidden|style)\b(?:\s*=\s*(\"[^\
 MAIN = {"article", "main"}
 #: An open element of these is closed by the next one, whatever lies between.
 CLOSED_BY = {"p", "li", "dt", "dd", "td", "th", "tr", "option"}
+#: Lines in these belong to the container around them.
+PARTS = CLOSED_BY | set("h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre figure figcaption table thead tbody tfoot caption center address".split())
+TAG_AT = re.compile(r"<(?:/?[A-Za-z]|[!?])")  # a '<' that starts a tag, ended or not
 GAP = 4  # empty lines that a dropped element outside the article leaves: more than a window
 
 
@@ -50,12 +54,13 @@ def is_noise(tag: str, attrs: str) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int]]:
-    """The page's lines: (text, length without link text); a line without text is ("", 0)."""
-    lines: list[tuple[str, int]] = []
+def lines_of(page: str) -> list[tuple[str, int, int]]:
+    """The page's lines: (text, length without link text, start of its container in the page or -1); a line
+    without text is ("", 0, -1)."""
+    lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool]] = []  # open elements: (tag, dropped)
+    stack: list[tuple[str, bool, int]] = []  # open elements: (tag, dropped, start)
     dropped = links = main = 0
 
     def end_line(gap: int = 0):
@@ -63,8 +68,9 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            lines.append((text, max(0, len(text) - linked)))
-        lines.extend([("", 0)] * gap)
+            around = next((at for t, _, at in reversed(stack) if t not in INLINE and t not in PARTS), -1)
+            lines.append((text, max(0, len(text) - linked), around))
+        lines.extend([("", 0, -1)] * gap)
         linked = 0
 
     def say(s: str):
@@ -76,7 +82,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
 
     def pop():
         nonlocal dropped, links, main
-        tag, off = stack.pop()
+        tag, off, _ = stack.pop()
         dropped -= off
         links -= tag == "a"
         main -= tag in MAIN
@@ -93,7 +99,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             continue
         tag = m["tag"].lower()
         if m["close"]:
-            if any(t == tag for t, _ in stack):
+            if any(t == tag for t, _, _ in stack):
                 # an end tag of a part of the page does not close what lies outside its article
                 while stack[-1][0] != tag:
                     pop()
@@ -114,7 +120,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         if tag in CLOSED_BY:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    if all(t in INLINE or t in CLOSED_BY for t, _ in stack[k:]):
+                    if all(t in INLINE or t in CLOSED_BY for t, _, _ in stack[k:]):
                         while len(stack) > k:
                             pop()
                     break
@@ -123,13 +129,14 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         off = is_noise(tag, m["attrs"])
         if off and not dropped:
             end_line(0 if main else GAP)
-        stack.append((tag, off))
+        stack.append((tag, off, m.start()))
         dropped += off
         links += tag == "a"
         main += tag in MAIN
         if tag in MAIN and main == 1 and not dropped:
             end_line(GAP)
-    say(page[at:] if "<" not in page[at:] else page[at:page.index("<", at)])
+    cut = TAG_AT.search(page, at)
+    say(page[at:cut.start() if cut else len(page)])
     end_line()
     return lines
 
@@ -138,7 +145,7 @@ def main_text(page: str | None, window: int = 3, share: float = 0.25) -> str:
     """The text between surge and dive points of the line-block distribution, lines joined by a space."""
     lines = lines_of(page or "")
     n = len(lines)
-    size = [length for _, length in lines]
+    size = [length for _, length, _ in lines]
     sums = [sum(size[i:i + window]) for i in range(n)]
     runs: list[tuple[int, int, int]] = []  # (surge, dive, peak)
     i = 0
@@ -156,8 +163,12 @@ def main_text(page: str | None, window: int = 3, share: float = 0.25) -> str:
     kept = [r for r in runs if r[2] >= share * top]
     if not kept:
         return ""
-    whole = [r for r in runs if kept[0][0] <= r[0] < kept[-1][1] and r in kept]
-    return " ".join(text for a, b, _ in whole for text, _ in lines[a:b] if text)
+    first, last = kept[0][0], kept[-1][1]
+    around = {lines[k][2] for a, b, _ in kept for k in range(a, b) if size[k]}
+    # short runs beside the article, as a heading or closing line that an advert cuts off
+    whole = [(a, b) for a, b, peak in runs if first <= a < last or peak and all(
+        lines[k][2] in around for k in range(a, b) if lines[k][0])]
+    return " ".join(lines[k][0] for a, b in whole for k in range(a, b) if lines[k][0])
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
