@@ -5,7 +5,8 @@ notices, adverts, forms, scripts and comments leaves an empty line of the page's
 lengths (without link text) are summed over sliding windows of lines; a run of text begins where the
 sums surge from nothing and ends where they dive back; runs whose peak reaches a share of the highest
 peak are the article, and all text from their first surge to their last dive is kept, with the short runs
-before and after it that lie in a container of the article's lines."""
+before and after it that lie in a container of the article's lines. An element with the class of a notice or
+the like, or a form, that holds the article or most of the page's text is the page's layout and is not emptied."""
 
 from __future__ import annotations
 
@@ -31,6 +32,8 @@ NOISE = re.compile(r"(^|[\s_-])(ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|nav
                    r"copyright|disclaimer|hidden|tags?|toc)($|[\s_-])", re.I)
 ROLES = re.compile(r"navigation|banner|contentinfo|complementary|search|form|dialog|alert|menu", re.I)
 ATTR = re.compile(r"\b(class|id|role|aria-hidden|hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: What such a name stands for is not the article, however long it is.
+APART = re.compile(r"(^|\s)(comments?|comment-?list|respond|disqus|replies|related|sidebar|footer|copyright|disclaimer)($|\s)", re.I)
 MAIN = {"article", "main"}
 #: An open element of these is closed by the next one, whatever lies between.
 CLOSED_BY = {"p", "li", "dt", "dd", "td", "th", "tr", "option"}
@@ -54,14 +57,43 @@ def is_noise(tag: str, attrs: str) -> bool:
     return False
 
 
+def is_layout(tag: str, attrs: str) -> bool:
+    """May this noise element be the layout around the article, by its kind: a form, or of a class or an id
+    that does not name a part of its own, and shown?"""
+    if tag in ("form", "fieldset"):
+        return True
+    if tag in DROPPED:
+        return False
+    values = [(name.lower(), value.strip("\"'")) for name, value in ATTR.findall(attrs)]
+    return not any(name not in ("class", "id") or APART.search(value) for name, value in values
+                   if name in ("class", "id") or is_noise("", f"{name}='{value}'"))
+
+
 def lines_of(page: str) -> list[tuple[str, int, int]]:
     """The page's lines: (text, length without link text, start of its container in the page or -1); a line
     without text is ("", 0, -1)."""
+    lines, kept_main, noise, total, in_main = scan(page, frozenset())
+    # Text in a clean article or main: nothing that is dropped holds the article.
+    spared = set()
+    if not kept_main:
+        for start, layout, text, main, own_main in sorted(noise):  # outer elements first
+            if not kept_main and 2 * main > in_main or layout and 2 * text > total:
+                spared.add(start)
+                kept_main += own_main
+    return scan(page, frozenset(spared))[0] if spared else lines
+
+
+def scan(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, int, int]], int, list[tuple[int, bool, int, int, int]], int, int]:
+    """Lines; unlinked text kept in article or main; the noise elements (start, may be layout, unlinked text,
+    unlinked text in article or main, and that without inner noise), not those that begin at ``spared``; unlinked text of the page, and in
+    article or main."""
     lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, int]] = []  # open elements: (tag, dropped, start)
-    dropped = links = main = 0
+    dropped = links = main = total = in_main = kept_main = 0
+    began: dict[int, list] = {}  # open noise elements: may be layout, text before, in main before, in main of inner noise
+    noise: list[tuple[int, bool, int, int, int]] = []
 
     def end_line(gap: int = 0):
         nonlocal linked
@@ -74,15 +106,29 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         linked = 0
 
     def say(s: str):
-        nonlocal linked
+        nonlocal linked, total, in_main, kept_main
+        if s and not links:
+            n = len("".join(s.split()))
+            total += n
+            if main:
+                in_main += n
+                kept_main += 0 if dropped else n
         if not dropped and s:
             parts.append(s)
             if links:
                 linked += len(s)
 
+    def weigh(start: int):
+        layout, text, before, inner = began.pop(start)
+        noise.append((start, layout, total - text, in_main - before, in_main - before - inner))
+        if began:
+            began[next(reversed(began))][3] += in_main - before
+
     def pop():
         nonlocal dropped, links, main
-        tag, off, _ = stack.pop()
+        tag, off, start = stack.pop()
+        if off:
+            weigh(start)
         dropped -= off
         links -= tag == "a"
         main -= tag in MAIN
@@ -126,7 +172,9 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                     break
                 if stack[k][0] not in INLINE and stack[k][0] not in CLOSED_BY:
                     break
-        off = is_noise(tag, m["attrs"])
+        off = m.start() not in spared and is_noise(tag, m["attrs"])
+        if off:
+            began[m.start()] = [is_layout(tag, m["attrs"]), total, in_main, 0]
         if off and not dropped:
             end_line(0 if main else GAP)
         stack.append((tag, off, m.start()))
@@ -138,7 +186,9 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     cut = TAG_AT.search(page, at)
     say(page[at:cut.start() if cut else len(page)])
     end_line()
-    return lines
+    for start in list(reversed(began)):
+        weigh(start)
+    return lines, kept_main, noise, total, in_main
 
 
 def main_text(page: str | None, window: int = 3, share: float = 0.25) -> str:
