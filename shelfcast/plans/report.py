@@ -16,7 +16,7 @@ from shelfcast.operators.bootstrap import significance
 
 def leaderboard(cells: DataFrame) -> DataFrame:
     """A16 + T7: place per dataset by test cost per unit (ties: model, regime)."""
-    w = Window.partitionBy("dataset").orderBy("cost_per_unit")
+    w = Window.partitionBy("dataset").orderBy("cost_per_unit", "model", "regime")
     return cells.select("dataset", F.row_number().over(w).alias("place"), "model", "regime", "cost_per_unit")
 
 
@@ -77,7 +77,7 @@ def planned_contrasts(cells: DataFrame, per_series: DataFrame, buy_models: list[
 def rank_disagreement(cells: DataFrame) -> DataFrame:
     """Cells whose rank by mean MASE differs from their rank by cost per unit."""
     by_mase = Window.partitionBy("dataset").orderBy("MASE")
-    by_cost = Window.partitionBy("dataset").orderBy("cost_per_unit", "model", "regime")
+    by_cost = Window.partitionBy("dataset").orderBy("cost_per_unit")
     r = cells.select("dataset", "model", "regime", F.rank().over(by_mase).alias("mase_rank"),
                      F.rank().over(by_cost).alias("cost_rank"))
     return r.filter(F.col("mase_rank") != F.col("cost_rank"))
