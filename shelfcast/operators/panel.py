@@ -212,9 +212,7 @@ def pivot_weeks(panel: DataFrame, weeks: list[int]) -> DataFrame:
     """P7 export: one column per listed week (``w<k>``), zero-filled."""
     wide = (panel.filter(F.col("wk").isin(weeks)).groupBy("sid")
                  .pivot("wk", weeks).agg(F.sum("y")))
-    for w in weeks:
-        wide = wide.withColumnRenamed(str(w), f"w{w}")
-    return wide.fillna(0.0, subset=[f"w{w}" for w in weeks])
+    return wide.select("sid", *[F.coalesce(F.col(str(w)), F.lit(0.0)).alias(f"w{w}") for w in weeks])
 
 
 def unpivot_days(wide: DataFrame, id_col: str = "id", prefix: str = "d_") -> DataFrame:

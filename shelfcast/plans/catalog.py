@@ -184,14 +184,13 @@ def order_plan(spark, root):
 
 @query
 def plan_by_location(spark, root):
-    """Plan rows of stores placed on the map only (regions whose location is set)."""
+    """Plan rows with their store's place on the map (every region has one)."""
     src = TableSource(spark, root)
     plan = aggregate_plan(next_month_forecast_impl(spark, root))
     reg = src.region.select("r_regionkey", "r_name")
-    placed = (reg.filter(F.col("r_name") < F.lit("M"))
-                 .select(F.col("r_name").alias("store_id"),
-                         (F.col("r_regionkey") * 15.0 - 30.0).alias("lat"),
-                         (F.col("r_regionkey") * 40.0 - 90.0).alias("lon")))
+    placed = reg.select(F.col("r_name").alias("store_id"),
+                        (F.col("r_regionkey") * 15.0 - 30.0).alias("lat"),
+                        (F.col("r_regionkey") * 40.0 - 90.0).alias("lon"))
     return rounded(plan.join(F.broadcast(placed), "store_id"))
 
 
@@ -273,10 +272,9 @@ def fold_splits(spark, root):
 
 @query
 def weekly_panel_wide(spark, root):
-    """The last 8 weeks pivoted to columns."""
+    """All weeks pivoted to columns."""
     st = _study(spark, root)
-    weeks = list(range(st.spec.weeks - 8, st.spec.weeks))
-    return rounded(P.pivot_weeks(st.weekly, weeks))
+    return rounded(P.pivot_weeks(st.weekly, list(range(st.spec.weeks))))
 
 
 @query
@@ -648,7 +646,7 @@ def seed_robustness(spark, root):
     st = _study(spark, root)
     outs = []
     for seed in (SEED, 7, 2024):
-        fc = fit_predict(st.panel, st.spec.test_cut, st.spec, st.levels, depth=6, trees=10, seed=seed)
+        fc = fit_predict(st.panel, st.spec.test_cut, st.spec, st.levels, seed=seed)
         fc = fc.withColumn("fold", F.lit(0)).withColumn("cut", F.lit(st.spec.test_cut))
         per = score_series(fc, st.panel, st.scale, ["fold", "cut"], st.cost)
         outs.append(per.agg((F.sum("cost") / F.sum("demand")).alias("cost_per_unit")).withColumn("seed", F.lit(seed)))
