@@ -8,7 +8,8 @@ them front-coded (length of the prefix shared with the suffix before, then the r
 gram. A bucket merges its runs with a loser tree that compares two suffixes only beyond the prefix
 both are known to share with the last one put out. Neighbours' common prefixes then say which windows
 agree to the right of the anchor; a hash of the bytes on the left splits them, and all but the first
-place of each window are repeats. Runs learn one bit per window and remove the bytes that they cover."""
+place of each window are repeats. A gram with more anchors than a bucket should hold is not merged: its
+windows go to a plain aggregate by their hash, which gives the first place of each. Runs learn one bit per window and remove the bytes that they cover."""
 
 from __future__ import annotations
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, powers, scratch_table, text_bytes, text_chunks
-from .runs import Runs, answers_of, ask, bucket_of, packed, run_of, unpacked
+from .runs import Runs, answers_of, ask, bucket_of, packed, run_of, unpacked, unpacked_counts
 
 LENGTH, GRAM = 100, 32
 _CODE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
@@ -29,6 +30,8 @@ PAD = 0xFF  # no byte of UTF-8
 SLICE = 8192  # anchors whose contexts or windows are spread out at a time
 RUN_BYTES = 2 << 20     # of text in a run, whose contexts are spread out in memory
 BUCKET_BYTES = 6 << 20  # of text whose suffixes a bucket merges, about
+HOT = 1 << 17           # anchors of one gram that a bucket merges at most
+_ROWS = mix64(np.arange(1, 2 * LENGTH + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
 def sliding(v: np.ndarray, width: int, step) -> np.ndarray:
@@ -91,15 +94,34 @@ def contexts(data: np.ndarray, offs: np.ndarray, at: np.ndarray, length: int, gr
     return out
 
 
+def window_hashes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Two 64-bit hashes of the window at each start."""
+    factors = _ROWS if length <= LENGTH else mix64(np.arange(1, 2 * length + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+    out = np.empty((2, len(starts)), np.uint64)
+    for i in range(0, len(starts), SLICE):
+        codes = _CODE[data[starts[i:i + SLICE, None] + np.arange(length)]]
+        for k in (0, 1):
+            out[k, i:i + SLICE] = mix64((mix64(codes + factors[k::2][:length]) * (factors[k::2][:length] | np.uint64(1))).sum(1, dtype=np.uint64))
+    return out
+
+
+def all_of(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges lo..hi."""
+    n = hi - lo + 1
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 class Suffixes:
-    """A run's suffixes at anchors whose gram is frequent: one row per distinct context, by bucket and then
+    """A run's suffixes at anchors whose gram is frequent, but not hot (``hot``: first and last windows of those): one row per distinct context, by bucket and then
     sorted; ``copy_of`` gives each surviving anchor's row, ``lead`` each row's first anchor."""
 
     def __init__(self, t: pa.Table, a: pa.Table, length: int, gram: int, buckets: int):
         self.data, self.offs = text_bytes(t.column("text"))
         at, lo, hi, h = anchors(self.data, self.offs, length, gram)
         u, index = np.unique(h, return_inverse=True)
-        often = answers_of(a, 0, "often")[index] > 0
+        answer = answers_of(a, 0, "often")[index]
+        often = answer == 1
+        self.hot = lo[answer > 1], hi[answer > 1]
         self.at, self.lo, self.hi = at[often], lo[often], hi[often]
         rows = contexts(self.data, self.offs, self.at, length, gram)
         width = rows.shape[1]
@@ -204,7 +226,7 @@ def repeats(lcp: np.ndarray, left: np.ndarray, dlo: np.ndarray, dhi: np.ndarray,
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM,
-                   keep_bytes: bool = False) -> DataFrame:
+                   keep_bytes: bool = False, hot: int = HOT) -> DataFrame:
     """<id_col>, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes that remain, with ``keep_bytes``)
     for every row of ``docs``: each byte goes that is covered by a ``length``-byte string of the UTF-8 text which
     also starts earlier (smaller id, or same document and earlier start), judged on the input.
@@ -220,19 +242,38 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         u, n = np.unique(anchors(data, offs, length, gram)[3], return_counts=True)
         return {0: (u, {"n": n})}
 
-    often = ask(runs, keys_of, ("n",), lambda sums: {"often": sums["n"] > 1}, ("often",),
+    often = ask(runs, keys_of, ("n",), lambda sums: {"often": (sums["n"] > 1).astype(np.int64) + (sums["n"] > hot)}, ("often",),
                 runs.buckets(0.03), "anchor_grams")
     asked = often.filter("run >= 0")
 
-    def place_of(t: pa.Table, s: Suffixes, at: np.ndarray):
+    def place_of(t: pa.Table, offs: np.ndarray, at: np.ndarray):
         """(id, offset within the text) of places, comparable between runs."""
         ids = np.asarray(t.column("id").cast(pa.int64()).fill_null(np.iinfo(np.int64).max).to_numpy())
-        doc = np.searchsorted(s.offs, at, "right") - 1
-        return ids[doc], at - s.offs[doc]
+        doc = np.searchsorted(offs, at, "right") - 1
+        return ids[doc], at - offs[doc]
+
+    def count_hot(batches):
+        for x in batches:  # of each bucket: sum of answers (2 for a hot gram), number of answers above 0
+            yield pa.RecordBatch.from_pydict({"n": pa.array([int(v[0] - v[1]) for v in unpacked_counts(x.column("often"))], pa.int64())})
+
+    def send_hot(t: pa.Table, a: pa.Table) -> pa.Table:
+        data, offs = text_bytes(t.column("text"))
+        _, lo, hi, h = anchors(data, offs, length, gram)
+        answer = answers_of(a, 0, "often")[np.unique(h, return_inverse=True)[1]] if len(h) else np.zeros(0, np.int64)
+        starts = np.sort(all_of(lo[answer > 1], hi[answer > 1]))  # in order of place
+        k = window_hashes(data, starts, length)
+        by = np.lexsort((k[1], k[0]))  # stable: of equal windows the earliest comes first
+        new = np.ones(len(by), bool)
+        new[1:] = (k[:, by[1:]] != k[:, by[:-1]]).any(0)
+        first = by[new]
+        ids, pos = place_of(t, offs, starts[first])
+        return pa.table({"k1": pa.array(k[0, first].view(np.int64)), "k2": pa.array(k[1, first].view(np.int64)),
+                         "id": pa.array(ids, pa.int64()), "pos": pa.array(pos, pa.int64()),
+                         "run": pa.array(np.full(len(first), run_of(t) if len(first) else 0), pa.int32()), "start": pa.array(starts[first], pa.int32())})
 
     def send(t: pa.Table, a: pa.Table) -> pa.Table:
         s = Suffixes(t, a, length, gram, buckets)
-        ids, pos = place_of(t, s, s.at[s.lead])
+        ids, pos = place_of(t, s.offs, s.at[s.lead])
         dlo, dhi = s.at[s.lead] - s.hi[s.lead], s.at[s.lead] - s.lo[s.lead]
         out: dict[str, list] = {k: [] for k in ("bucket", "run", "shared", "rest", "left", "ids", "pos", "d")}
         for b in np.flatnonzero(np.diff(s.cut)):
@@ -272,11 +313,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     both = asked.select("run", "kind", "bucket", "often", F.lit(None).cast("binary").alias("bits")).unionByName(
         met.select("run", F.lit(1).alias("kind"), "bucket", F.lit(None).cast("binary").alias("often"), "bits"))
 
+    # kind 2: the first places of the windows of hot grams (bucket: the place in the run)
+    if often.filter("run < 0").select("often").mapInArrow(count_hot, "n long").agg(F.sum("n")).first()[0]:
+        windows = runs.apply_with(asked, send_hot, "k1 long, k2 long, id long, pos long, run int, start int")
+        won = windows.groupBy("k1", "k2").agg(F.min(F.struct("id", "pos", "run", "start")).alias("w"))
+        none = F.lit(None).cast("binary")
+        both = both.unionByName(won.select(F.col("w.run").alias("run"), F.lit(2).alias("kind"), F.col("w.start").alias("bucket"),
+                                           none.alias("often"), none.alias("bits")))
+
     def cut(t: pa.Table, a: pa.Table) -> pa.Table:
         s = Suffixes(t, a, length, gram, buckets)
         width = length - gram + 1
         flags = unpacked(a.filter(pa.compute.equal(a.column("kind"), 1)).column("bits"), np.uint8)
-        bits = np.unpackbits(np.concatenate([np.zeros(0, np.uint8), *flags]).reshape(len(s.lead), -1), axis=1)[:, :width].astype(bool)
+        bits = np.unpackbits(np.concatenate([np.zeros(0, np.uint8), *flags]).reshape(len(s.lead), (width + 7) // 8), axis=1)[:, :width].astype(bool)
         copy = np.ones(len(s.at), bool)
         copy[s.lead] = False
         d = np.arange(width)
@@ -287,6 +336,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             mine &= (d >= (s.at - s.hi)[part, None]) & (d <= (s.at - s.lo)[part, None])
             i, back = np.nonzero(mine)
             start[s.at[part][i] - back] = 1
+        start[all_of(*s.hot)] = 1
+        start[a.filter(pa.compute.equal(a.column("kind"), 2)).column("bucket").to_numpy()] = 0
         edge = start
         edge[length:] -= start[:-length].copy() if len(start) > length else 0
         gone = np.cumsum(edge)[:-1] > 0
