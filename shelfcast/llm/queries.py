@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators and their DuckDB SQL."""
+"""Registered queries of the training-data operators and their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, exact_dedup, html_text, jaccard_join, language_id, lm_scoring, mixing, quality, suffix_dedup,
-               url_filter)
+from . import (bpe, exact_dedup, filter_audit, html_text, jaccard_join, language_id, lm_scoring, mixing, quality,
+               suffix_dedup, toxicity, url_filter, whitening)
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
@@ -64,9 +64,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, keep=(held.alias("held_out"),))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held, keep={"held_out": held})
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_jaccard_join, op2_lm_scoring, op3_mix_sources, op4_bpe, op5_url_filter, op6_quality_rules, op7_suffix_dedup,
-    op8_exact_dedup, op9_html_text, op10_language_id)}
+    op8_exact_dedup, op9_html_text, op10_language_id, op11_filter_audit, op12_toxicity, op13_whitening)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TERM = "CASE WHEN regexp_matches(low, '(^|[^a-z0-9]){}([^a-z0-9]|$)') THEN 1 ELSE 0 END"
@@ -122,4 +135,31 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*)
     doc_id = max(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256 FROM d
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_url_filter": _URL_SQL, "op6_quality_rules": _QUALITY_SQL, "op8_exact_dedup": _EXACT_SQL}
+#: Every order is replayed on every mask: filter by filter, what is still there and fails goes.
+_AUDIT_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+first AS (SELECT t, min(doc_id) AS least FROM t GROUP BY t),
+w AS (SELECT t.*, least, regexp_extract_all(t.t, '[^\x20\x09-\x0D]+') AS ws FROM t JOIN first USING (t)),
+l AS (SELECT doc_id, max(quality) AS q, max(toxic) AS x FROM labels GROUP BY doc_id),
+m AS (SELECT part, (CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN w.doc_id > least THEN 'E' ELSE '' END) AS fails,
+    count(*) AS n, sum(CASE WHEN q = 1 THEN 1 ELSE 0 END) AS good, sum(CASE WHEN x = 1 THEN 1 ELSE 0 END) AS toxic
+    FROM w LEFT JOIN l ON w.doc_id = l.doc_id GROUP BY 1, 2),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e
+    WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT filter_order, CAST(k AS INTEGER) AS step, substr(filter_order, k, 1) AS f, left(filter_order, k - 1) AS before
+    FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS k)),
+r AS (SELECT *, contains(fails, f) AS here, regexp_matches(fails, '[' || before || '-]') AS earlier FROM m, s),
+g AS (SELECT part, filter_order, step, f, sum(CASE WHEN here OR earlier THEN 0 ELSE n END) AS kept,
+    sum(CASE WHEN here AND NOT earlier THEN n ELSE 0 END) AS removed, sum(CASE WHEN here AND earlier THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN here AND NOT earlier THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN here AND NOT earlier THEN toxic ELSE 0 END) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+    CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM g
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_url_filter": _URL_SQL, "op6_quality_rules": _QUALITY_SQL, "op8_exact_dedup": _EXACT_SQL,
+                              "op11_filter_audit": _AUDIT_SQL}
