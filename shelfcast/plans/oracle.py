@@ -144,14 +144,34 @@ def config_cells(p: str, dataset: str) -> str:
     served, mase FROM {p}mps WHERE fold = 0)"""
 
 
-def bootstrap(src: str, resamples: int, p: str = "bs_") -> str:
-    """Replicate statistics from expanded md5 draws: {p}obs, {p}rl (per cell, b, metric, v), {p}ids."""
+RESAMPLES = 10_000
+SLICE = 4096
+_TWO64 = "18446744073709551616::HUGEINT"
+
+
+def _bits(name: str, src: str, place: str, draw: str) -> str:
+    """CTE ``name``: ``src`` (with b) and 64 random bits u of draw ``draw`` at ``place``, as the README's draw rule has them."""
+    start = (f"(b::HUGEINT * {0x1E3779B97F4A7C15} + ({draw})::HUGEINT * {0x2545F4914F6CDD1D} + ({place})::HUGEINT * {0x3C79AC492BA7B653}"
+             f" + 51::HUGEINT * {0x1C69B3F74AC4AE35}) % {_TWO64}")
+    return f"""{name} AS (SELECT * EXCLUDE (z0, z1, z2), xor(z2, z2 >> 32) AS u FROM (
+  SELECT *, CAST(CAST(xor(z1, z1 >> 29) AS HUGEINT) * {0x14D049BB133111EB} % {_TWO64} AS UBIGINT) AS z2 FROM (
+  SELECT *, CAST(CAST(xor(z0, z0 >> 32) AS HUGEINT) * {0x3F58476D1CE4E5B9} % {_TWO64} AS UBIGINT) AS z1 FROM (
+  SELECT *, CAST({start} AS UBIGINT) AS z0 FROM {src}))))"""
+
+
+def bootstrap(src: str, resamples: int = RESAMPLES, p: str = "bs_") -> str:
+    """Replicate statistics from expanded draws: {p}obs, {p}rl (per cell, b, metric, v), {p}ids."""
     return f"""{p}ids AS (SELECT dataset, sid, row_number() OVER (PARTITION BY dataset ORDER BY sid) - 1 AS pos,
     count(*) OVER (PARTITION BY dataset) AS n FROM (SELECT DISTINCT dataset, sid FROM {src})),
 {p}sizes AS (SELECT DISTINCT dataset, n FROM {p}ids),
 {p}idx AS (SELECT z.dataset, z.n, b.b, unnest(range(0, z.n)) AS i FROM {p}sizes z CROSS JOIN range(0, {resamples}) b(b)),
-{p}draws AS (SELECT dataset, b, ('0x' || substr(md5('51:' || CAST(b AS VARCHAR) || ':' || CAST(i AS VARCHAR)), 1, 8))::BIGINT % n
-    AS pos FROM {p}idx),
+{p}many AS (SELECT * FROM {p}idx WHERE n > {SLICE}),
+{_bits(p + 'first', p + 'many', '0', 'i')},
+{p}dealt AS (SELECT dataset, n, b, s, row_number() OVER (PARTITION BY dataset, b, s ORDER BY i) - 1 AS j
+    FROM (SELECT *, u % n // {SLICE} AS s FROM {p}first)
+  UNION ALL SELECT dataset, n, b, 0, i FROM {p}idx WHERE n <= {SLICE}),
+{_bits(p + 'second', p + 'dealt', 's + 1', 'j')},
+{p}draws AS (SELECT dataset, b, CAST(s * {SLICE} + u % CAST(least({SLICE}, n - s * {SLICE}) AS UBIGINT) AS BIGINT) AS pos FROM {p}second),
 {p}rs AS (SELECT c.dataset, c.model, c.regime, d.b, avg(c.mase) AS MASE, quantile_cont(c.mase, 0.5) AS MASE_median,
     sum(c.cost) / sum(c.demand) AS cost_per_unit
   FROM {p}draws d JOIN {p}ids i ON i.dataset = d.dataset AND i.pos = d.pos
@@ -169,8 +189,8 @@ def bootstrap(src: str, resamples: int, p: str = "bs_") -> str:
 def pair_tests(p: str = "bs_", pair_filter: str | None = None) -> str:
     cond = pair_filter or "(a.model < b.model OR (a.model = b.model AND a.regime < b.regime))"
     return f"""{p}pr AS (SELECT a.dataset, a.model AS model_a, a.regime AS regime_a, b.model AS model_b,
-    b.regime AS regime_b, a.metric, avg(CASE WHEN a.v - b.v <= 0 THEN 1.0 ELSE 0.0 END) AS below,
-    avg(CASE WHEN a.v - b.v >= 0 THEN 1.0 ELSE 0.0 END) AS above
+    b.regime AS regime_b, a.metric, avg(CASE WHEN round(a.v - b.v, 9) <= 0 THEN 1.0 ELSE 0.0 END) AS below,
+    avg(CASE WHEN round(a.v - b.v, 9) >= 0 THEN 1.0 ELSE 0.0 END) AS above
   FROM {p}rl a JOIN {p}rl b ON a.dataset = b.dataset AND a.b = b.b AND a.metric = b.metric
   WHERE {cond}
   GROUP BY a.dataset, a.model, a.regime, b.model, b.regime, a.metric),
@@ -269,7 +289,7 @@ upd AS (SELECT CAST(r_regionkey + 1000 AS BIGINT) AS user_id, CAST(r_regionkey A
     q["order_plan"] = _w(next_month(), "SELECT store_id, item_id, forecasted_sold FROM plan")
     q["plan_by_location"] = _w(next_month(), """SELECT p.store_id, p.item_id, p.forecasted_sold,
     round(CAST(r.r_regionkey * 15.0 - 30.0 AS DOUBLE), 6) AS lat, round(CAST(r.r_regionkey * 40.0 - 90.0 AS DOUBLE), 6) AS lon
-  FROM plan p JOIN region r ON r.r_name = p.store_id WHERE r.r_name < 'M'""")
+  FROM plan p JOIN region r ON r.r_name = p.store_id""")
 
     q["daily_panel"] = _w(f"{sales('region')},\n{daily()}", """SELECT item_id, store_id, count(*) AS days,
     round(sum(sold), 6) AS total, count(CASE WHEN sold = 0 THEN 1 END) AS zero_days FROM dp GROUP BY item_id, store_id""")
@@ -426,15 +446,15 @@ tr AS (SELECT 'seasonal_naive' AS model, 'statistical' AS regime, cpu FROM snval
     q["best_built"] = _w(both, """SELECT dataset, arg_min(model, (cost_per_unit, model, regime)) AS model,
     arg_min(regime, (cost_per_unit, model, regime)) AS regime, round(min(cost_per_unit), 6) AS cost_per_unit
   FROM allcells WHERE model IN ('seasonal_naive', 'moving_average', 'quantile_forest') GROUP BY dataset""")
-    q["significance"] = _w(f"{both},\n{bootstrap('allps', 200)},\n{pair_tests()}", f"SELECT {PAIR_COLS} FROM bs_res")
-    q["bootstrap_pairs"] = _w(f"{ER},\n{config_cells('', 'brand_region')},\n{bootstrap('cfgps', 200)},\n{pair_tests()}",
+    q["significance"] = _w(f"{both},\n{bootstrap('allps')},\n{pair_tests()}", f"SELECT {PAIR_COLS} FROM bs_res")
+    q["bootstrap_pairs"] = _w(f"{ER},\n{config_cells('', 'brand_region')},\n{bootstrap('cfgps')},\n{pair_tests()}",
                               f"SELECT {PAIR_COLS} FROM bs_res")
     planned = ("((a.model = 'moving_average' AND a.regime = 'zero_shot' AND b.model = 'seasonal_naive') OR "
                "(a.model = 'moving_average' AND a.regime = 'fine_tune' AND b.model = 'moving_average' "
                "AND b.regime = 'zero_shot') OR "
                "(a.model = 'moving_average' AND a.regime = 'fine_tune' AND b.model = 'seasonal_naive')) "
                "AND a.metric = 'cost_per_unit'")
-    q["planned_contrasts"] = _w(f"{ER},\n{bootstrap('cellps', 200)},\n{pair_tests(pair_filter=planned)}",
+    q["planned_contrasts"] = _w(f"{ER},\n{bootstrap('cellps')},\n{pair_tests(pair_filter=planned)}",
         """SELECT dataset, model_a || ' ' || regime_a AS label_a, model_b || ' ' || regime_b AS label_b,
     round(a, 6) AS cost_a, round(b, 6) AS cost_b, round(diff, 6) AS diff,
     CASE WHEN p_value < 0.001 THEN '<0.001' ELSE printf('%.3f', p_value) END AS p FROM bs_res""")
