@@ -26,6 +26,13 @@ def insert_if_absent(keys: DataFrame, dim: DataFrame, on: list[str]) -> DataFram
                .unionByName(new.select(*on).withColumn("is_new", F.lit(True))))
 
 
+def first_seen(rows: DataFrame, on: list[str], cutoff, date: str = "date") -> DataFrame:
+    """R1 + R2 over a history in one pass: every key with ``is_new``, whether it was first seen at ``cutoff`` or later and
+    so is new to the dimension built before. The first date of a key is combined on the map side."""
+    first = rows.groupBy(*on).agg(F.min(date).alias("_first"))
+    return first.select(*on, (F.col("_first") >= F.lit(cutoff)).alias("is_new"))
+
+
 def lookup(facts: DataFrame, dim: DataFrame, on: list[str], id_col: str) -> DataFrame:
     """Natural key → surrogate key by equi-join."""
     return facts.join(dim.select(*on, id_col), on, "inner")
@@ -67,7 +74,11 @@ def store_locations(stores: DataFrame, default: str = DEFAULT_GEOLOCATION) -> Da
     return stores.select("*", geo.alias("location"))
 
 
+def is_good(qty: str = "sold"):
+    """the non-negative quantity rule (a missing quantity breaks it)."""
+    return F.col(qty).isNotNull() & (F.col(qty) >= 0)
+
+
 def split_quality(sales: DataFrame, qty: str = "sold") -> tuple[DataFrame, DataFrame]:
     """rows that satisfy the non-negative quantity rule, and the rejected rows."""
-    ok = F.col(qty).isNotNull() & (F.col(qty) >= 0)
-    return sales.filter(ok), sales.filter(~ok | F.col(qty).isNull())
+    return sales.filter(is_good(qty)), sales.filter(~is_good(qty))

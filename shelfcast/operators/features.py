@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfcast.session import spread
+
+
 def series_w() -> Window:
     """partitionBy(sid).orderBy(wk) — built lazily (needs an active session)."""
     return Window.partitionBy("sid").orderBy("wk")
@@ -25,6 +28,25 @@ def full_mean(k: int, value: str = "y"):
     return F.when(F.count(value).over(w) == k, F.avg(value).over(w))
 
 
+def series_rows(panel: DataFrame) -> DataFrame:
+    """One row per series: (sid, wks, ys), arrays in week order, bounded by the calendar."""
+    g = spread(panel, "sid").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("wk", "y"))).alias("_p"))
+    return computed(g, wks=F.transform("_p", lambda p: p["wk"]), ys=F.transform("_p", lambda p: p["y"])).drop("_p")
+
+
+def computed(df: DataFrame, **columns) -> DataFrame:
+    """``df`` and ``columns``, computed once per row. Plain projections are merged, and an array that a later lambda
+    names would then be worked out again for each of the lambda's elements; a generator of one row is not merged."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def full_means(values, k: int):
+    """Means of the last k values at each place of an array, NULL unless all k exist."""
+    v = F.col(values) if isinstance(values, str) else values
+    return F.transform(v, lambda x, i: F.when(i >= k - 1, F.aggregate(
+        F.slice(v, F.greatest(i - (k - 2), F.lit(1)), F.lit(k)), F.lit(0.0), lambda a, y: a + y) / F.lit(float(k))))
+
+
 def seasonal_residuals(panel: DataFrame, m: int) -> DataFrame:
     """y[t] − y[t−m] where both exist → (sid, wk, residual)."""
     r = F.col("y") - F.lag("y", m).over(series_w())

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from shelfcast.config import PanelSpec
 from shelfcast.functions.columns import clip_zero, md5_int, series_id, week_index, week_start
+from shelfcast.session import materialize, spread
+
 
 def series_w() -> Window:
     """partitionBy(sid).orderBy(wk) — built lazily (needs an active session)."""
@@ -31,24 +33,37 @@ def daily_sums(sales: DataFrame) -> DataFrame:
                  .agg(F.sum(F.col("sold").cast("double")).alias("sold")))
 
 
-def daily_panel(sales: DataFrame) -> DataFrame:
-    """P1+P2: dense (item_id, store_id, date, sold) from the first to the last sale date of the
-    whole table, zero-filled — including the days before a series' first sale (G1).
+def filled(points, first, last, start, value, step=1):
+    """Sorted (at, value) points of one series as an array over [first, last]: what is missing is zero. Each point
+    covers the places up to the next one, so the work is linear in the calendar, without a join."""
+    pts = F.filter(points, lambda p: (p[start] >= first) & (p[start] <= last))
+    head = F.array(F.struct(first.alias(start), F.lit(0.0).alias(value)))
+    pts = F.when(F.size(pts) == 0, head).when(F.element_at(pts, 1)[start] > first, F.concat(head, pts)).otherwise(pts)
+    ends = F.concat(F.slice(F.transform(pts, lambda p: p[start]), 2, 1 << 30), F.array(last + F.lit(step)))
+    return F.flatten(F.zip_with(pts, ends, lambda p, e: F.transform(
+        F.sequence(p[start], e - F.lit(step)), lambda t: F.struct(t.alias(start), F.when(t == p[start], p[value]).otherwise(F.lit(0.0)).alias(value)))))
+
 
-    One pass over the raw sales: the calendar bounds (scalar subqueries) and the
-    series list both come from the pre-aggregated daily sums. The spine is observed series ×
-    calendar (R14), never all items × all stores.
+def daily_series(sales: DataFrame) -> DataFrame:
+    """P1+P2, one row per series: (item_id, store_id, first, days array of (day, sold)), day 0 being the first sale date of
+    the whole table and the last day its last, zero-filled — including the days before a series' first sale (G1).
+
+    One pass over the raw sales: the daily sums are written once; the calendar's bounds and the series come from them.
     """
-    sums = daily_sums(sales)
-    # Calendar bounds are uncorrelated scalar subqueries (Spark merges them into one aggregate).
-    d0 = sums.select(F.min("date")).scalar()
-    d1 = sums.select(F.max("date")).scalar()
-    series = sums.select("item_id", "store_id").distinct()
-    spine = series.select("item_id", "store_id",
-                          F.explode(F.sequence(d0, d1, F.expr("INTERVAL 1 DAY"))).alias("date"))
-    return (spine.join(sums, ["item_id", "store_id", "date"], "left")
-                 .select("item_id", "store_id", "date",
-                         F.coalesce(F.col("sold"), F.lit(0.0)).alias("sold")))
+    sums = materialize(daily_sums(sales))
+    d0, d1 = sums.agg(F.min("date"), F.max("date")).first()
+    if d0 is None:
+        d0 = d1 = _dt.date(1970, 1, 1)
+    first, last = F.lit(0), F.lit((d1 - d0).days)
+    pts = F.array_sort(F.collect_list(F.struct(F.datediff("date", F.lit(d0)).alias("day"), "sold")))
+    return (spread(sums.filter(F.col("date").isNotNull()), "item_id", "store_id").groupBy("item_id", "store_id").agg(pts.alias("_p"))
+                .select("item_id", "store_id", F.lit(d0).alias("first"), filled(F.col("_p"), first, last, "day", "sold").alias("days")))
+
+
+def daily_panel(sales: DataFrame) -> DataFrame:
+    """P1+P2: dense (item_id, store_id, date, sold): observed series × calendar (R14), never all items × all stores."""
+    return daily_series(sales).select("item_id", "store_id", "first", F.inline("days")).select(
+        "item_id", "store_id", F.date_add("first", F.col("day")).alias("date"), "sold")
 
 
 # ---------------------------------------------------------------- weekly panel ----------
@@ -66,28 +81,24 @@ def weekly_sums(sales: DataFrame, spec: PanelSpec, clip_returns: bool = False) -
     return rows.groupBy("sid", "wk").agg(F.sum("y").alias("y"))
 
 
-def densify_weeks(sums: DataFrame, spec: PanelSpec, series: DataFrame | None = None) -> DataFrame:
+def densify_weeks(sums: DataFrame, spec: PanelSpec) -> DataFrame:
     """P5 + P7 (internal form): observed series × weeks [0, weeks), missing weeks → 0.
 
-    The spine only holds kept weeks, so partial or out-of-range weeks of ``sums`` simply do not
-    match. The aggregated side stays hash-partitioned on (sid, wk) from its aggregate, so the
-    join only shuffles the spine.
+    One array per series, bounded by the calendar, filled and laid out again: no spine and no join. A series whose
+    sums all lie outside the kept weeks comes as zeros.
     """
-    if series is None:
-        series = sums.select("sid").distinct()
-    spine = series.select("sid", F.explode(F.sequence(F.lit(0), F.lit(spec.weeks - 1))).alias("wk"))
-    return (spine.join(sums, ["sid", "wk"], "left")
-                 .select("sid", "wk", week_start("wk", spec.epoch).alias("week_start"),
-                         F.coalesce(F.col("y"), F.lit(0.0)).alias("y")))
+    pts = F.array_sort(F.collect_list(F.struct("wk", F.coalesce("y", F.lit(0.0)).alias("y"))))
+    dense = filled(F.col("_p"), F.lit(0), F.lit(spec.weeks - 1), "wk", "y")
+    return (sums.filter(F.col("wk").isNotNull()).groupBy("sid").agg(pts.alias("_p")).select("sid", F.inline(dense))
+                .select("sid", "wk", week_start("wk", spec.epoch).alias("week_start"), "y"))
 
 
-def sale_calendar(sales: DataFrame, spec: PanelSpec) -> PanelSpec:
-    """``spec`` with the calendar of the sales: its weeks (counted from its epoch, back or forth) from
+def calendar_of(lo: _dt.date | None, hi: _dt.date | None, spec: PanelSpec) -> PanelSpec:
+    """``spec`` with the calendar from ``lo`` to ``hi``: its weeks (counted from its epoch, back or forth) from
     that of the first sale date to the last one that the sales fill; only a partial last week is left out.
 
-    One aggregate with one row on the driver. No sales: ``spec`` as it is. A table without a whole week raises.
+    No sales: ``spec`` as it is. A table without a whole week raises.
     """
-    lo, hi = sales.agg(F.min(F.col("date").cast("date")), F.max(F.col("date").cast("date"))).first()
     if lo is None:
         return spec
     epoch = spec.epoch + _dt.timedelta(days=(lo - spec.epoch).days // 7 * 7)
@@ -97,6 +108,23 @@ def sale_calendar(sales: DataFrame, spec: PanelSpec) -> PanelSpec:
     return replace(spec, epoch=epoch, weeks=weeks)
 
 
+def sale_calendar(sales: DataFrame, spec: PanelSpec) -> PanelSpec:
+    """``calendar_of`` the sale dates: one aggregate with one row on the driver."""
+    return calendar_of(*sales.agg(F.min(F.col("date").cast("date")), F.max(F.col("date").cast("date"))).first(), spec)
+
+
+def weekly_sums_and_calendar(sales: DataFrame, spec: PanelSpec, clip_returns: bool = False) -> tuple[DataFrame, PanelSpec]:
+    """(weekly sums, calendar of the sales) from one pass over the raw sales: the sums carry their first and last sale
+    date, are written once and counted from the calendar's first week afterwards."""
+    y = clip_zero("sold") if clip_returns else F.col("sold").cast("double")
+    rows = sales.select(series_id("store_id", "item_id").alias("sid"), week_index("date", spec.epoch).alias("wk"),
+                        F.col("date").cast("date").alias("date"), y.alias("y"))
+    sums = materialize(rows.groupBy("sid", "wk").agg(F.sum("y").alias("y"), F.min("date").alias("lo"), F.max("date").alias("hi")))
+    own = calendar_of(*sums.agg(F.min("lo"), F.max("hi")).first(), spec)
+    shift = (own.epoch - spec.epoch).days // 7
+    return sums.select("sid", (F.col("wk") - shift).alias("wk"), "y"), own
+
+
 def weekly_panel(sales: DataFrame, spec: PanelSpec, clip_returns: bool = False) -> DataFrame:
     """Dense weekly panel (sid, wk, week_start, y), zero-filled, over every series that has a sale
     (also a sale outside the kept weeks, like an unstack of all totals followed by a column cut)."""
@@ -155,6 +183,25 @@ def forecast_panel(panel: DataFrame, spec: PanelSpec) -> DataFrame:
     return restrict(listed_panel(panel), eligible_series(panel, spec))
 
 
+def align_to_panel(forecasts: DataFrame, panel: DataFrame, cut: int, horizon: int) -> DataFrame:
+    """The forecasts of exactly the panel's series and the weeks [cut, cut + horizon).
+
+    A full outer join of what is there with what is wanted; a (sid, wk) that is missing, comes twice or that the panel does not
+    have raises when the rows are read.
+    """
+    want = panel.groupBy("sid").agg(F.lit(1).alias("_want")).select(
+        "sid", F.explode(F.sequence(F.lit(cut), F.lit(cut + horizon - 1))).alias("wk"), "_want")
+    have = forecasts.withColumn("_times", F.count(F.lit(1)).over(Window.partitionBy("sid", "wk")))
+    both = have.join(want, ["sid", "wk"], "full_outer")
+    place = F.concat_ws(" week ", "sid", F.col("wk").cast("string"))
+    checked = (F.when(F.col("_want").isNull(), F.raise_error(F.concat(F.lit("forecast outside the panel: "), place)))
+                .when(F.col("_times").isNull(), F.raise_error(F.concat(F.lit("no forecast for "), place)))
+                .when(F.col("_times") > 1, F.raise_error(F.concat(F.lit("more than one forecast for "), place)))
+                .otherwise(F.col("sid").cast("string")))
+    # the series id hangs on the check, so that the optimizer cannot prune it
+    return both.withColumn("sid", checked).select(*forecasts.columns)
+
+
 def long_frame(panel: DataFrame) -> DataFrame:
     """P18 + F17: (unique_id, ds, y) without missing values."""
     return (panel.filter(F.col("y").isNotNull())
@@ -184,6 +231,12 @@ def split_train_test(panel: DataFrame, cut: int, horizon: int) -> tuple[DataFram
             panel.filter((F.col("wk") >= cut) & (F.col("wk") < cut + horizon)))
 
 
+def at_origins(cuts, keep):
+    """Generator of (fold, cut): the rolling origins for whose cut ``keep`` holds."""
+    all_ = F.array(*[F.struct(F.lit(f).alias("fold"), F.lit(c).alias("cut")) for f, c in cuts])
+    return F.inline(F.filter(all_, lambda o: keep(o["cut"])))
+
+
 def cuts_frame(spark, spec: PanelSpec, include_test: bool = True) -> DataFrame:
     """Rolling origins as rows: fold f (1..folds) forecasts from W−(f+1)H; fold 0 = test, W−H."""
     rows = [(f, spec.fold_cut(f)) for f in range(1, spec.folds + 1)]
@@ -195,12 +248,11 @@ def cuts_frame(spark, spec: PanelSpec, include_test: bool = True) -> DataFrame:
 def fold_splits(panel: DataFrame, spec: PanelSpec) -> DataFrame:
     """Per (fold, sid) training rows/sum (wk < cut) and truth sum (next H weeks).
 
-    The folds table has ``folds`` rows (a protocol constant), so it is broadcast; the range
-    condition wk < cut + H is evaluated in the broadcast nested-loop join per panel row.
+    Origins are a literal array of ``folds`` entries; a row keeps those it belongs to, without a join.
     """
-    folds = cuts_frame(panel.sparkSession, spec, include_test=False)
     h = spec.horizon
-    joined = panel.join(F.broadcast(folds), F.col("wk") < F.col("cut") + F.lit(h))
+    cuts = [(f, spec.fold_cut(f)) for f in range(1, spec.folds + 1)]
+    joined = panel.select("*", at_origins(cuts, lambda cut: F.col("wk") < cut + F.lit(h)))
     train = F.col("wk") < F.col("cut")
     return (joined.groupBy("fold", "sid")
                   .agg(F.count(F.when(train & F.col("y").isNotNull(), 1)).alias("n_train"),

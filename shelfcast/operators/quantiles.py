@@ -1,21 +1,20 @@
-"""Quantiles and losses (A1–A6) plus a skew-safe exact percentile.
+"""Quantiles and losses (A1–A6) plus skew-safe exact percentiles.
 
 Two exact percentile paths, both with numpy's default linear interpolation:
 
-* ``group_percentiles`` — Spark's ``percentile`` aggregate, used when a group is bounded by
-  the calendar (per series, per (series, step)): partial buffers are merged per group.
-* ``exact_percentiles`` — for groups that grow with the data (a statistic across all series of
-  a cell, a whole-panel median, one bootstrap replicate). It never gathers a group in one
-  task: rows are range-partitioned on (group, value), so a hot group is split across many
-  partitions; each (partition, group) slice is ranked locally, slice totals (≤ groups +
-  partitions rows) are prefix-summed into global offsets, and only the ≤ 2 rows per level
-  that straddle the target ranks are kept and combined.
+* ``group_percentiles`` — one sorted array per group, for groups bounded by the calendar (per series, per
+  (series, step)).
+* ``selected_percentiles`` — for groups that grow with the data (a statistic across all series of a cell, a
+  whole-panel median). The 64 ordered bits of a double are read 16 at a time: a pass counts rows per (group,
+  column, digit), combined on the map side, so a hot group or value costs every task at most 65,536 counts; running
+  sums over the digits name the one digit each wanted rank lies in, and the next pass counts only rows that begin so.
+  Four passes name the value itself. Nothing is sorted, gathered or cut off from its lineage; all columns and levels
+  share the passes.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,63 +41,88 @@ def group_percentiles(df: DataFrame, keys: list[str], value: str, levels, names:
     return g.select(*keys, *outs)
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, levels, names: list[str],
-                      weight: str | None = None, partitions: int | None = None) -> DataFrame:
-    """Exact weighted percentiles per group without gathering any group in one task.
+DIGIT = 16  # bits
+
+
+def ordered_bits(c: Column) -> Column:
+    """A double as a long of the same order (zeros alike, NaN above all)."""
+    bits = F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), c + F.lit(0.0)).cast("long")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit(2**63 - 1)))
+
 
-    With integer ``weight`` a row counts ``weight`` times (the expanded-sample percentile).
-    NULL values are ignored. Output: keys + ``n`` (total weight) + one column per level.
+def selected_percentiles(df: DataFrame, keys: list[str], columns: dict[str, list[str]], levels, weight: str | None = None) -> DataFrame:
+    """Exact percentiles of several columns per group: ``columns`` maps a column to the names of its ``levels``.
+
+    With integer ``weight`` a row counts ``weight`` times (the expanded-sample percentile). NULL values are ignored. Output:
+    keys, each column's names and ``n_<column>`` (its total weight); a group has a row if any column has a value.
     """
-    spark = df.sparkSession
-    p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
-    base = (df.select(*[F.col(k) for k in keys], F.col(value).cast("double").alias("_v"), w.alias("_w"))
-              .filter(F.col("_v").isNotNull() & (F.col("_w") > 0)))
-    # Equal values become one weighted row (a hot value cannot fill a task), and the ranged rows are
-    # written once: range bounds are sampled, so two plans over them need not agree.
-    base = base.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w"))
-    ranged = materialize(base.repartitionByRange(p, *[F.col(k) for k in keys], F.col("_v"))
-                         .withColumn("_pid", F.spark_partition_id()))
-    slice_w = Window.partitionBy("_pid", *keys)
-    # Rank inside each (range partition, group) slice; slice totals come from a plain aggregate
-    # over the same (reused) range exchange, so the ranking window runs once.
-    local = ranged.withColumn("_c", F.sum("_w").over(
-        slice_w.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_w"))
-    totals = ranged.groupBy("_pid", *keys).agg(F.sum("_w").alias("_t"))
-    grp = Window.partitionBy(*keys)
-    offsets = totals.select(
-        "_pid", *keys, "_t",
-        F.coalesce(F.sum("_t").over(grp.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0).cast("long")).alias("_off"),
-        F.sum("_t").over(grp).alias("_n"))
-    hits = []
-    for i, q in enumerate(levels):
-        pos = F.lit(float(q)) * (F.col("_n") - F.lit(1)).cast("double")
-        offsets = (offsets.withColumn(f"_lo{i}", F.floor(pos).cast("long"))
-                          .withColumn(f"_hi{i}", F.ceil(pos).cast("long"))
-                          .withColumn(f"_fr{i}", pos - F.floor(pos)))
-        for side in ("lo", "hi"):
-            t = F.col(f"_{side}{i}")
-            hits.append((t >= F.col("_off")) & (t < F.col("_off") + F.col("_t")))
-    needed = offsets.filter(reduce(or_, hits)).drop("_t")
-    joined = local.join(needed, ["_pid", *keys])
-    start = F.col("_off") + F.col("_c")
-    end = start + F.col("_w")
-
-    def at(t: Column) -> Column:
-        return (t >= start) & (t < end)
-
-    row_hits = [at(F.col(f"_{side}{i}")) for i in range(len(levels)) for side in ("lo", "hi")]
-    picked = joined.filter(reduce(or_, row_hits))
-    aggs = [F.first("_n").alias("n")]
-    for i in range(len(levels)):
-        aggs += [F.max(F.when(at(F.col(f"_lo{i}")), F.col("_v"))).alias(f"_vlo{i}"),
-                 F.max(F.when(at(F.col(f"_hi{i}")), F.col("_v"))).alias(f"_vhi{i}"),
-                 F.first(f"_fr{i}").alias(f"_f{i}")]
-    res = picked.groupBy(*keys).agg(*aggs)
-    outs = [(F.col(f"_vlo{i}") + F.col(f"_f{i}") * (F.col(f"_vhi{i}") - F.col(f"_vlo{i}"))).alias(n)
-            for i, n in enumerate(names)]
-    return res.select(*keys, "n", *outs)
+    group = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    by = [f"_k{i}" for i in range(len(keys))]
+    rows = df.select(*group, w.alias("_w"), F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)])))
+    rows = rows.filter(F.col("_v").isNotNull() & (F.col("_w") > 0)).withColumn("_b", ordered_bits(F.col("_v")))
+
+    def digit(k: int) -> Column:
+        """The k-th 16 bits; the first with its sign."""
+        x = F.shiftright("_b", 64 - DIGIT * (k + 1))
+        return x if k == 0 else x.bitwiseAND(F.lit((1 << DIGIT) - 1))
+
+    def cumulated(counts: DataFrame, within: list[str]) -> DataFrame:
+        """_before and _n: the weight of smaller digits and of all, within a prefix."""
+        w = Window.partitionBy(*within)
+        return counts.withColumn("_before", F.sum("_w").over(w.orderBy("_d").rowsBetween(Window.unboundedPreceding, -1))).withColumn(
+            "_before", F.coalesce("_before", F.lit(0).cast("long"))).withColumn("_n", F.sum("_w").over(w))
+
+    def hit(targets: Column) -> Column:
+        """The targets (rank within the prefix) that fall on a digit, with their rank within it."""
+        mine = F.filter(targets, lambda t: (t["rank"] >= F.col("_before")) & (t["rank"] < F.col("_before") + F.col("_w")))
+        return F.transform(mine, lambda t: F.struct(t["id"].alias("id"), (t["rank"] - F.col("_before")).alias("rank")))
+
+    first = cumulated(rows.groupBy(*by, "_c", digit(0).alias("_d")).agg(F.sum("_w").alias("_w")), [*by, "_c"])
+    at = [F.lit(float(q)) * (F.col("_n") - F.lit(1)).cast("double") for q in levels]
+    wanted = F.array(*[F.struct(F.lit(2 * i + side).alias("id"), half(p).cast("long").alias("rank"))
+                       for i, p in enumerate(at) for side, half in ((0, F.floor), (1, F.ceil))])
+    state = first.select(*by, "_c", "_n", F.col("_d").alias("_p"), hit(wanted).alias("_t")).filter(F.size("_t") > 0)
+    for k in range(1, 64 // DIGIT):
+        prefix = F.shiftright("_b", 64 - DIGIT * k)
+        same = reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*by, "_c", "_p")])
+        counted = (rows.withColumn("_p", prefix).alias("r").join(state.alias("s"), same)
+                   .groupBy(*[F.col(f"s.{c}").alias(c) for c in (*by, "_c", "_p", "_n")], digit(k).alias("_d"))
+                   .agg(F.sum("r._w").alias("_w"), F.first("s._t").alias("_t"), F.max("r._v").alias("_v")))
+        inside = cumulated(counted.withColumnRenamed("_n", "_all"), [*by, "_c", "_p"])
+        state = inside.select(*by, "_c", F.col("_all").alias("_n"), "_v", hit(F.col("_t")).alias("_t"), F.shiftleft("_p", DIGIT).bitwiseOR(
+            F.col("_d")).alias("_p")).filter(F.size("_t") > 0)
+    found = state.select(*by, "_c", "_n", "_v", F.explode("_t.id").alias("_id"))
+    aggs, outs = [], []
+    for i, (c, names) in enumerate(columns.items()):
+        own = F.col("_c") == i
+        aggs.append(F.max(F.when(own, F.col("_n"))).alias(f"n_{c}"))
+        for j, name in enumerate(names):
+            aggs += [F.max(F.when(own & (F.col("_id") == 2 * j + side), F.col("_v"))).alias(f"_{i}_{2 * j + side}") for side in (0, 1)]
+            pos = F.lit(float(levels[j])) * (F.col(f"n_{c}") - F.lit(1)).cast("double")
+            lo, hi = F.col(f"_{i}_{2 * j}"), F.col(f"_{i}_{2 * j + 1}")
+            outs.append((lo + (pos - F.floor(pos)) * (hi - lo)).alias(name))
+    got = found.groupBy(*by).agg(*aggs)
+    return got.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], *[f"n_{c}" for c in columns], *outs)
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, levels, names: list[str],
+                      weight: str | None = None, partitions: int | None = None) -> DataFrame:
+    """``selected_percentiles`` of one column. Output: keys + ``n`` (total weight) + one column per level.
+    ``partitions`` spreads the rows over so many tasks first, where they come in fewer."""
+    some = df.repartition(partitions) if partitions else df
+    out = selected_percentiles(some, keys, {value: list(names)}, levels, weight)
+    return out.withColumnRenamed(f"n_{value}", "n")
+
+
+def array_percentile(values: Column, q: float) -> Column:
+    """Exact percentile of a sorted array without NULLs; NULL of an empty one."""
+    n = F.size(values)
+    pos = F.lit(float(q)) * (n - F.lit(1)).cast("double")
+    lo = F.element_at(values, F.greatest(F.floor(pos) + 1, F.lit(1)).cast("int"))
+    hi = F.element_at(values, F.greatest(F.ceil(pos) + 1, F.lit(1)).cast("int"))
+    return F.when(n > 0, lo + (pos - F.floor(pos)) * (hi - lo))
 
 
 def quantile_forecast(point: DataFrame, resid_q: DataFrame, on: list[str], names=("q50", "q_cr")) -> DataFrame:
@@ -123,9 +147,9 @@ def pinball(q: float | Column, demand, forecast) -> Column:
 
 def global_rank(df: DataFrame, keys: list[str], order: str, partitions: int | None = None) -> DataFrame:
     """0-based position of each row within its group by ``order`` (ties broken arbitrarily but
-    deterministically), computed without gathering a group in one task: the same range
-    partition + local rank + prefix-offset scheme as ``exact_percentiles``. Adds ``pos`` and
-    the group size ``n``.
+    deterministically), computed without gathering a group in one task: rows are range-partitioned on
+    (keys, order) and written once, each (partition, group) slice is numbered locally, and the slices'
+    totals (groups + partitions rows at most) are summed up to offsets. Adds ``pos`` and the group size ``n``.
     """
     spark = df.sparkSession
     p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

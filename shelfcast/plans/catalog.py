@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from shelfcast.config import COSTS, DEFAULT_GEOLOCATION, MA_WINDOWS, N_RESAMPLES, SEED, TESTDATA_SPEC
+from shelfcast.config import COSTS, DEFAULT_GEOLOCATION, MA_WINDOWS, N_RESAMPLES, N_SERIES, SEED, TESTDATA_SPEC
 from shelfcast.functions.columns import compose_geolocation, critical_ratio, md5_int, quantile_levels
 from shelfcast.operators import dims as D
 from shelfcast.operators import panel as P
@@ -22,7 +22,7 @@ from shelfcast.operators.bootstrap import significance
 from shelfcast.operators.features import (design_matrix, latest_context, moving_average_residuals,
                                           scaled_windows, seasonal_residuals, trailing_mean)
 from shelfcast.operators.metrics import newsvendor_totals
-from shelfcast.operators.quantiles import exact_percentiles, group_percentiles, pinball, uncross
+from shelfcast.operators.quantiles import group_percentiles, pinball, selected_percentiles, uncross
 from shelfcast.plans import report as R
 from shelfcast.plans.experiment import Study, best_params, cells, holdout_summary, tuning_trials
 from shelfcast.plans.forecasters import LEVEL_NAMES, moving_average, seasonal_naive
@@ -74,29 +74,18 @@ def export_company_sales(spark, root):
 def sales_quality(spark, root):
     """good vs rejected rows of the signed (returns negative) sales view."""
     s = sales_view(TableSource(spark, root), "nation", signed=True)
-    good, bad = D.split_quality(s)
-    g = good.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("sold").alias("units")).withColumn("status", F.lit("good"))
-    b = bad.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("sold").alias("units")).withColumn("status", F.lit("rejected"))
-    return rounded(g.unionByName(b).select("status", "n_rows", "units"))
-
-
-def _dims_before(src: TableSource):
-    s = app_sales(src)
-    first = s.filter(F.col("date") < F.lit(UPLOAD_CUTOFF))
-    batch = s.filter(F.col("date") >= F.lit(UPLOAD_CUTOFF))
-    return first, batch
+    status = F.when(D.is_good("sold"), F.lit("good")).otherwise(F.lit("rejected"))
+    return rounded(s.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("sold").alias("units")))
 
 
 @query
 def dim_upsert(spark, root):
     """Product and store dimensions after a second upload (insert-if-absent)."""
-    first, batch = _dims_before(TableSource(spark, root))
-    out = []
-    for kind, key in (("product", "item_id"), ("store", "store_id")):
-        dim = D.distinct_keys(first, key, ["company_id"]).withColumnRenamed(key, "name")
-        keys = D.distinct_keys(batch, key, ["company_id"]).withColumnRenamed(key, "name")
-        out.append(D.insert_if_absent(keys, dim, ["company_id", "name"]).withColumn("kind", F.lit(kind)))
-    return out[0].unionByName(out[1]).select("company_id", "kind", "name", "is_new")
+    s = app_sales(TableSource(spark, root))
+    names = s.select("company_id", "date", F.inline(F.array(
+        F.struct(F.lit("product").alias("kind"), F.col("item_id").alias("name")),
+        F.struct(F.lit("store").alias("kind"), F.col("store_id").alias("name")))))
+    return D.first_seen(names, ["company_id", "kind", "name"], UPLOAD_CUTOFF)
 
 
 @query
@@ -219,7 +208,7 @@ def weekly_panel(spark, root):
 def weekly_panel_returns(spark, root):
     """returns negative, clipped per row before the weekly sum."""
     sales = sales_view(TableSource(spark, root), "region", signed=True)
-    return rounded(P.weekly_panel(sales, P.sale_calendar(sales, TESTDATA_SPEC), clip_returns=True))
+    return rounded(P.densify_weeks(*P.weekly_sums_and_calendar(sales, TESTDATA_SPEC, clip_returns=True)))
 
 
 @query
@@ -242,9 +231,9 @@ def eligible_series(spark, root):
 
 @query
 def sampled_panel(spark, root):
-    """100 sampled eligible series (md5 order), listed values."""
+    """The protocol's 1,000 sampled eligible series (md5 order; all, where there are fewer), listed values."""
     st = _study(spark, root, "nation")
-    ids = P.sample_series(st.eligible, 100, SEED)
+    ids = P.sample_series(st.eligible, N_SERIES, SEED, strict=False)
     return rounded(P.restrict(st.listed, ids).select("sid", "wk", "y"))
 
 
@@ -285,19 +274,13 @@ def panel_profile(spark, root):
     per = (P.restrict(st.listed, elig).filter(F.col("y").isNotNull()).groupBy("sid")
              .agg(F.avg("y").alias("mean_demand"), F.avg((F.col("y") == 0).cast("double")).alias("zero_share"),
                   F.min("wk").alias("first_wk"))
-             .withColumn("weeks_since_first", (F.lit(st.spec.weeks) - F.col("first_wk")).cast("double"))
-             .withColumn("_all", F.lit(1)))
-    # Every figure is one value: uncorrelated scalar subqueries over distributed aggregates.
-    meds = {c: exact_percentiles(per, ["_all"], c, [0.5], ["m"]).select("m").scalar()
-            for c in ("weeks_since_first", "mean_demand", "zero_share")}
+             .withColumn("weeks_since_first", (F.lit(st.spec.weeks) - F.col("first_wk")).cast("double")))
+    names = {"weeks_since_first": ["median_weeks_since_first"], "mean_demand": ["median_mean_demand"], "zero_share": ["median_zero_share"]}
+    meds = selected_percentiles(per, [], names, [0.5])
     series = st.weekly.select(F.countDistinct("sid")).scalar()
     eligible = elig.select(F.count(F.lit(1))).scalar()
-    one = spark.range(1)
-    return rounded(one.select(series.alias("series"), eligible.alias("eligible"),
-                              (eligible / series).alias("eligible_share"), F.lit(st.spec.weeks).alias("weeks"),
-                              meds["weeks_since_first"].alias("median_weeks_since_first"),
-                              meds["mean_demand"].alias("median_mean_demand"),
-                              meds["zero_share"].alias("median_zero_share")))
+    return rounded(meds.select(series.alias("series"), eligible.alias("eligible"), (eligible / series).alias("eligible_share"),
+                               F.lit(st.spec.weeks).alias("weeks"), *[n for own in names.values() for n in own]))
 
 
 @query

@@ -30,7 +30,8 @@ DEFAULT_WINDOW = 4
 class Study:
     """One dataset: a sales view, its calendar and costs, and the panels derived from it.
 
-    Without ``spec`` the calendar spans the sales of the table (``sale_calendar``)."""
+    Without ``spec`` the calendar spans the sales of the table: the weekly sums are written once and give the
+    calendar and the panels, so the sales are read one time."""
 
     spark: SparkSession
     root: str
@@ -41,7 +42,9 @@ class Study:
 
     def __post_init__(self):
         if self.spec is None:
-            self.spec = P.sale_calendar(self.sales, TESTDATA_SPEC)
+            self.sums, self.spec = P.weekly_sums_and_calendar(self.sales, TESTDATA_SPEC)
+        else:
+            self.sums = P.weekly_sums(self.sales, self.spec)
 
     @property
     def name(self) -> str:
@@ -65,7 +68,7 @@ class Study:
 
     @cached_property
     def weekly(self) -> DataFrame:
-        return P.weekly_panel(self.sales, self.spec)
+        return P.densify_weeks(self.sums, self.spec)
 
     @cached_property
     def listed(self) -> DataFrame:

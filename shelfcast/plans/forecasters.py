@@ -6,9 +6,9 @@ Contract (M4): ``forecaster(panel, cuts, spec, levels, **params)`` with ``cuts``
 ``cuts`` table at once. History for a cut is ``wk < cut``; folds and parameters are columns,
 so one plan scores every trial (T1).
 
-Origins are few (folds + 1, a protocol constant). Residual quantiles for all origins come from
-one sort per bounded group (``nested_percentiles``), so residual rows are never replicated per
-origin; the few point rows per origin come from a broadcast join with the origins table.
+Origins are few (folds + 1, a protocol constant) and enter as literal arrays. Seasonal residual quantiles of all
+origins come from one sort per bounded group (``nested_percentiles``); the moving average works on one row of arrays
+per series.
 """
 
 from __future__ import annotations
@@ -19,21 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.config import MA_WINDOWS, PanelSpec
-from shelfcast.operators.features import series_w, full_mean, seasonal_residuals
-from shelfcast.operators.quantiles import nested_percentiles, quantile_forecast
+from shelfcast.operators.features import computed, full_means, seasonal_residuals, series_rows
+from shelfcast.operators.panel import at_origins
+from shelfcast.operators.quantiles import array_percentile, nested_percentiles, quantile_forecast
 
 LEVEL_NAMES = ("q50", "q_cr")
 R_NAMES = [f"r_{n}" for n in LEVEL_NAMES]
 
 
-def _steps(h: int):
-    return F.explode(F.sequence(F.lit(1), F.lit(h))).alias("step")
-
-
-def _cuts_df(spark, cuts) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(list(cuts), "fold int, cut int"))
-
-
 def seasonal_naive(panel: DataFrame, cuts, spec: PanelSpec, levels) -> DataFrame:
     """M1: point = value one season before each target week (W4); residual quantiles of the
     seasonal differences in the history (W1, A1), shared by all steps (G7); clipped (A2).
@@ -44,46 +37,39 @@ def seasonal_naive(panel: DataFrame, cuts, spec: PanelSpec, levels) -> DataFrame
     assert h < m, "seasonal naive needs horizon < seasonality (G9)"
     res = seasonal_residuals(panel, m)
     rq = nested_percentiles(res, ["sid"], "residual", "wk", cuts, levels, R_NAMES)
-    cdf = _cuts_df(panel.sparkSession, cuts)
-    pts = (panel.join(cdf, (F.col("wk") >= F.col("cut") - m) & (F.col("wk") < F.col("cut") - m + h))
+    pts = (panel.select("*", at_origins(cuts, lambda cut: (F.col("wk") >= cut - m) & (F.col("wk") < cut - m + h)))
                 .select("fold", "cut", "sid", (F.col("wk") - (F.col("cut") - m) + 1).alias("step"),
                         F.col("y").alias("point")))
     fc = quantile_forecast(pts, rq, ["fold", "cut", "sid"], LEVEL_NAMES)
     return fc.select("fold", "cut", "sid", "step", (F.col("cut") + F.col("step") - 1).alias("wk"), *LEVEL_NAMES)
 
 
-def _ma_long(panel: DataFrame, windows, h: int) -> DataFrame:
-    """All window means and the next h values in one select (one sort per series)."""
-    means = [full_mean(k).alias(f"_m{k}") for k in windows]
-    leads = [F.lead("y", s).over(series_w()).alias(f"_l{s}") for s in range(1, h + 1)]
-    base = panel.select("sid", "wk", *means, *leads)
-    kk = F.array(*[F.struct(F.lit(k).alias("window"), F.col(f"_m{k}").alias("mean")) for k in windows])
-    return (base.select("sid", "wk", *[f"_l{s}" for s in range(1, h + 1)], F.inline(kk))
-                .filter(F.col("mean").isNotNull()))
-
-
 def moving_average(panel: DataFrame, cuts, spec: PanelSpec, levels,
                    windows=MA_WINDOWS) -> DataFrame:
     """M2: point = last full-window mean repeated over the horizon (W5); per-step residual
     quantiles of every earlier origin whose horizon lies in the history (W3, A1, G7, G8).
 
-    All windows and origins come from one sort per series and one sort per
-    (window, series, step) residual group.
+    A series is one row of arrays; all windows, steps and origins are worked out within it. The only shuffle
+    is the one that brings a series' weeks together.
     """
     h = spec.horizon
-    long = _ma_long(panel, windows, h)
-    steps = F.array(*[F.struct(F.lit(s).alias("step"), (F.col(f"_l{s}") - F.col("mean")).alias("residual"))
-                      for s in range(1, h + 1)])
-    res = long.select("sid", "wk", "window", F.inline(steps)).filter(F.col("residual").isNotNull())
-    # An origin at week wk is usable for a cut when its whole horizon precedes it: wk + h < cut.
-    rq = nested_percentiles(res, ["window", "sid", "step"], "residual", F.col("wk") + F.lit(h), cuts, levels,
-                            R_NAMES)
-    cdf = _cuts_df(panel.sparkSession, cuts)
-    pts = (long.join(cdf, F.col("wk") == F.col("cut") - 1)
-               .select("fold", "cut", "window", "sid", _steps(h), F.col("mean").alias("point")))
-    fc = quantile_forecast(pts, rq, ["fold", "cut", "window", "sid", "step"], LEVEL_NAMES)
-    return fc.select("fold", "cut", "window", "sid", "step", (F.col("cut") + F.col("step") - 1).alias("wk"),
-                     *LEVEL_NAMES)
+    rows = series_rows(panel)
+    kk = F.array(*[F.struct(F.lit(k).alias("window"), full_means("ys", k).alias("means")) for k in windows])
+    rows = rows.select("sid", "wks", "ys", F.inline(kk)).select("*", F.explode(F.sequence(F.lit(1), F.lit(h))).alias("step"))
+    # (residual, first week after the origin's horizon) by residual; an origin counts for a cut from that week on
+    n = F.greatest(F.size("ys") - F.col("step"), F.lit(0))
+    resid = F.arrays_zip(F.zip_with(F.slice("means", F.lit(1), n), F.slice("ys", F.col("step") + 1, n), lambda m, y: y - m).alias("v"),
+                         F.transform(F.slice("wks", F.lit(1), n), lambda w: w + F.lit(h)).alias("p"))
+    rows = computed(rows, r=F.array_sort(F.filter(resid, lambda r: r["v"].isNotNull())))
+    per = rows.select("sid", "window", "step", "wks", "means", "r", F.inline(F.array(*[
+        F.struct(F.lit(f).alias("fold"), F.lit(c).alias("cut")) for f, c in cuts])))
+    at = F.array_position("wks", F.col("cut") - 1).cast("int")
+    per = computed(per.select("fold", "cut", "window", "sid", "step", "r", F.when(at > 0, F.element_at("means", F.greatest(at, F.lit(1)))).alias("point"))
+                   .filter(F.col("point").isNotNull()), own=F.transform(F.filter("r", lambda r: r["p"] < F.col("cut")), lambda r: r["v"]))
+    q = [F.greatest(F.col("point") + array_percentile(F.col("own"), lv), F.lit(0.0)) for lv in levels]
+    return per.select(
+        "fold", "cut", "window", "sid", "step", (F.col("cut") + F.col("step") - 1).alias("wk"),
+        *[F.when(F.size("own") > 0, x).alias(name) for x, name in zip(q, LEVEL_NAMES)])
 
 
 # M5: name → forecaster. Parameter columns each forecaster adds to its output.

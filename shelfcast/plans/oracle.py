@@ -301,7 +301,7 @@ upd AS (SELECT CAST(r_regionkey + 1000 AS BIGINT) AS user_id, CAST(r_regionkey A
     q["long_frame"] = _w(N, "SELECT sid AS unique_id, week_start AS ds, round(y, 6) AS y FROM listed WHERE y IS NOT NULL")
     q["eligible_series"] = _w(N, "SELECT sid, first_wk, round(recent_sum, 6) AS recent_sum FROM elig")
     q["sampled_panel"] = _w(N + """,
-ids AS (SELECT sid FROM elig ORDER BY ('0x' || substr(md5('51:' || sid), 1, 8))::BIGINT, sid LIMIT 100)""",
+ids AS (SELECT sid FROM elig ORDER BY ('0x' || substr(md5('51:' || sid), 1, 8))::BIGINT, sid LIMIT 1000)""",
                             "SELECT sid, wk, round(y, 6) AS y FROM listed WHERE sid IN (SELECT sid FROM ids)")
     q["series_starts"] = _w(N, "SELECT sid, min(CASE WHEN y IS NOT NULL THEN week_start END) AS start FROM listed GROUP BY sid")
     q["series_arrays"] = _w(N, """SELECT sid, min(week_start) AS start, CAST(count(*) AS INTEGER) AS length,

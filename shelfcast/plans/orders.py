@@ -8,40 +8,36 @@ per (store, item) totals → non-zero plan. The daily series is bounded by the c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.config import DAILY_HORIZON, DEFAULT_COSTS
 from shelfcast.functions.columns import half_even
-from shelfcast.operators.panel import daily_panel
-from shelfcast.operators.quantiles import group_percentiles
+from shelfcast.operators.features import computed, full_means
+from shelfcast.operators.panel import daily_series
+from shelfcast.operators.quantiles import array_percentile
 
 KEYS = ["store_id", "item_id"]
 
 
 def daily_order_forecast(sales: DataFrame, window: int = DAILY_HORIZON, horizon: int = DAILY_HORIZON,
                          level: float | None = None) -> DataFrame:
-    """(store_id, item_id, step, forecasted_date, order) — unrounded order quantity per day."""
+    """(store_id, item_id, step, forecasted_date, order) — unrounded order quantity per day.
+
+    One row per series holds its days as an array; means, each step's residuals and their percentile are
+    computed within the row, so nothing but the daily sums is ever shuffled."""
     level = DEFAULT_COSTS.critical_ratio if level is None else level
-    daily = daily_panel(sales)
-    w = Window.partitionBy(*KEYS).orderBy("date")
-    trail = w.rowsBetween(-(window - 1), 0)
-    mean = F.when(F.count("sold").over(trail) == window, F.avg("sold").over(trail))
-    leads = [F.lead("sold", s).over(w).alias(f"_l{s}") for s in range(1, horizon + 1)]
-    last = F.max("date").over(Window.partitionBy(*KEYS))
-    base = daily.select(*KEYS, "date", mean.alias("_m"), last.alias("_end"), *leads)
-    # Point forecast: the mean of the last full window.
-    point = base.filter(F.col("date") == F.col("_end")).select(*KEYS, "_end", F.col("_m").alias("point"))
-    # Residuals of every origin whose whole horizon is observed; explode after that filter.
-    valid = base.filter(F.col("_m").isNotNull() & (F.date_add("date", horizon) <= F.col("_end")))
-    steps = F.array(*[F.struct(F.lit(s).alias("step"), (F.col(f"_l{s}") - F.col("_m")).alias("r"))
-                      for s in range(1, horizon + 1)])
-    res = valid.select(*KEYS, F.inline(steps))
-    rq = group_percentiles(res, [*KEYS, "step"], "r", [level], ["rq"])
-    fc = point.join(rq, KEYS)
-    order = F.greatest(F.col("point") + F.col("rq"), F.lit(0.0))
-    return fc.select(*KEYS, "step", F.date_add("_end", F.col("step")).alias("forecasted_date"),
-                     order.alias("order"))
+    base = computed(daily_series(sales), v=F.transform("days", lambda d: d["sold"])).drop("days")
+    base = computed(base, m=full_means("v", window), n=F.size("v"))
+    # Residuals of every origin whose whole horizon is observed, step by step; the point is the mean of the last full window.
+    steps = base.select(*KEYS, F.date_add("first", F.col("n") - 1).alias("_end"), F.element_at("m", -1).alias("point"), "v", "m", "n",
+                        F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
+    origins = F.greatest(F.col("n") - horizon, F.lit(0))
+    resid = F.zip_with(F.slice("m", F.lit(1), origins), F.slice("v", F.col("step") + 1, origins), lambda m, y: y - m)
+    rq = computed(steps, r=F.array_sort(F.filter(resid, lambda r: r.isNotNull()))).drop("v", "m")
+    order = F.greatest(F.col("point") + array_percentile(F.col("r"), level), F.lit(0.0))
+    return rq.filter(F.col("point").isNotNull() & (F.size("r") > 0)).select(
+        *KEYS, "step", F.date_add("_end", F.col("step")).alias("forecasted_date"), order.alias("order"))
 
 
 def next_month_forecast(sales: DataFrame, **kw) -> DataFrame:

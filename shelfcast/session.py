@@ -70,6 +70,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}"
 
 
+def spread(df, *keys: str):
+    """``df`` dealt by ``keys`` over all shuffle partitions. A few small rows that much work follows from would
+    otherwise be coalesced into one task by their bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def materialize(df):
     """Cut lineage of a reused intermediate with a reliable checkpoint in the shared
     ``spark.checkpoint.dir`` (survives executor loss; never a local checkpoint)."""

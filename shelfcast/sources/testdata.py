@@ -5,7 +5,8 @@ lineitem ⋈ part ⋈ supplier ⋈ nation ⋈ region with item = brand and store
 Only nation and region are broadcast explicitly: their sizes are fixed by the schema (25 and 5
 rows). part and supplier grow with the scale factor, so their join strategy is left to AQE,
 which broadcasts them only when their measured runtime size is under the threshold and falls
-back to a shuffle join (with skew splitting) otherwise.
+back to a shuffle join (with skew splitting) otherwise. Supplier joins as it is scanned, so that its size is known;
+its geography follows.
 """
 
 from __future__ import annotations
@@ -35,19 +36,12 @@ class TableSource:
         raise AttributeError(name)
 
 
-def store_dimension(src: TableSource, level: str = "region") -> DataFrame:
-    """supplier key → store name, where the store is the supplier's region or nation.
-
-    nation/region are schema-bounded (25/5 rows) and broadcast; supplier is not.
-    """
+def geography(src: TableSource, level: str = "region") -> DataFrame:
+    """nation_key → store_id (the name of the region or nation), region_key: 25 rows by schema."""
     nation = src.nation.select("n_nationkey", "n_name", "n_regionkey")
     region = src.region.select("r_regionkey", "r_name")
-    geo = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)
-    store_col = "r_name" if level == "region" else "n_name"
-    supplier = src.supplier.select("s_suppkey", "s_nationkey")
-    geo = geo.select("n_nationkey", F.col(store_col).alias("store_id"), "r_regionkey")
-    return (supplier.join(F.broadcast(geo), supplier.s_nationkey == geo.n_nationkey)
-            .select("s_suppkey", "store_id", F.col("s_nationkey").alias("nation_key"),
+    return (nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)
+            .select(F.col("n_nationkey").alias("nation_key"), F.col("r_name" if level == "region" else "n_name").alias("store_id"),
                     F.col("r_regionkey").alias("region_key")))
 
 
@@ -60,10 +54,11 @@ def sales_view(src: TableSource, level: str = "region", signed: bool = False,
     """
     li = src.lineitem.select("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_shipdate")
     part = src.part.select("p_partkey", "p_brand")
-    stores = store_dimension(src, level)
+    supplier = src.supplier.select("s_suppkey", "s_nationkey")
+    geo = geography(src, level)
     sold = signed_quantity("l_quantity", "l_returnflag") if signed else F.col("l_quantity")
     df = (li.join(part, li.l_partkey == part.p_partkey)
-            .join(stores, li.l_suppkey == stores.s_suppkey))
+            .join(supplier, li.l_suppkey == supplier.s_suppkey).join(F.broadcast(geo), supplier.s_nationkey == geo.nation_key))
     cols = [F.col("p_brand").alias("item_id"), F.col("store_id"), sold.alias("sold"),
             to_day("l_shipdate").alias("date")]
     if with_keys:
