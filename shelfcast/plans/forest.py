@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from shelfcast.config import SEED, PanelSpec
 from shelfcast.operators.features import design_matrix, latest_context, scaled_windows
 from shelfcast.operators.quantiles import exact_percentiles, uncross
+from shelfcast.session import materialize
 
 CONTEXT = 52
 GRID = [{"depth": d, "trees": t} for d in (4, 8) for t in (10, 20)]
@@ -33,13 +34,15 @@ def fit_predict(panel: DataFrame, cut: int, spec: PanelSpec, levels, depth: int
     """Forecast quantiles for the ``horizon`` weeks from ``cut``: (sid, step, wk, q50, q_cr)."""
     h = spec.horizon
     hist = panel.filter(F.col("wk") < cut)
-    train = design_matrix(scaled_windows(hist, CONTEXT, h)) \
-        .select(_features(F.col("x"), F.col("step")).alias("features"), F.col("target").alias("label"))
+    # written once: the fit reads it several times, the leaves once more
+    train = materialize(design_matrix(scaled_windows(hist, CONTEXT, h))
+                        .select(_features(F.col("x"), F.col("step")).alias("features"), F.col("target").alias("label")))
     rf = RandomForestRegressor(numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf,
                                subsamplingRate=subsample, seed=seed, featureSubsetStrategy="onethird",
                                leafCol="leaf")
     model = rf.fit(train)
-    leaves = model.transform(train).select("label", F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"))
+    leaves = materialize(model.transform(train).select("label", vector_to_array("leaf").alias("leaf")))
+    leaves = leaves.select("label", F.posexplode("leaf").alias("tree", "leaf"))
     names = ["l_q50", "l_q_cr"]
     leaf_q = exact_percentiles(leaves, ["tree", "leaf"], "label", list(levels), names).drop("n")
     ctx = latest_context(hist, cut, CONTEXT).filter(F.col("n") == CONTEXT)
