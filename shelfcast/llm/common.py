@@ -5,14 +5,15 @@ from __future__ import annotations
 
 import string
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.session import scratch_path
+from shelfcast.session import delete_path, scratch_path
 
 #: The word class of the query contracts: everything but space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,11 +26,34 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, string.ascii_uppercase, string.ascii_lowercase)
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Deletes the scratch tables made inside at the end. Gives a function that writes a frame as a table that stays."""
+    own: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = scratch_table(df, name)
+        own.pop()  # the table just written
+        return out
+    _SCOPES.append(own)
+    try:
+        yield keep
+    finally:
+        _SCOPES.remove(own)
+        for path in own:
+            delete_path(spark, path)
+
+
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` as a table in the shared checkpoint folder and read it back. The
     shuffle files of the writing job go with its end; a lost executor costs a read, no rerun."""
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:

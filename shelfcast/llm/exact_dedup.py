@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, scratch_table
+from .common import lower_ascii, scratch_scope, scratch_table
 
 
 def misra_gries(counters: int):
@@ -68,9 +68,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.001) -> DataFrame:
-    """``docs`` with one row of each group of equal texts (the largest id), all columns unchanged."""
-    keep = exact_groups(docs, id_col, text_col, share).filter("kept").select(
-        F.col("text_sha256").alias("__sha"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__id"))
-    keyed = docs.withColumn("__sha", F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), 256)).withColumn(
-        "__id", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    return keyed.join(keep, ["__sha", "__id"], "left_semi").dropDuplicates(["__sha", "__id"]).drop("__sha", "__id")
+    """``docs`` with one row of each group of equal texts (the largest id; of rows that repeat it, any), all columns
+    unchanged whatever their names. Null and empty texts are one group; a row without an id stays only where no row of
+    its group has one. No rows give no rows.
+
+    Only keys of the rows that go travel; texts are read again and pass by a join with them."""
+    with scratch_scope(docs.sparkSession) as keep:
+        groups = exact_groups(docs, id_col, text_col, share).filter("group_size > 1")
+        gone = groups.groupBy(F.col(id_col).alias("id"), F.col("text_sha256").alias("digest")).agg(
+            F.max("kept").alias("stays"), F.count("*").alias("n")).filter("not stays or n > 1")
+        gone = keep(gone.select("id", "digest", "stays"), "exact_copies")
+    digest = F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), 256)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), digest.alias("digest"))
+    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest"))
+    named = gone.select(F.col("id").alias("gone_id"), F.col("digest").alias("gone_digest"), "stays")
+    rest = rows.join(named.drop("stays"), same, "left_anti").select("row.*")
+    # rows that repeat the id that stays: one of them
+    again = rows.join(named.filter("stays").drop("stays"), same, "left_semi").dropDuplicates(["id", "digest"]).select("row.*")
+    return rest.unionByName(again)
