@@ -9,10 +9,12 @@ if its prefixes meet under every order; shingles that no other document has and
 their difference from below and sort out more, the cheaper bound while prefixes meet; the rest is verified on
 the full sets.
 
-Equal sets are one class and are represented by their least id. Links are found in two steps so that
+Equal sets are one class and are represented by their least id. Links are found in steps so that
 a group of near copies never emits all its pairs: first each class is verified against the pivot of
-the bucket of its rarest shared shingle under each order, and components are formed; then only pairs
-from different components that meet under all orders are verified, which loses no link between components."""
+the bucket of its rarest shared shingle under each order, and components are formed; then, in rounds, each class that
+shares buckets with other components offers a bounded number of pairs with their members, and components contract;
+at last only pairs from different components that meet under all orders are verified, which loses no link between
+components."""
 
 from __future__ import annotations
 
@@ -22,10 +24,10 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, scratch_table, text_bytes, text_chunks, word_hashes
+from .common import mix64, scratch_scope, scratch_table, text_bytes, text_chunks, word_hashes
 from .runs import Runs, answers_of, ask, packed
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -34,6 +36,8 @@ SHORT = 200     # shingles; the frequencies of all shingles of shorter documents
 HISTOGRAM = 64  # cells of the histogram filter
 CELLS = 8       # cells of the small histograms, of 8 bits each, that travel with the prefixes
 BACK = 4        # shingles before a bucket's that are looked at for a meeting of the same pair
+OFFERS = 12     # pairs that a class offers in a round
+ROUND_YIELD = 20  # rounds go on while more than one of so many offered pairs links
 BOUND = ["own", "own_rest", "n_rest", "counted", "cells", "cells_rest"]
 
 
@@ -268,9 +272,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = verified(scratch_table(filtered(stars.distinct(), reps, percent, orders), "star_pairs"), texts, width, percent, "star_links")
     first = components(links, "star_components")
 
-    # step 2: pairs from different components that meet under every order
-    comp = reps.select("id", "n", *BOUND, *[f"p{i}" for i in range(orders)]).join(first, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    comp = scratch_table(comp, "class_components")
+    # step 2: components contract, round by round, while rounds link a part of the classes that may still link
+    def of_classes(members: DataFrame, name: str) -> DataFrame:
+        classed = reps.select("id", "n", *BOUND, *[f"p{i}" for i in range(orders)]).join(members, "id", "left")
+        return scratch_table(classed.withColumn("comp", F.coalesce("comp", "id")), name)
+    comp, turn = of_classes(first, "class_components"), 0
+    while True:
+        offered = scratch_table(pivot_pairs(comp, orders, percent, turn), f"offered_pairs_{turn}")
+        found = verified(scratch_table(filtered(offered, reps, percent, orders), f"round_pairs_{turn}"), texts, width, percent, f"round_links_{turn}")
+        n, m = offered.count(), found.count()
+        if m:
+            links = links.union(found)
+            first = components(links, f"round_components_{turn}")
+            comp = of_classes(first, f"class_components_{turn}")
+        if m * ROUND_YIELD < n or not m:
+            break
+        turn += 1
+
+    # step 3: pairs from different components that meet under every order
     left = across(comp, orders, percent)
     more = verified(scratch_table(filtered(left, reps, percent, orders), "cross_pairs"), texts, width, percent, "cross_links")
     joined = components(links.union(more), "class_links") if more.take(1) else first
@@ -283,6 +302,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                       F.when(linked, F.col("__c")).otherwise(F.col("id")).alias("component_id"))
 
 
+def pivot_pairs(comp: DataFrame, orders: int, percent: int, turn: int) -> DataFrame:
+    """Distinct (a, b), a < b: each class and members of other components, one from each of the ``OFFERS`` smallest buckets
+    that it shares with a larger one. A bucket names a member of its largest component by a hash of bucket and round, so a
+    class that links to a part of a component meets several of its members. What is left out here comes in ``across``."""
+    rows = reduce(DataFrame.union, [comp.filter(100 * F.col("own") <= (100 - percent) * F.col("n")).select(
+        "id", "comp", "n", *BOUND, F.lit(i).alias("o"), F.explode(f"p{i}").alias("s")) for i in range(orders)])
+    sizes = rows.groupBy("o", "s", "comp").agg(F.count("*").alias("k"), F.min(F.struct(
+        F.xxhash64("id", "s", F.lit(turn)).alias("h"), "id", "n", *BOUND)).alias("member"))
+    top = (sizes.groupBy("o", "s").agg(F.sum("k").alias("k"), F.max_by(F.struct("comp", "member"), F.struct("k", "comp")).alias("top"), F.count("*").alias("c"))
+           .filter("c > 1").select("o", "s", "k", F.col("top.comp").alias("top"), F.col("top.member.id").alias("id2"),
+                                   *[F.col(f"top.member.{c}").alias(c + "2") for c in ("n", *BOUND)]))
+    met = rows.join(top, ["o", "s"]).filter(
+        (F.col("comp") != F.col("top")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+        & ((100 + percent) * least_difference() <= (100 - percent) * (F.col("n") + F.col("n2"))))
+    each = met.groupBy("id", "id2").agg(F.min("k").alias("k"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("k", "id2"))
+    return each.withColumn("place", place).filter(F.col("place") <= OFFERS).select(
+        F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
 def across(comp: DataFrame, orders: int, percent: int, most: int = 512) -> DataFrame:
     """Distinct (a, b), a < b, of different components whose prefixes share a shingle. A link shares one under
     every order, so a bucket (shingle) that would give more than ``most`` pairs is left to the next order,
@@ -335,6 +374,8 @@ def filtered(pairs: DataFrame, reps: DataFrame, percent: int, orders: int) -> Da
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the documents that are not the least id of their component; all columns unchanged. Rows
     without an id stay."""
-    groups = jaccard_components(docs, id_col=id_col, **options)
-    gone = groups.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    with scratch_scope(docs.sparkSession) as keep:
+        groups = jaccard_components(docs, id_col=id_col, **options)
+        gone = keep(groups.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("gone_id")).distinct(), "near_copies")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"))
+    return rows.join(gone, F.col("id") == F.col("gone_id"), "left_anti").select("row.*")
