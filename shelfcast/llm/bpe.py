@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the pattern by which this family of byte-level vocabularies cuts words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHORT = 64       # parts; beyond, the heap form
-REMEMBER = 1 << 19  # words, and cuts at spaces, that a worker remembers
+REMEMBER = 1 << 17  # words, and cuts at spaces, that a worker remembers
 NONE = 1 << 60      # the rank of a pair that is no merge
 REMEMBER_LEN = 64   # longer words are not remembered
 
