@@ -63,6 +63,12 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(table: DataFrame, row_bytes: int, most: int = 32 << 20) -> DataFrame:
+    """``table`` (written, so that counting costs nothing) marked for broadcast if its rows are ``most`` bytes at most; a
+    larger one is left to the planner, which shuffles."""
+    return F.broadcast(table) if table.count() * row_bytes <= most else table
+
+
 def text_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(UTF-8 bytes, n + 1 offsets) of a string column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

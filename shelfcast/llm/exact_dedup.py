@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, scratch_scope, scratch_table
+from .common import broadcast_if_small, lower_ascii, scratch_scope, scratch_table
 
 
 def misra_gries(counters: int):
@@ -82,7 +82,10 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), digest.alias("digest"))
     same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone_digest"))
     named = gone.select(F.col("id").alias("gone_id"), F.col("digest").alias("gone_digest"), "stays")
-    rest = rows.join(named.drop("stays"), same, "left_anti").select("row.*")
+    rest = rows.join(broadcast_if_small(named.drop("stays"), 100), same, "left_anti").select("row.*")
+    repeated = named.filter("stays").drop("stays")
+    if not repeated.take(1):
+        return rest
     # rows that repeat the id that stays: one of them
-    again = rows.join(named.filter("stays").drop("stays"), same, "left_semi").dropDuplicates(["id", "digest"]).select("row.*")
+    again = rows.join(broadcast_if_small(repeated, 100), same, "left_semi").dropDuplicates(["id", "digest"]).select("row.*")
     return rest.unionByName(again)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, scratch_scope, scratch_table, text_bytes, text_chunks, word_hashes
+from .common import broadcast_if_small, mix64, scratch_scope, scratch_table, text_bytes, text_chunks, word_hashes
 from .runs import Runs, answers_of, ask, packed
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -378,4 +378,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
         groups = jaccard_components(docs, id_col=id_col, **options)
         gone = keep(groups.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("gone_id")).distinct(), "near_copies")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"))
-    return rows.join(gone, F.col("id") == F.col("gone_id"), "left_anti").select("row.*")
+    return rows.join(broadcast_if_small(gone, 50), F.col("id") == F.col("gone_id"), "left_anti").select("row.*")
