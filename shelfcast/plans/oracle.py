@@ -311,8 +311,8 @@ ids AS (SELECT sid FROM elig ORDER BY ('0x' || substr(md5('51:' || sid), 1, 8)):
     round(sum(CASE WHEN p.wk < f.cut THEN p.y END), 6) AS sum_train,
     round(sum(CASE WHEN p.wk >= f.cut THEN p.y END), 6) AS sum_truth
   FROM panel p JOIN (VALUES (1, {W - 2 * H}), (2, {W - 3 * H})) f(fold, cut) ON p.wk < f.cut + {H} GROUP BY f.fold, p.sid""")
-    wk8 = ", ".join(f"round(coalesce(sum(CASE WHEN wk = {w} THEN y END), 0), 6) AS w{w}" for w in range(W - 8, W))
-    q["weekly_panel_wide"] = _w(f"{sales('region')},\n{weekly()}", f"SELECT sid, {wk8} FROM weekly GROUP BY sid")
+    weeks = ", ".join(f"round(coalesce(sum(CASE WHEN wk = {w} THEN y END), 0), 6) AS w{w}" for w in range(W))
+    q["weekly_panel_wide"] = _w(f"{sales('region')},\n{weekly()}", f"SELECT sid, {weeks} FROM weekly GROUP BY sid")
     q["panel_profile"] = _w(N + """,
 per AS (SELECT sid, avg(y) AS mean_demand, avg(CASE WHEN y = 0 THEN 1.0 ELSE 0.0 END) AS zero_share,
     CAST(357 - min(wk) AS DOUBLE) AS weeks_since_first
