@@ -1,6 +1,6 @@
 """Mixing sources to target weights.
 
-Words of a source are packed into fixed-length blocks. The output is a sequence of shards of
+Words of a source are packed into blocks of one length, which is less for a source too small for many of them. The output is a sequence of shards of
 ``shard_slots`` slots; each shard draws its source counts from a multinomial over the targets, slots of
 a source are numbered through all shards, and slot j of a source with nb blocks takes, in pass
 j div nb over the source, the block at position j mod nb of a pseudorandom permutation (a Feistel
@@ -116,9 +116,11 @@ class Mix:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, block_words: int = 64, shard_slots: int = 4096,
-        chunk_docs: int = 4096, max_sources: int = 100_000, seed: int = 17) -> Mix:
+        least_blocks: int = 256, chunk_docs: int = 4096, max_sources: int = 100_000, seed: int = 17) -> Mix:
     """Null texts have size 0 and are in no block; a null source is a source, the last; repeated rows are
-    packed as they come; without words there are no slots and targets are 0. ``max_sources`` bounds what the
+    packed as they come; without words there are no slots and targets are 0. A block of a source holds
+    ``block_words`` words, or so many fewer (down to one) that there are ``least_blocks`` blocks: quotas are whole
+    blocks, so a small source too comes near its target. ``max_sources`` bounds what the
     driver holds (a row per source); more sources raise an error."""
     spark = docs.sparkSession
     sized = scratch_table(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
@@ -127,32 +129,34 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # chunks of a source are packed on their own, so a hot source is spread; each ends in one short block
     placed = sized.withColumn("chunk", F.pmod(F.xxhash64("id", "size"), F.lit(chunks)))
     per_chunk = placed.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
-    per_chunk = per_chunk.withColumn("n_blocks", F.ceil(F.col("words") / block_words).cast("long"))
-    per_source = per_chunk.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n_blocks").alias("blocks"))
+    per_source = per_chunk.groupBy("source").agg(F.sum("words").alias("source_size"))
     found = targets(per_source, weights, most).orderBy(F.col("source").asc_nulls_last()).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources; raise max_sources or group them")
+    lengths = [(k, r["source"], max(1, min(block_words, int(r["source_size"] or 0) // least_blocks))) for k, r in enumerate(found)]
+    named = F.broadcast(spark.createDataFrame(lengths, "source_no long, __source string, length long"))  # max_sources rows at most
+    same = F.col("source").eqNullSafe(F.col("__source"))
+    per_chunk = per_chunk.join(named, same).select(
+        "source_no", "chunk", F.ceil(F.col("words") / F.col("length")).cast("long").alias("n_blocks"))
+    blocks = {r["source_no"]: int(r["n"]) for r in per_chunk.groupBy("source_no").agg(F.sum("n_blocks").alias("n")).collect()}
     listed = []
     for k, r in enumerate(found):
         target = r["target"] or 0.0
         full = int(target // r["source_size"]) if r["source_size"] else 0
-        rest = (target - full * r["source_size"]) / r["source_size"] * r["blocks"] if r["source_size"] else 0
-        quota = min(full * r["blocks"] + round(rest), int(most * r["blocks"]))
-        listed.append((k, r["source"], int(r["source_size"]), float(r["weight"]), float(target), int(r["blocks"]), int(quota)))
+        rest = (target - full * r["source_size"]) / r["source_size"] * blocks[k] if r["source_size"] else 0
+        quota = min(full * blocks[k] + round(rest), int(most * blocks[k]))
+        listed.append((k, r["source"], int(r["source_size"]), float(r["weight"]), float(target), blocks[k], int(quota)))
     sources = spark.createDataFrame(listed, "source_no long, source string, source_size long, weight double, target double, blocks long, quota long")
 
-    named = F.broadcast(sources.select("source_no", F.col("source").alias("__source")))  # max_sources rows at most
-    same = F.col("source").eqNullSafe(F.col("__source"))
-    first = prefix_sums(per_chunk, ["source"], "chunk", "n_blocks", "first_block")
-    first = first.join(named, same).select("source_no", "chunk", "first_block")
+    first = prefix_sums(per_chunk, ["source_no"], "chunk", "n_blocks", "first_block").select("source_no", "chunk", "first_block")
     order = Window.partitionBy("source_no", "chunk").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, -1)
     laid = (placed.filter("size > 0").join(named, same)
             .withColumn("at", F.coalesce(F.sum("size").over(order), F.lit(0)))
             .join(first, ["source_no", "chunk"]))
-    b = laid.withColumn("k", F.explode(F.sequence(F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words))))
+    n = F.col("length")
+    b = laid.withColumn("k", F.explode(F.sequence(F.floor(F.col("at") / n), F.floor((F.col("at") + F.col("size") - 1) / n))))
     spans = b.select("id", "source_no", (F.col("first_block") + F.col("k")).alias("block"),
-                     (F.least((F.col("k") + 1) * block_words, F.col("at") + F.col("size"))
-                      - F.greatest(F.col("k") * block_words, F.col("at"))).alias("words"))
+                     (F.least((F.col("k") + 1) * n, F.col("at") + F.col("size")) - F.greatest(F.col("k") * n, F.col("at"))).alias("words"))
 
     total = sum(r[6] for r in listed)
     shards = math.ceil(total / shard_slots)
@@ -208,5 +212,6 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", seed: int = 17, **o
     u = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     times = taken.filter("size > 0").select(F.struct(F.col("id").alias("i")).alias("__id"), F.floor(share + u).cast("int").alias("__times"))
     times = times.filter("__times > 0").groupBy("__id").agg(F.max("__times").alias("__times"))
-    return (docs.withColumn("__id", F.struct(F.col(id_col).alias("i"))).join(times, "__id")
-            .withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns))
+    whole = docs.select(F.struct(*docs.columns).alias("__row"), F.struct(F.col(id_col).alias("i")).alias("__id"))  # no name clashes
+    return (whole.join(times, "__id")
+            .withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("__row.*"))
