@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.llm import bpe, exact_dedup, jaccard_join, mixing, quality
-from shelfcast.llm.queries import TOKENIZERS
+from shelfcast.llm.queries import VOCABULARY
 from shelfcast.session import scratch_path
 
 
@@ -38,7 +38,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row's number of tokens and the digests of its ids and of the text decoded from them."""
-    return bpe.encode_digests(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.encode_digests(docs, VOCABULARY)
 
 
 STAGES = [("quality rules", quality_stage), ("exact dedup", exact_stage), ("n-gram Jaccard join", near_stage),

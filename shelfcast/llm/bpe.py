@@ -23,6 +23,12 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the pattern by which this family of byte-level vocabularies cuts words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Letters and numbers of Unicode versions after 16, which vocabularies of this family do not know as such.
+LATE = """558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959
+10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6
+187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81
+1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E
+2CEA2-2CEAD 323B0-33479 3D000-3FC3F"""
 SHORT = 64       # parts; beyond, the heap form
 REMEMBER = 1 << 17  # words, and cuts at spaces, that a worker remembers
 NONE = 1 << 60      # the rank of a pair that is no merge
@@ -48,6 +54,14 @@ def near_pattern() -> tuple[re.Pattern, re.Pattern]:
         f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+")
 
 
+def late_pattern() -> tuple[re.Pattern, regex.Pattern]:
+    """(a character of LATE, PATTERN with those as neither letters nor numbers)."""
+    late = "".join("-".join(chr(int(c, 16)) for c in r.split("-")) for r in LATE.split())
+    letters, numbers, other = rf"[\p{{L}}--[{late}]]", rf"[\p{{N}}--[{late}]]", rf"[[^\s\p{{L}}\p{{N}}]||[{late}]]"
+    return re.compile(f"[{late}]"), regex.compile(
+        PATTERN.replace(r"[^\s\p{L}\p{N}]", other).replace(r"\p{L}+", letters + "+").replace(r"\p{N}+", numbers + "+"), regex.V1)
+
+
 LONG_RUN = re.compile(r"\s | \s")
 
 
@@ -70,6 +84,7 @@ class Vocabulary:
         self.bytes_of = {v: k for k, v in self.ids.items()} | {v: k.encode() for k, v in self.special.items()}
         self.bytes_of_digits = {str(k): v for k, v in self.bytes_of.items()}
         self.words, (self.near, self.near_words) = regex.compile(PATTERN), near_pattern()
+        self.late, self.late_words = late_pattern()
         names = sorted(self.special, key=len, reverse=True)
         self.cuts = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.mark = re.compile("|".join(map(re.escape, names)) if names else "(?!)")
@@ -117,7 +132,9 @@ class Vocabulary:
         return self.merge_short(parts) if len(parts) <= SHORT else self.merge_long(parts)
 
     def cut(self, text: str) -> list[str]:
-        return (self.near_words if self.near.fullmatch(text) else self.words).findall(text)
+        if self.near.fullmatch(text):
+            return self.near_words.findall(text)
+        return (self.late_words if self.late.search(text) else self.words).findall(text)
 
     def remember(self, table: dict, key: str, value):
         if len(key) <= REMEMBER_LEN:

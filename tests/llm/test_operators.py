@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.llm import (bpe, exact_dedup, html_text, jaccard_join, language_id, lm_scoring, mixing, quality,
                            suffix_dedup, url_filter)
-from shelfcast.llm.queries import TOKENIZERS
+from shelfcast.llm.queries import VOCABULARY
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, id string"
 
@@ -78,7 +78,7 @@ def test_mix_near_targets(spark):
 
 def test_bpe_round_trip(docs, texts):
     from tokenizers import Tokenizer
-    path = f"{TOKENIZERS}/byte_bpe_50k.json"
+    path = VOCABULARY
     tok, own = Tokenizer.from_file(path), bpe.vocabulary(path)
     cases = [t or "" for t in texts] + ["a  b\n\n c\t<|endoftext|> d", "  x  ", "it's  <|endoftext|>", "don't\x1cstop 1²Ⅷ", "x" * 300]
     for t in cases:
