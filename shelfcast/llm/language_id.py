@@ -25,11 +25,13 @@ MEMO = 20  # bits of a worker's table of look-ups made before
 
 
 def letters(col) -> tuple[np.ndarray, np.ndarray]:
-    """(code points, n + 1 offsets) of lower-cased texts in which each run of characters that are no
-    letters is one space; each text begins and ends with a space; one without a letter is just a space."""
+    """(code points, n + 1 offsets) of lower-cased texts in which each run of characters that are neither
+    letters nor the marks on them is one space; each text begins and ends with a space; one without a
+    letter, marks or not, is just a space."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     col = pc.utf8_lower(pc.fill_null(col.cast(pa.large_string()), ""))
+    col = pc.if_else(pc.match_substring_regex(col, r"\p{L}"), col, "")
     col = pc.replace_substring_regex(col, r"[^\p{L}\p{M}]+", " ")
     trimmed = [t.strip(" ") for t in col.to_pylist()]
     trimmed = [f" {t} " if t else " " for t in trimmed]
