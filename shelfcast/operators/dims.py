@@ -7,7 +7,9 @@ caller knows the side is bounded.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.config import DEFAULT_GEOLOCATION
@@ -26,6 +28,21 @@ def insert_if_absent(keys: DataFrame, dim: DataFrame, on: list[str]) -> DataFram
                .unionByName(new.select(*on).withColumn("is_new", F.lit(True))))
 
 
+def assign_keys(new: DataFrame, on: list[str], after: int = 0, bucket_rows: int = 1 << 16, id_col: str = "id") -> DataFrame:
+    """R2: surrogate ids ``after`` + 1, ... for the distinct keys ``new``, without gaps.
+
+    Keys are dealt by their hash into buckets of about ``bucket_rows``, numbered within the bucket in key order, and
+    each bucket gets a block of ids behind those of the buckets before it: no global sort, and what one window holds
+    is a bucket, or one row a bucket. The ids follow from the keys alone, so a run repeated gives the same."""
+    buckets = max(1, math.ceil(new.count() / bucket_rows))
+    placed = new.withColumn("_b", F.pmod(F.xxhash64(*on), F.lit(buckets)))
+    blocks = placed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = placed.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(*on)))
+    return ranked.join(blocks, "_b").select((F.col("_before") + F.col("_r") + F.lit(after)).cast("long").alias(id_col), *new.columns)
+
+
 def first_seen(rows: DataFrame, on: list[str], cutoff, date: str = "date") -> DataFrame:
     """R1 + R2 over a history in one pass: every key with ``is_new``, whether it was first seen at ``cutoff`` or later and
     so is new to the dimension built before. The first date of a key is combined on the map side."""

@@ -60,6 +60,21 @@ def daily_series(sales: DataFrame) -> DataFrame:
                 .select("item_id", "store_id", F.lit(d0).alias("first"), filled(F.col("_p"), first, last, "day", "sold").alias("days")))
 
 
+def daily_series_by(sales: DataFrame, by: list[str]) -> DataFrame:
+    """``daily_series`` for many tables in one: a row per ``by`` and series, with the calendar of its ``by`` group, from
+    the group's first sale to its last. Bounds are combined on the map side, so a group with most of the sales is one
+    small row; they meet the series in a join, not a window over the group."""
+    sums = materialize(sales.filter(F.col("date").isNotNull()).groupBy(*by, "item_id", "store_id", "date")
+                       .agg(F.sum(F.col("sold").cast("double")).alias("sold")))
+    bounds = sums.groupBy(*by).agg(F.min("date").alias("first"), F.max("date").alias("_last"))
+    series = sums.groupBy(*by, "item_id", "store_id").agg(F.collect_list(F.struct("date", "sold")).alias("_s"))
+    placed = series.join(bounds, by).select(
+        *by, "item_id", "store_id", "first", F.datediff("_last", "first").alias("_n"),
+        F.array_sort(F.transform("_s", lambda p: F.struct(F.datediff(p["date"], F.col("first")).alias("day"), p["sold"].alias("sold")))).alias("_p"))
+    return spread(placed, *by, "item_id", "store_id").select(
+        *by, "item_id", "store_id", "first", filled(F.col("_p"), F.lit(0), F.col("_n"), "day", "sold").alias("days"))
+
+
 def daily_panel(sales: DataFrame) -> DataFrame:
     """P1+P2: dense (item_id, store_id, date, sold): observed series × calendar (R14), never all items × all stores."""
     return daily_series(sales).select("item_id", "store_id", "first", F.inline("days")).select(

@@ -171,6 +171,16 @@ def order_plan(spark, root):
     return aggregate_plan(next_month_forecast_impl(spark, root))
 
 
+@query
+def company_order_plan(spark, root):
+    """M7, P19, F3, A15 for all companies in one run (company = region, store = nation, item = brand family, the brand's first
+    seven characters), each on its own calendar."""
+    sales = sales_view(TableSource(spark, root), "nation", with_keys=True).withColumn("company_id", F.col("region_key").cast("long"))
+    sales = sales.withColumn("item_id", F.substring("item_id", 1, 7))
+    by = ["company_id"]
+    return aggregate_plan(plan_next_month(sales, by=by), by=by)
+
+
 @query
 def plan_by_location(spark, root):
     """Plan rows with their store's place on the map (every region has one)."""

@@ -233,6 +233,28 @@ def next_month(p: str = "") -> str:
     GROUP BY store_id, item_id HAVING sum(forecasted_sold) <> 0)"""
 
 
+def company_plans() -> str:
+    """``next_month`` for every region as a company, with a calendar of its own."""
+    return f"""csales AS (
+  SELECT r.r_regionkey AS company_id, substr(p.p_brand, 1, 7) AS item_id, n.n_name AS store_id, l.l_quantity AS sold, CAST(l.l_shipdate AS DATE) AS date
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN supplier s ON l.l_suppkey = s.s_suppkey
+  JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey),
+bounds AS (SELECT company_id, min(date) AS d0, max(date) AS d1 FROM csales GROUP BY company_id),
+dsum AS (SELECT company_id, item_id, store_id, date, sum(CAST(sold AS DOUBLE)) AS sold FROM csales GROUP BY ALL),
+cal AS (SELECT company_id, d1, CAST(unnest(generate_series(d0, d1, INTERVAL 1 DAY)) AS DATE) AS date FROM bounds),
+dp AS (SELECT s.company_id, s.item_id, s.store_id, c.d1, c.date, coalesce(d.sold, 0.0) AS sold
+  FROM (SELECT DISTINCT company_id, item_id, store_id FROM dsum) s JOIN cal c USING (company_id)
+  LEFT JOIN dsum d ON d.company_id = s.company_id AND d.item_id = s.item_id AND d.store_id = s.store_id AND d.date = c.date),
+db AS (SELECT *, CASE WHEN count(sold) OVER w = 28 THEN avg(sold) OVER w END AS mean FROM dp
+  WINDOW w AS (PARTITION BY company_id, store_id, item_id ORDER BY date ROWS BETWEEN 27 PRECEDING AND CURRENT ROW)),
+dres AS (SELECT b.company_id, b.store_id, b.item_id, s.step, d.sold - b.mean AS r FROM db b CROSS JOIN range(1, 29) s(step)
+  JOIN dp d ON d.company_id = b.company_id AND d.store_id = b.store_id AND d.item_id = b.item_id AND d.date = b.date + CAST(s.step AS INTEGER)
+  WHERE b.mean IS NOT NULL AND b.date + 28 <= b.d1),
+dq AS (SELECT company_id, store_id, item_id, step, quantile_cont(r, {CR}) AS rq FROM dres GROUP BY ALL),
+nm AS (SELECT q.company_id, q.store_id, q.item_id, CAST(round_even(greatest(b.mean + q.rq, 0), 0) AS BIGINT) AS forecasted_sold
+  FROM dq q JOIN db b ON b.company_id = q.company_id AND b.store_id = q.store_id AND b.item_id = q.item_id AND b.date = b.d1)"""
+
+
 APP = """app AS (SELECT CAST(s.s_nationkey AS BIGINT) AS company_id, s.s_name AS store_id, p.p_name AS item_id,
     l.l_quantity AS sold, CAST(l.l_shipdate AS DATE) AS date
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN supplier s ON l.l_suppkey = s.s_suppkey)"""
@@ -287,6 +309,8 @@ upd AS (SELECT CAST(r_regionkey + 1000 AS BIGINT) AS user_id, CAST(r_regionkey A
   FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey"""
     q["next_month_forecast"] = _w(next_month(), "SELECT store_id, item_id, forecasted_date, forecasted_sold FROM nm")
     q["order_plan"] = _w(next_month(), "SELECT store_id, item_id, forecasted_sold FROM plan")
+    q["company_order_plan"] = _w(company_plans(), """SELECT CAST(company_id AS BIGINT) AS company_id, store_id, item_id,
+    CAST(sum(forecasted_sold) AS BIGINT) AS forecasted_sold FROM nm GROUP BY ALL HAVING sum(forecasted_sold) <> 0""")
     q["plan_by_location"] = _w(next_month(), """SELECT p.store_id, p.item_id, p.forecasted_sold,
     round(CAST(r.r_regionkey * 15.0 - 30.0 AS DOUBLE), 6) AS lat, round(CAST(r.r_regionkey * 40.0 - 90.0 AS DOUBLE), 6) AS lon
   FROM plan p JOIN region r ON r.r_name = p.store_id""")

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfcast.operators.panel import align_to_panel
+
 Scorer = Callable[[np.ndarray], np.ndarray]
 
 
@@ -26,8 +28,9 @@ def history_arrays(panel: DataFrame, cut: int) -> DataFrame:
     return g.select("sid", F.transform("_p", lambda p: p["y"]).alias("values"))
 
 
-def score_with(panel: DataFrame, cut: int, scorer: Scorer, names=("q50", "q_cr")) -> DataFrame:
-    """Run ``scorer`` over every series; returns (sid, step, wk, <names>) with steps from 1."""
+def score_with(panel: DataFrame, cut: int, scorer: Scorer, names=("q50", "q_cr"), horizon: int | None = None) -> DataFrame:
+    """Run ``scorer`` over every series; returns (sid, step, wk, <names>) with steps from 1. With ``horizon`` the result
+    is aligned to the panel's weeks from ``cut`` on (R10): a series or week too few or too many raises."""
     out_schema = "sid string, step int, wk int, " + ", ".join(f"{n} double" for n in names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -46,7 +49,10 @@ def score_with(panel: DataFrame, cut: int, scorer: Scorer, names=("q50", "q_cr")
                     cols[name] = q[:, :, i].reshape(-1)
                 yield pd.DataFrame(cols)
 
-    return history_arrays(panel, cut).mapInPandas(run, out_schema)
+    scored = history_arrays(panel, cut).mapInPandas(run, out_schema)
+    if horizon is None:
+        return scored
+    return align_to_panel(scored, panel, cut, horizon)
 
 
 def seasonal_naive_scorer(m: int, h: int, levels) -> Scorer:

@@ -14,10 +14,16 @@ def append_sales(sales: DataFrame, path: str) -> None:
     sales.write.mode("append").parquet(path)
 
 
-def append_forecasts(forecasts: DataFrame, path: str, run_date=None) -> None:
-    """K2: append forecasts stamped with the run date, partitioned by it."""
+def append_forecasts(forecasts: DataFrame, path: str, run_date=None, by: tuple[str, ...] = ()) -> None:
+    """K2: append forecasts stamped with the run date, partitioned by it. With ``by`` (a company) a run that is made
+    again replaces its own rows of that date and those of no other."""
     stamp = F.lit(run_date).cast("date") if run_date is not None else F.current_date()
-    forecasts.withColumn("forecasted_at", stamp).write.mode("append").partitionBy("forecasted_at").parquet(path)
+    stamped = forecasts.withColumn("forecasted_at", stamp)
+    if by:
+        (stamped.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                .partitionBy("forecasted_at", *by).parquet(path))
+    else:
+        stamped.write.mode("append").partitionBy("forecasted_at").parquet(path)
 
 
 def cached_table(spark: SparkSession, path: str, build) -> DataFrame:

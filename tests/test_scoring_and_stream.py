@@ -35,7 +35,7 @@ def _write_upload(folder, name, rows):
 
 def test_stream_equals_batch(spark, tmp_path):
     from shelfcast.sources.files import read_sales_csv
-    from shelfcast.streaming.ingest import apply_upload, ingest_stream
+    from shelfcast.streaming.ingest import apply_upload, ingest_stream, named_sales
     up1 = [(1, "s1", 3, "2024-01-01"), (2, "s1", 1, "2024-01-02")]
     up2 = [(1, "s2", 5, "2024-01-03"), (3, "s1", 2, "2024-01-03"), (1, "s1", 3, "2024-01-01"), (9, "s9", -5, "2024-01-03")]
     land = str(tmp_path / "landing")
@@ -51,7 +51,7 @@ def test_stream_equals_batch(spark, tmp_path):
         b = sorted(map(tuple, spark.read.parquet(f"{batch_tables}/{t}").drop("upload").collect()))
         assert s == b, t
     # No de-duplication: the repeated row is there twice (G17); ids are text (item "1").
-    sales = spark.read.parquet(f"{batch_tables}/sales")
+    sales = named_sales(spark, batch_tables)
     assert sales.filter("item_id = '1' AND store_id = 's1'").count() == 2
     assert spark.read.parquet(f"{batch_tables}/products").count() == 3
     # A row with a negative quantity is rejected and adds no product or store.
