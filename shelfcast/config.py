@@ -11,7 +11,8 @@ and the default store location "33.8938,35.5018".
 from __future__ import annotations
 
 import datetime as _dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from typing import NamedTuple
 
 # --- fixed values (protocol) -------------------------------------------------
 SEED = 51
@@ -29,24 +30,15 @@ MAKE_MODELS = ("seasonal_naive", "moving_average", "quantile_forest")
 # -----------------------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class Costs:
-    """Newsvendor unit costs: holding (leftover) and stockout (shortfall)."""
+class Costs(NamedTuple):
+    """What one unit left over and one unit short cost. Ratio and levels: ``functions.columns.order_levels``."""
 
     holding: float
     stockout: float
 
-    @property
-    def critical_ratio(self) -> float:
-        return self.stockout / (self.stockout + self.holding)
-
-    @property
-    def quantile_levels(self) -> tuple[float, float]:
-        return (0.5, self.critical_ratio)
-
 
-COSTS = {"m5": Costs(1.0, 4.0), "favorita": Costs(1.0, 2.0)}
-DEFAULT_COSTS = COSTS["m5"]
+#: cost set -> (left over, short)
+COST_SETS = {"m5": Costs(1.0, 4.0), "favorita": Costs(1.0, 2.0)}
 
 
 @dataclass(frozen=True)
@@ -61,7 +53,7 @@ class PanelSpec:
     horizon: int = HORIZON
     seasonality: int = SEASONALITY
     folds: int = FOLDS
-    costs: Costs = field(default_factory=lambda: DEFAULT_COSTS)
+    costs: Costs = COST_SETS["m5"]
 
     @property
     def test_cut(self) -> int:
@@ -78,9 +70,9 @@ class PanelSpec:
 
     @property
     def active_weeks(self) -> tuple[int, int]:
-        """Inclusive week range in which a sale marks a series active."""
-        tuning_start = (self.folds + 1) * self.horizon
-        return (self.weeks - tuning_start - ACTIVE, self.weeks - tuning_start - 1)
+        """The last ``ACTIVE`` weeks (first and last of them) that every validation fold may learn from."""
+        earliest = min(self.fold_cut(f) for f in range(1, self.folds + 1))
+        return earliest - ACTIVE, earliest - 1
 
 
 # Driver test data: dates run 1995-01-02 .. 2001-11-04, so epoch 1995-01-01 gives 2,500 days

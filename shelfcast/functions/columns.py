@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "week_index", "week_start", "series_id", "clip_zero", "critical_ratio", "quantile_levels",
+    "week_index", "week_start", "series_id", "clip_zero", "critical_ratio", "order_levels", "quantile_levels",
     "half_even", "newsvendor_cost", "served", "pvalue_text", "cell_label", "percent_label",
     "parse_geolocation", "compose_geolocation", "with_default_location", "md5_uniform",
     "md5_int", "signed_quantity", "to_day",
@@ -51,6 +51,11 @@ def critical_ratio(holding, stockout) -> Column:
     return _col(stockout) / (_col(stockout) + _col(holding))
 
 
+def order_levels(costs) -> tuple[float, float]:
+    """F18, F19 of a cost row (holding, stockout) as plain numbers: the median and the level that an order aims at."""
+    return 0.5, costs.stockout / sum(costs)
+
+
 def quantile_levels(cr) -> Column:
     """[0.5, critical ratio]."""
     return F.array(F.lit(0.5), _col(cr))

@@ -52,10 +52,14 @@ def pooled(keys: list[str]):
             (F.sum("served") / F.sum("demand")).alias("fill_rate")]
 
 
-def summarize(per_series: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean and median MASE, pooled cost/unit, fill rate and series count per cell."""
+def summarize(per_series: DataFrame, keys: list[str], unscaled: bool = False) -> DataFrame:
+    """Mean and median MASE, pooled cost/unit, fill rate and series count per cell.
+
+    A series whose scale is zero or unknown has no MASE and is left out of its mean and median; ``unscaled`` adds their
+    number as ``n_unscaled`` (G10)."""
     main = per_series.groupBy(*keys).agg(F.avg("mase").alias("MASE"), *pooled(keys),
-                                         F.count("sid").alias("n_series"))
+                                         F.count("sid").alias("n_series"),
+                                         *([F.count(F.when(F.col("mase").isNull(), 1)).alias("n_unscaled")] if unscaled else []))
     med = exact_percentiles(per_series, keys, "mase", [0.5], ["MASE_median"]).drop("n")
     return main.join(med, keys, "left")
 

@@ -9,13 +9,14 @@ from __future__ import annotations
 import datetime as _dt
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from shelfcast.config import COSTS, DEFAULT_GEOLOCATION, MA_WINDOWS, N_RESAMPLES, N_SERIES, SEED, TESTDATA_SPEC
-from shelfcast.functions.columns import compose_geolocation, critical_ratio, md5_int, quantile_levels
+from shelfcast.config import COST_SETS, DEFAULT_GEOLOCATION, MA_WINDOWS, N_RESAMPLES, N_SERIES, SEED, TESTDATA_SPEC
+from shelfcast.functions.columns import compose_geolocation, critical_ratio, md5_int, order_levels, quantile_levels
 from shelfcast.operators import dims as D
 from shelfcast.operators import panel as P
 from shelfcast.operators.bootstrap import significance
@@ -27,7 +28,9 @@ from shelfcast.plans import report as R
 from shelfcast.plans.experiment import Study, best_params, cells, holdout_summary, tuning_trials
 from shelfcast.plans.forecasters import LEVEL_NAMES, moving_average, seasonal_naive
 from shelfcast.plans.orders import aggregate_plan
+from shelfcast.plans.records import cell_table, fitted_cells, tuning_report
 from shelfcast.plans.orders import next_month_forecast as plan_next_month
+from shelfcast.session import materialize, side_by_side
 from shelfcast.sources.testdata import TableSource, sales_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -303,7 +306,7 @@ def cost_parameters(spark, root):
                        .withColumn("dataset", F.lit(st.name)))
     v = views[0].unionByName(views[1])
     out = None
-    for name, c in COSTS.items():  # cost sets are a driver-side parameter table
+    for name, c in COST_SETS.items():  # cost sets are a driver-side parameter table
         h, s = F.lit(c.holding), F.lit(c.stockout)
         cr = critical_ratio(h, s)
         levels = quantile_levels(cr)
@@ -481,8 +484,8 @@ def newsvendor_cost(spark, root):
     st = _study(spark, root)
     truth = st.panel.select("sid", "wk", F.col("y").alias("demand"))
     outs = []
-    for name, c in COSTS.items():
-        fc = seasonal_naive(st.panel, _test_cut(st), st.spec, c.quantile_levels).join(truth, ["sid", "wk"])
+    for name, c in COST_SETS.items():
+        fc = seasonal_naive(st.panel, _test_cut(st), st.spec, order_levels(c)).join(truth, ["sid", "wk"])
         outs.append(newsvendor_totals(fc.withColumnRenamed("q_cr", "order"), c).withColumn("cost_set", F.lit(name)))
     return rounded(outs[0].unionByName(outs[1]).select("cost_set", "total_cost", "cost_per_unit", "fill_rate"))
 
@@ -631,15 +634,37 @@ def global_quantile_forest(spark, root):
     return rounded(fit_predict(st.panel, st.spec.test_cut, st.spec, st.levels).select("sid", "step", *LEVEL_NAMES))
 
 
+@query
+def fitted_leaderboard(spark, root):
+    """T1-T4, T7 with the pooled forest tuned over both folds: place, parameters and tuning range of every cell; rows-only
+    check (random trees)."""
+    records, _ = fitted_cells(_study(spark, root))
+    place = R.leaderboard(cell_table(records)).select("model", "regime", "place")
+    tried = tuning_report(records).select("model", "regime", "configs", "best", "worst")
+    flat = cell_table(records).join(place, ["model", "regime"]).join(tried, ["model", "regime"], "left")
+    return rounded(flat.select("dataset", "place", "model", "regime", "params", "configs", F.col("best").alias("validation_best"),
+                               F.col("worst").alias("validation_worst"), "cost_per_unit", "fill_rate", "MASE", "n_series", "n_unscaled"))
+
+
+@query
+def fitted_contrasts(spark, root):
+    """F24, T10 with the pooled forest, untuned and tuned, against the best of the two window models; rows-only check."""
+    records, per = fitted_cells(_study(spark, root))
+    per = materialize(per)
+    return rounded(R.planned_contrasts(materialize(cell_table(records)), per, ["quantile_forest"], "zero_shot", "fine_tune",
+                                       N_RESAMPLES, make_models=("seasonal_naive", "moving_average")))
+
+
 @query
 def seed_robustness(spark, root):
     """Forest test cost per unit for three seeds, and their mean; rows-only check."""
     from shelfcast.operators.metrics import score_series
-    from shelfcast.plans.forest import fit_predict
+    from shelfcast.plans.forest import fit_predict, training_rows
     st = _study(spark, root)
-    outs = []
-    for seed in (SEED, 7, 2024):
-        fc = fit_predict(st.panel, st.spec.test_cut, st.spec, st.levels, seed=seed)
+    cut, outs = st.spec.test_cut, []
+    train = training_rows(st.panel, cut, st.spec.horizon)
+    runs = side_by_side(spark, [partial(fit_predict, st.panel, cut, st.spec, st.levels, seed=s, train=train) for s in (SEED, 7, 2024)])
+    for seed, fc in zip((SEED, 7, 2024), runs):
         fc = fc.withColumn("fold", F.lit(0)).withColumn("cut", F.lit(st.spec.test_cut))
         per = score_series(fc, st.panel, st.scale, ["fold", "cut"], st.cost)
         outs.append(per.agg((F.sum("cost") / F.sum("demand")).alias("cost_per_unit")).withColumn("seed", F.lit(seed)))

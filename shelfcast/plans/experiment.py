@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.config import TESTDATA_SPEC, Costs, PanelSpec
+from shelfcast.functions.columns import order_levels
 from shelfcast.operators import panel as P
 from shelfcast.operators.metrics import pooled, score_series, seasonal_scale, summarize
 from shelfcast.session import materialize
@@ -39,6 +40,7 @@ class Study:
     spec: PanelSpec | None = None
     costs: Costs | None = None
     _memo: dict = field(default_factory=dict)
+    seconds: dict = field(default_factory=dict)  # model -> wall time of its trials (T5)
 
     def __post_init__(self):
         if self.spec is None:
@@ -56,7 +58,7 @@ class Study:
 
     @property
     def levels(self):
-        return self.cost.quantile_levels
+        return order_levels(self.cost)
 
     @cached_property
     def src(self) -> TableSource:
@@ -102,9 +104,10 @@ class Study:
         memo_key = (model, tuple(sorted(params.items())))
         if memo_key not in self._memo:
             keys = ["fold", "cut", *PARAM_COLUMNS[model]]
-            scored = score_series(self.forecasts(model, **params), self.panel, self.scale, keys, self.cost)
+            panel = self.panel  # its time is no model's
             # Small (origins × params × series) and read by tuning, selection and test scoring.
-            self._memo[memo_key] = materialize(scored)
+            self._memo[memo_key], self.seconds[model] = timed(lambda: materialize(
+                score_series(self.forecasts(model, **params), panel, self.scale, keys, self.cost)))
         return self._memo[memo_key]
 
 

@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.config import DAILY_HORIZON, DEFAULT_COSTS
-from shelfcast.functions.columns import half_even
+from shelfcast.config import COST_SETS, DAILY_HORIZON
+from shelfcast.functions.columns import half_even, order_levels
 from shelfcast.operators.features import computed, full_means
 from shelfcast.operators.panel import daily_series, daily_series_by
 from shelfcast.operators.quantiles import array_percentile
@@ -27,7 +27,7 @@ def daily_order_forecast(sales: DataFrame, window: int = DAILY_HORIZON, horizon:
 
     One row per series holds its days as an array; means, each step's residuals and their percentile are
     computed within the row, so nothing but the daily sums is ever shuffled."""
-    level = DEFAULT_COSTS.critical_ratio if level is None else level
+    level = order_levels(COST_SETS["m5"])[1] if level is None else level
     keys = [*(by or []), *KEYS]
     base = computed(daily_series_by(sales, by) if by else daily_series(sales), v=F.transform("days", lambda d: d["sold"])).drop("days")
     base = computed(base, m=full_means("v", window), n=F.size("v"))

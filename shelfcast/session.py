@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 _LOCAL_DEFAULTS = {
@@ -94,3 +96,17 @@ def materialize(df):
         return cached.checkpoint(eager=True)
     finally:
         cached.unpersist(blocking=False)
+
+
+def side_by_side(spark: SparkSession, jobs: list, width: int = 4) -> list:
+    """Results of ``jobs`` (callables without arguments that run Spark jobs), at most ``width`` at a time, in order.
+
+    Each runs in a scheduler pool of its own, so with the fair scheduler a long fit does not hold up the others. The
+    first error is raised when all that run have ended."""
+    def pooled(k, job):
+        def run():
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"side-{k % width}")
+            return job()
+        return inheritable_thread_target(spark)(run)
+    with ThreadPoolExecutor(max(1, min(width, len(jobs)))) as pool:
+        return [f.result() for f in [pool.submit(pooled(k, job)) for k, job in enumerate(jobs)]]

@@ -4,8 +4,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from shelfcast.config import COSTS, Costs
-from shelfcast.functions.columns import half_even, newsvendor_cost, percent_label, served
+from shelfcast.config import COST_SETS, Costs
+from shelfcast.functions.columns import half_even, newsvendor_cost, order_levels, percent_label, served
 from shelfcast.operators.features import seasonal_residuals
 from shelfcast.operators.quantiles import group_percentiles
 
@@ -56,8 +56,8 @@ def test_newsvendor_cost_and_fill(spark):
 
 
 def test_critical_ratio():
-    assert COSTS["m5"].critical_ratio == 0.8
-    assert math.isclose(COSTS["favorita"].critical_ratio, 0.666667, abs_tol=1e-6)
+    assert order_levels(COST_SETS["m5"]) == (0.5, 0.8)
+    assert math.isclose(order_levels(COST_SETS["favorita"])[1], 0.666667, abs_tol=1e-6)
 
 
 def test_half_even(spark):
