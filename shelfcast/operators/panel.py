@@ -288,10 +288,21 @@ def unpivot_days(wide: DataFrame, id_col: str = "id", prefix: str = "d_") -> Dat
     Columns before ``d_1`` are ignored; day columns are taken in file order.
     """
     day_cols = [c for c in wide.columns if c.startswith(prefix)]
-    long = wide.unpivot([id_col], day_cols, "d", "y")
-    return long.select(F.col(id_col).alias("id"),
-                       F.substring_index("d", "_", -1).cast("int").alias("day"),
-                       F.col("y").cast("double").alias("y"))
+    tails = [c.rpartition("_")[2] for c in day_cols]
+    numbers = F.lit([int(t) if t.isdigit() else None for t in tails])
+    # the line's days as one array: a generator over it, not one projection per day
+    return wide.select(F.col(id_col).alias("id"), F.posexplode(F.array(*[F.col(f"`{c}`").cast("double") for c in day_cols])).alias("_at", "y")).select(
+        "id", F.get(numbers, F.col("_at")).cast("int").alias("day"), "y")
+
+
+def days_by_series(sales: DataFrame, epoch, n_days: int) -> DataFrame:
+    """One row per series: (id, days), the array of the ``n_days`` days from ``epoch`` on, zero where nothing sold."""
+    series = daily_series(sales).select(F.concat_ws("_", "store_id", "item_id").alias("id"), "days",
+                                        F.datediff("first", F.lit(epoch)).alias("_ahead"))
+    # each array once per series: the lambda and the columns written from it name it thousands of times
+    once = series.select("id", "_ahead", F.inline(F.array(F.struct(F.transform("days", lambda d: d["sold"]).alias("_v")))))
+    placed = F.transform(F.sequence(F.lit(0), F.lit(n_days - 1)), lambda i: F.coalesce(F.get("_v", i - F.col("_ahead")), F.lit(0.0)))
+    return once.select("id", F.inline(F.array(F.struct(placed.alias("days")))))
 
 
 def weekly_from_days(long_days: DataFrame, n_days: int, epoch) -> DataFrame:

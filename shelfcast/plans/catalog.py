@@ -320,19 +320,14 @@ def cost_parameters(spark, root):
 @query
 def wide_to_weekly(spark, root):
     """P3 (+ S2): the daily panel written as a wide CSV (id, d_1..d_N; d_1 = the panel epoch) to
-    the shared scratch area, read back, unpivoted and summed to weeks: equals ``weekly_panel``."""
+    the shared scratch area, read back line by line as arrays and summed to weeks: equals ``weekly_panel``."""
     from shelfcast.session import scratch_path
     from shelfcast.sources.files import read_wide_csv
+    from shelfcast.sources.sinks import write_wide_csv
     st = _study(spark, root)
-    daily = P.daily_panel(st.sales)
     n_days = 7 * st.spec.weeks
-    day = F.datediff("date", F.lit(st.spec.epoch)) + 1
-    sid = F.concat_ws("_", "store_id", "item_id")
-    long = daily.select(sid.alias("id"), day.alias("day"), "sold").filter(F.col("day").between(1, n_days))
-    wide = long.groupBy("id").pivot("day", list(range(1, n_days + 1))).agg(F.first("sold"))
-    wide = wide.select("id", *[F.coalesce(F.col(str(d)), F.lit(0.0)).alias(f"d_{d}") for d in range(1, n_days + 1)])
     path = scratch_path(spark, f"wide_daily_{uuid.uuid4().hex}")
-    wide.write.option("header", True).csv(path)
+    write_wide_csv(P.days_by_series(st.sales, st.spec.epoch, n_days), path, n_days)
     back = read_wide_csv(spark, path)
     return rounded(P.weekly_from_days(P.unpivot_days(back), n_days, st.spec.epoch))
 

@@ -45,6 +45,12 @@ def write_csv_table(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_wide_csv(series: DataFrame, path: str, n_days: int, prefix: str = "d_") -> None:
+    """The wide daily CSV that S2 reads, from one array of ``n_days`` values per series (id, days): a line per series,
+    without a pivot."""
+    series.select("id", *[F.get("days", F.lit(i)).alias(f"{prefix}{i + 1}") for i in range(n_days)]).write.option("header", True).csv(path)
+
+
 def plan_json(nested: DataFrame) -> DataFrame:
     """K6: per store JSON text of its {item: quantity} map."""
     return nested.select("store_id", F.to_json("items").alias("json"))
