@@ -1,4 +1,6 @@
-"""The shared arrays of BPE words: equal ids at any size of chunk and table, bounded memory."""
+"""The shared arrays of BPE words: equal ids at any size of chunk and table, bounded memory, no Python work per merge."""
+import cProfile
+import pstats
 import random
 import tracemalloc
 
@@ -39,3 +41,10 @@ def test_a_worker_remembers_a_bounded_number_of_words():
     after = tracemalloc.get_traced_memory()[0]
     tracemalloc.stop()
     assert after - before < 24 << 20  # 65,536 words and those of one chunk
+
+
+def test_new_words_cost_no_calls_per_merge():
+    vocab, words = bpe.Vocabulary(VOCABULARY), distinct_words(20_000, 3)
+    run = cProfile.Profile()
+    run.runcall(vocab.encode_digits, " ".join(words))
+    assert pstats.Stats(run).total_calls < 8 * len(words)
