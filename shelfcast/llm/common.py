@@ -31,18 +31,20 @@ _SCOPES: list[list[str]] = []
 
 @contextmanager
 def scratch_scope(spark: SparkSession):
-    """Deletes the scratch tables made inside at the end. Gives a function that writes a frame as a table that stays."""
+    """Deletes the scratch tables made inside at the end. Gives a function that writes a frame as a table that stays
+    until the scope around this one ends, if there is one."""
     own: list[str] = []
+    around = _SCOPES[-1] if _SCOPES else []
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         out = scratch_table(df, name)
-        own.pop()  # the table just written
+        around.append(_SCOPES[-1].pop())  # the table just written
         return out
     _SCOPES.append(own)
     try:
         yield keep
     finally:
-        _SCOPES.remove(own)
+        _SCOPES.pop()
         for path in own:
             delete_path(spark, path)
 

@@ -14,7 +14,10 @@ a group of near copies never emits all its pairs: first each class is verified a
 the bucket of its rarest shared shingle under each order, and components are formed; then, in rounds, each class that
 shares buckets with other components offers a bounded number of pairs with their members, and components contract;
 at last only pairs from different components that meet under all orders are verified, which loses no link between
-components."""
+components.
+
+Few ids are sent to wide rows (prefixes, texts), not wide rows to them, and a table goes when the step that
+reads it ends, so the disk holds the prefixes once and little else."""
 
 from __future__ import annotations
 
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, mix64, scratch_scope, scratch_table, text_bytes, text_chunks, word_hashes
-from .runs import Runs, answers_of, ask, packed
+from .runs import Runs, answers_of, ask, packed, run_of
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 SLICES = 5      # an order's slice is this part of the hash space
@@ -38,6 +41,7 @@ CELLS = 8       # cells of the small histograms, of 8 bits each, that travel wit
 BACK = 4        # shingles before a bucket's that are looked at for a meeting of the same pair
 OFFERS = 12     # pairs that a class offers in a round
 ROUND_YIELD = 20  # rounds go on while more than one of so many offered pairs links
+FEW_BYTES = 8 << 20  # rows of ids up to this size are broadcast
 BOUND = ["own", "own_rest", "n_rest", "counted", "cells", "cells_rest"]
 
 
@@ -91,8 +95,8 @@ def rarity(docs: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, orders: int) -> DataFrame:
-    """id, n, digest (of the set), hist (histogram of the set), p0.. (each order's prefix, without shingles
-    that only this document has; the first is the rarest), and what bounds the difference of two sets
+    """id, row (a number of its own), n, digest (of the set), hist (histogram of the set), p0.. (each order's prefix,
+    without shingles that only this document has; the first is the rarest), and what bounds the difference of two sets
     (``least_difference``): counted (whether all shingles' frequencies are known), own and own_rest (shingles that no
     other counted document has, in the orders' slices and elsewhere), n_rest (all shingles elsewhere), cells
     and cells_rest (small histograms of the other shingles of either kind)."""
@@ -117,15 +121,13 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
             out[i] = u, {"docs": n}
         return out
 
-    answers = ask(runs, keys_of, ("docs",), lambda sums: {"rarity": rarity(sums["docs"])}, ("rarity",), runs.buckets(0.17 / SLICES), "shingle_rarity")
-
     def choose(t: pa.Table, a: pa.Table) -> pa.Table:
         h, at = all_shingles(t, width)
         n = np.diff(at)
         doc = np.repeat(np.arange(len(n)), n)
         which = slice_of(h)
         keep = n - least_common(n, percent) + 1
-        cols = {"id": t.column("id"), "n": pa.array(n.astype(np.int64))}
+        cols = {"id": t.column("id"), "row": pa.array(np.arange(len(n)) + ((run_of(t) << 32) if len(n) else 0)), "n": pa.array(n.astype(np.int64))}
         some = np.minimum(at[:-1], max(len(h) - 1, 0))
         sums = [np.where(n > 0, np.add.reduceat(x, some), np.uint64(0)) if len(h) else np.zeros(len(n), np.uint64)
                 for x in (mix64(h ^ _STEP), mix64(h + _STEP))]
@@ -159,9 +161,22 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
             cols[f"p{i}"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(chosen.view(np.int64)))
         return pa.table(cols)
 
-    schema = (f"id {runs.id_type}, n long, digest binary, hist binary, own long, own_rest long, n_rest long, counted boolean, "
+    schema = (f"id {runs.id_type}, row long, n long, digest binary, hist binary, own long, own_rest long, n_rest long, counted boolean, "
               "cells long, cells_rest long") + "".join(f", p{i} array<long>" for i in range(orders))
-    return scratch_table(runs.apply_with(answers, choose, schema), "prefixes")
+    with scratch_scope(docs.sparkSession) as keep:
+        answers = ask(runs, keys_of, ("docs",), lambda sums: {"rarity": rarity(sums["docs"])}, ("rarity",), runs.buckets(0.17 / SLICES), "shingle_rarity")
+        return keep(runs.apply_with(answers, choose, schema), "prefixes")
+
+
+def few(table: DataFrame) -> DataFrame:
+    """``table`` of ids, marked for broadcast if it is small."""
+    return broadcast_if_small(table, 50, FEW_BYTES)
+
+
+def rows_in(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows whose id is in one of ``pairs`` (written)."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    return rows.join(F.broadcast(ids) if pairs.count() * 100 <= FEW_BYTES else ids, "id", "left_semi")
 
 
 def set_rows(docs: DataFrame, width: int) -> DataFrame:
@@ -206,8 +221,8 @@ def possible(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets link, on the full sets of the documents that are in a pair."""
+def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` (written) whose sets link, on the full sets of the documents that are in a pair."""
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
@@ -216,11 +231,10 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, name:
             common = len(p) + len(q) - len(np.union1d(p, q))
             out.append(100 * common >= percent * (len(p) + len(q) - common))
         return pd.Series(out, dtype=bool)
-    need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    own = scratch_table(set_rows(texts.join(need, "id", "left_semi").dropDuplicates(["id"]), width), "pair_sets")
+    own = scratch_table(set_rows(rows_in(texts, pairs).dropDuplicates(["id"]), width), "pair_sets")
     both = (pairs.join(own.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
             .join(own.select(F.col("id").alias("b"), F.col("set").alias("y")), "b"))
-    return scratch_table(both.filter(linked("x", "y")).select("a", "b"), name)
+    return both.filter(linked("x", "y")).select("a", "b")
 
 
 def components(links: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
@@ -229,13 +243,15 @@ def components(links: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     stars are grouped by key with sums on the map side and hold no group in one task's memory."""
     edges = scratch_table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), name)
     before = None
+    # a round has as many edges as there are nodes at most; their least neighbours are broadcast while they are few
+    near = F.broadcast if edges.count() * 100 <= FEW_BYTES else lambda table: table
     for _ in range(most_rounds):
         sym = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = sym.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = sym.join(near(least), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.filter("u > v")
         least = low.groupBy("u").agg(F.min("v").alias("m"))
-        small = low.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
+        small = low.join(near(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
         edges = scratch_table(small, name)
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
@@ -255,12 +271,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Null and empty texts and texts without words are empty sets and linked with nothing. Ids are expected to
     be unique and not null; repeated rows link with themselves and come once each, a row without an id keeps
     a null component. No rows give no rows; other columns are not read."""
-    rows = prefixes(docs, id_col, text_col, width, percent, orders)
-    known = rows.filter("n > 0 and id is not null")
-    classes = known.groupBy("digest").agg(F.min("id").alias("rep"))
-    reps = scratch_table(known.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi")
-                         .dropDuplicates(["digest", "id"]).drop("digest"), "set_classes")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    spark, known = docs.sparkSession, "n > 0 and id is not null"
+    with scratch_scope(spark) as keep:
+        with scratch_scope(spark) as keep_reps:
+            rows = prefixes(docs, id_col, text_col, width, percent, orders)
+            sizes = keep(rows.select("id", "n", "digest"), "set_sizes")
+            # classes of two rows or more; of each class only the row of its least id goes on
+            many = keep(rows.filter(known).groupBy("digest").agg(F.min(F.struct("id", "row")).alias("least"), F.count("*").alias("k")).filter("k > 1")
+                        .select("digest", F.col("least.id").alias("rep"), F.col("least.row").alias("rep_row")), "set_classes")
+            reps = keep_reps(rows.filter(known).join(few(many), "digest", "left").filter("rep_row is null or row = rep_row")
+                             .drop("digest", "rep", "row", "rep_row"), "set_prefixes")
+        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        joined = keep(class_components(reps, texts, width, percent, orders), "set_components")
+    named = sizes.join(few(many).drop("rep_row"), "digest", "left").withColumn("rep", F.coalesce("rep", "id"))
+    out = named.join(few(joined).withColumnRenamed("id", "rep"), "rep", "left")
+    linked = (F.col("n") > 0) & F.col("id").isNotNull()
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+                      F.when(linked, F.coalesce("comp", "rep")).otherwise(F.col("id")).alias("component_id"))
+
+
+def class_components(reps: DataFrame, texts: DataFrame, width: int, percent: int, orders: int) -> DataFrame:
+    """id, comp of the classes that link to another: the three steps."""
+    def links_of(pairs: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """(the links among ``pairs``, number of pairs)"""
+        with scratch_scope(reps.sparkSession) as keep:
+            pairs = scratch_table(pairs, f"{name}_pairs")
+            met = scratch_table(filtered(pairs, reps, percent, orders), f"{name}_met")
+            return keep(verified(met, texts, width, percent), f"{name}_links"), pairs.count()
 
     # step 1: each class and the pivot of the bucket of its first shared shingle, under each order
     stars = None
@@ -269,18 +306,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         pivot = bucket.groupBy("s").agg(F.min("id").alias("a"), F.count("*").alias("k")).filter("k > 1").drop("k")
         pairs = bucket.join(pivot, "s").filter("id > a").select("a", F.col("id").alias("b"))
         stars = pairs if stars is None else stars.union(pairs)
-    links = verified(scratch_table(filtered(stars.distinct(), reps, percent, orders), "star_pairs"), texts, width, percent, "star_links")
+    links, _ = links_of(stars.distinct(), "star")
     first = components(links, "star_components")
 
     # step 2: components contract, round by round, while rounds link a part of the classes that may still link
     def of_classes(members: DataFrame, name: str) -> DataFrame:
-        classed = reps.select("id", "n", *BOUND, *[f"p{i}" for i in range(orders)]).join(members, "id", "left")
-        return scratch_table(classed.withColumn("comp", F.coalesce("comp", "id")), name)
+        near = few(members)
+        classed = (reps.select("id", "n", *BOUND, *[f"p{i}" for i in range(orders)]).join(near, "id", "left")
+                   .withColumn("comp", F.coalesce("comp", "id")))
+        return classed if near is not members else scratch_table(classed, name)
     comp, turn = of_classes(first, "class_components"), 0
     while True:
-        offered = scratch_table(pivot_pairs(comp, orders, percent, turn), f"offered_pairs_{turn}")
-        found = verified(scratch_table(filtered(offered, reps, percent, orders), f"round_pairs_{turn}"), texts, width, percent, f"round_links_{turn}")
-        n, m = offered.count(), found.count()
+        found, n = links_of(pivot_pairs(comp, orders, percent, turn), f"round_{turn}")
+        m = found.count()
         if m:
             links = links.union(found)
             first = components(links, f"round_components_{turn}")
@@ -290,16 +328,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         turn += 1
 
     # step 3: pairs from different components that meet under every order
-    left = across(comp, orders, percent)
-    more = verified(scratch_table(filtered(left, reps, percent, orders), "cross_pairs"), texts, width, percent, "cross_links")
-    joined = components(links.union(more), "class_links") if more.take(1) else first
-
-    rep_comp = classes.join(joined.select(F.col("id").alias("rep"), "comp"), "rep", "left").select(
-        "digest", F.coalesce("comp", "rep").alias("__c"))
-    out = rows.join(rep_comp, "digest", "left")
-    linked = (F.col("n") > 0) & F.col("id").isNotNull()
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                      F.when(linked, F.col("__c")).otherwise(F.col("id")).alias("component_id"))
+    more, _ = links_of(across(comp, orders, percent), "cross")
+    return components(links.union(more), "class_links") if more.take(1) else first
 
 
 def pivot_pairs(comp: DataFrame, orders: int, percent: int, turn: int) -> DataFrame:
@@ -358,14 +388,15 @@ def across(comp: DataFrame, orders: int, percent: int, most: int = 512) -> DataF
 
 
 def filtered(pairs: DataFrame, reps: DataFrame, percent: int, orders: int) -> DataFrame:
-    """The pairs that pass the size and histogram filters and meet under every order."""
+    """The pairs (written) that pass the size and histogram filters and meet under every order."""
     side = lambda d, x, cols: d.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", *cols)])
 
-    def with_columns(d: DataFrame, cols: list[str]) -> DataFrame:
-        return (d.join(side(reps, "a", cols), F.col("a") == F.col("id_a")).drop("id_a")
-                .join(side(reps, "b", cols), F.col("b") == F.col("id_b")).drop("id_b"))
-    near = with_columns(pairs, ["n", "hist"]).filter(possible(percent)("n_a", "n_b", "hist_a", "hist_b")).select("a", "b")
-    both = with_columns(scratch_table(near, "near_pairs"), [f"p{i}" for i in range(orders)])
+    def with_columns(d: DataFrame, rows: DataFrame, cols: list[str]) -> DataFrame:
+        return (d.join(side(rows, "a", cols), F.col("a") == F.col("id_a")).drop("id_a")
+                .join(side(rows, "b", cols), F.col("b") == F.col("id_b")).drop("id_b"))
+    near = with_columns(pairs, rows_in(reps, pairs), ["n", "hist"]).filter(possible(percent)("n_a", "n_b", "hist_a", "hist_b"))
+    near = scratch_table(near.select("a", "b"), "near_pairs")
+    both = with_columns(near, rows_in(reps, near), [f"p{i}" for i in range(orders)])
     for i in range(orders):
         both = both.filter(F.arrays_overlap(f"p{i}_a", f"p{i}_b"))
     return both.select("a", "b")
