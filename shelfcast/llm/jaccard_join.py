@@ -173,10 +173,10 @@ def few(table: DataFrame) -> DataFrame:
     return broadcast_if_small(table, 50, FEW_BYTES)
 
 
-def rows_in(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows whose id is in one of ``pairs`` (written)."""
+def rows_in(rows: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
+    """The rows whose id is in one of ``pairs`` (written, known to be ``most`` at most)."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    return rows.join(F.broadcast(ids) if pairs.count() * 100 <= FEW_BYTES else ids, "id", "left_semi")
+    return rows.join(F.broadcast(ids) if most * 100 <= FEW_BYTES or pairs.count() * 100 <= FEW_BYTES else ids, "id", "left_semi")
 
 
 def set_rows(docs: DataFrame, width: int) -> DataFrame:
@@ -221,8 +221,8 @@ def possible(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` (written) whose sets link, on the full sets of the documents that are in a pair."""
+def verified(pairs: DataFrame, most: int, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` (written, ``most`` at most) whose sets link, on the full sets of the documents that are in a pair."""
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
@@ -231,7 +231,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
             common = len(p) + len(q) - len(np.union1d(p, q))
             out.append(100 * common >= percent * (len(p) + len(q) - common))
         return pd.Series(out, dtype=bool)
-    own = scratch_table(set_rows(rows_in(texts, pairs).dropDuplicates(["id"]), width), "pair_sets")
+    own = scratch_table(set_rows(rows_in(texts, pairs, most).dropDuplicates(["id"]), width), "pair_sets")
     both = (pairs.join(own.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
             .join(own.select(F.col("id").alias("b"), F.col("set").alias("y")), "b"))
     return both.filter(linked("x", "y")).select("a", "b")
@@ -242,9 +242,12 @@ def components(links: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     their least neighbour, larger ones first, then smaller ones (large star, small star), until nothing moves;
     stars are grouped by key with sums on the map side and hold no group in one task's memory."""
     edges = scratch_table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), name)
-    before = None
-    # a round has as many edges as there are nodes at most; their least neighbours are broadcast while they are few
-    near = F.broadcast if edges.count() * 100 <= FEW_BYTES else lambda table: table
+
+    def state_of(edges: DataFrame):
+        return edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+    before = state_of(edges)
+    # the least neighbours are broadcast while there are few edges
+    near = F.broadcast if before["n"] * 100 <= FEW_BYTES else lambda table: table
     for _ in range(most_rounds):
         sym = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -254,7 +257,7 @@ def components(links: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
         small = low.join(near(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
         edges = scratch_table(small, name)
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        state = state_of(edges)
         if state == before:
             break
         before = state
@@ -296,8 +299,9 @@ def class_components(reps: DataFrame, texts: DataFrame, width: int, percent: int
         """(the links among ``pairs``, number of pairs)"""
         with scratch_scope(reps.sparkSession) as keep:
             pairs = scratch_table(pairs, f"{name}_pairs")
-            met = scratch_table(filtered(pairs, reps, percent, orders), f"{name}_met")
-            return keep(verified(met, texts, width, percent), f"{name}_links"), pairs.count()
+            n = pairs.count()
+            met = scratch_table(filtered(pairs, n, reps, percent, orders), f"{name}_met")
+            return keep(verified(met, n, texts, width, percent), f"{name}_links"), n
 
     # step 1: each class and the pivot of the bucket of its first shared shingle, under each order
     stars = None
@@ -306,8 +310,10 @@ def class_components(reps: DataFrame, texts: DataFrame, width: int, percent: int
         pivot = bucket.groupBy("s").agg(F.min("id").alias("a"), F.count("*").alias("k")).filter("k > 1").drop("k")
         pairs = bucket.join(pivot, "s").filter("id > a").select("a", F.col("id").alias("b"))
         stars = pairs if stars is None else stars.union(pairs)
-    links, _ = links_of(stars.distinct(), "star")
-    first = components(links, "star_components")
+    first = components(links_of(stars.distinct(), "star")[0], "star_components")
+
+    def joined(first: DataFrame, found: DataFrame, name: str) -> DataFrame:
+        return components(first.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(found), name)
 
     # step 2: components contract, round by round, while rounds link a part of the classes that may still link
     def of_classes(members: DataFrame, name: str) -> DataFrame:
@@ -320,8 +326,7 @@ def class_components(reps: DataFrame, texts: DataFrame, width: int, percent: int
         found, n = links_of(pivot_pairs(comp, orders, percent, turn), f"round_{turn}")
         m = found.count()
         if m:
-            links = links.union(found)
-            first = components(links, f"round_components_{turn}")
+            first = joined(first, found, f"round_components_{turn}")
             comp = of_classes(first, f"class_components_{turn}")
         if m * ROUND_YIELD < n or not m:
             break
@@ -329,7 +334,7 @@ def class_components(reps: DataFrame, texts: DataFrame, width: int, percent: int
 
     # step 3: pairs from different components that meet under every order
     more, _ = links_of(across(comp, orders, percent), "cross")
-    return components(links.union(more), "class_links") if more.take(1) else first
+    return joined(first, more, "class_links") if more.take(1) else first
 
 
 def pivot_pairs(comp: DataFrame, orders: int, percent: int, turn: int) -> DataFrame:
@@ -387,16 +392,16 @@ def across(comp: DataFrame, orders: int, percent: int, most: int = 512) -> DataF
     return done.distinct()
 
 
-def filtered(pairs: DataFrame, reps: DataFrame, percent: int, orders: int) -> DataFrame:
-    """The pairs (written) that pass the size and histogram filters and meet under every order."""
+def filtered(pairs: DataFrame, most: int, reps: DataFrame, percent: int, orders: int) -> DataFrame:
+    """The pairs (written, ``most`` at most) that pass the size and histogram filters and meet under every order."""
     side = lambda d, x, cols: d.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", *cols)])
 
     def with_columns(d: DataFrame, rows: DataFrame, cols: list[str]) -> DataFrame:
         return (d.join(side(rows, "a", cols), F.col("a") == F.col("id_a")).drop("id_a")
                 .join(side(rows, "b", cols), F.col("b") == F.col("id_b")).drop("id_b"))
-    near = with_columns(pairs, rows_in(reps, pairs), ["n", "hist"]).filter(possible(percent)("n_a", "n_b", "hist_a", "hist_b"))
+    near = with_columns(pairs, rows_in(reps, pairs, most), ["n", "hist"]).filter(possible(percent)("n_a", "n_b", "hist_a", "hist_b"))
     near = scratch_table(near.select("a", "b"), "near_pairs")
-    both = with_columns(near, rows_in(reps, near), [f"p{i}" for i in range(orders)])
+    both = with_columns(near, rows_in(reps, near, most), [f"p{i}" for i in range(orders)])
     for i in range(orders):
         both = both.filter(F.arrays_overlap(f"p{i}_a", f"p{i}_b"))
     return both.select("a", "b")

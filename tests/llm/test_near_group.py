@@ -1,10 +1,11 @@
 """A group of near copies whose members differ by 5 to 25 %, many of which do not link, against all pairs."""
 
+import os
 import random
 
 import pytest
 
-from shelfcast.llm import exact_dedup, jaccard_join
+from shelfcast.llm import common, exact_dedup, jaccard_join
 
 
 def shingle_set(t, width):
@@ -50,3 +51,34 @@ def test_exact_copies_repeated_rows_and_clashing_names(spark):
     out = sorted((str(r.doc_id), r.text or "") for r in got.collect())
     assert out == sorted([("2", "a B"), ("3", "c"), ("None", "d"), ("5", ""), ("6", "unique"), ("6", "other")])
     assert exact_dedup.drop_exact_copies(docs.limit(0)).count() == 0
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """Of each scratch table that is written: whether it has prefixes, its folder, how many with prefixes are there then."""
+    tables, write = [], common.scratch_table
+
+    def noted(df, name):
+        out, wide = write(df, name), "p0" in df.columns
+        there = sum(w and os.path.exists(f) for w, f, _ in tables)
+        tables.append((wide, os.path.dirname((out.inputFiles() or ["none/"])[0].removeprefix("file://")), there + wide))
+        return out
+    for module in (common, jaccard_join):
+        monkeypatch.setattr(module, "scratch_table", noted)
+    return tables
+
+
+def test_prefixes_are_not_copied_for_components(spark, group, written):
+    """At most two tables with prefixes are on the disk, while one is made from the other; none is left."""
+    docs = spark.createDataFrame(list(enumerate(group)), "doc_id long, text string")
+    jaccard_join.keep_one(docs).collect()
+    assert max(there for _, _, there in written) == sum(wide for wide, _, _ in written) == 2
+    assert ["near_copies" in f for _, f, _ in written if os.path.exists(f)] == [True]
+
+
+def test_settled_components_take_one_round(spark, written):
+    links = spark.createDataFrame([(1, 5), (1, 7), (2, 3)], "a long, b long")
+    got = {r.id: r.comp for r in jaccard_join.components(links, "settled").collect()}
+    assert got == {5: 1, 7: 1, 3: 2} and len(written) == 2
+    assert {r.id: r.comp for r in jaccard_join.components(spark.createDataFrame([(4, 5), (3, 4), (9, 3)], "a long, b long"), "path").collect()} == {4: 3, 5: 3, 9: 3}
+    assert jaccard_join.components(links.limit(0), "none").count() == 0
